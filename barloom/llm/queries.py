@@ -7,6 +7,7 @@ from .near_dup import op3_setsketch
 from .sharding import op10_weighted_tree
 from .substring import op5_fm_index
 from .suffix_array import op8_suffix_array
+from .toxicity import op7_classifier_chain
 
-QUERIES = {f.__name__: f for f in (op3_setsketch, op4_decontaminate, op5_fm_index, op8_suffix_array, op10_weighted_tree)}
+QUERIES = {f.__name__: f for f in (op3_setsketch, op4_decontaminate, op5_fm_index, op7_classifier_chain, op8_suffix_array, op10_weighted_tree)}
 ORACLE_SQL: dict[str, str] = {}
