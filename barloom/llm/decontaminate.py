@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import Scratch, blob, table
 
@@ -24,9 +25,12 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 _SCHEMA = (
-    "_id {id}, text binary, n_words long, n_hit long, items array<string>, "
+    "text binary, n_words long, n_hit long, items array<string>, "
     "spans array<struct<first_word:int,end_word:int,start_char:int,end_char:int>>"
 )
+NAMES = ["row", "text", "n_words", "n_hit", "items", "spans"]
+_SPAN = pa.struct([(c, pa.int32()) for c in ("first_word", "end_word", "start_char", "end_char")])
+_TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(_SPAN)}
 _AUTOMATA: dict[str, object] = {}
 
 
@@ -94,7 +98,7 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     ]
 
 
-def _scanner(patterns, key: str, out: pa.Schema):
+def _scanner(patterns, key: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _AUTOMATA:
             _AUTOMATA.clear()
@@ -116,9 +120,9 @@ def _scanner(patterns, key: str, out: pa.Schema):
                 n_hit.append(int(hit.sum()))
                 items.append(sorted(ids))
                 spans.append(original_spans(text, hit) if len(hit) else [])
-            columns = [batch.column("_id"), texts, n_words, n_hit, items, spans]
+            columns = [batch.column("row"), texts, n_words, n_hit, items, spans]
             yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out
+                [c if isinstance(c, pa.Array) else pa.array(c, _TYPES[name]) for name, c in zip(NAMES, columns, strict=True)], NAMES
             )
 
     return scan
@@ -131,10 +135,12 @@ def find_benchmark(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    carry: list[str] | None = None,
     width: int = WINDOW,
     max_automaton_bytes: int = MAX_AUTOMATON_BYTES,
 ) -> DataFrame:
-    """Return id, n_words, n_hit, items (ids as strings, sorted), spans for every row of docs.
+    """Return row (a struct of the carried columns, by default the id), n_words, n_hit, items (ids as strings, sorted)
+    and spans for every row of docs.
 
     A window is width consecutive words of an item, or the whole item if it is shorter; a word inside any occurrence of
     one is hit. The automaton is broadcast; when the items' text exceeds max_automaton_bytes (its size is
@@ -143,38 +149,36 @@ def find_benchmark(
     scanned; an empty benchmark hits nothing; other columns are ignored.
     """
     spark = docs.sparkSession
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), blob(item_text_col).alias("text")).where("item is not null")
     size = kept.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-size // max_automaton_bytes))
-    schema = _parse_datatype_string(_SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()))
+    rest = _parse_datatype_string(_SCHEMA)
     rows = docs.select(
-        F.col(id_col).alias("_id"),
+        F.struct(*([id_col] if carry is None else carry)).alias("row"),
         blob(text_col).alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<string>").alias("items"),
-        F.array().cast(schema["spans"].dataType).alias("spans"),
+        F.array().cast(rest["spans"].dataType).alias("spans"),
     )
+    schema = StructType([rows.schema["row"], *rest.fields])
     scratch, before = Scratch(spark), None
     for k in range(passes):
         block = kept.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else kept
         patterns = spark.sparkContext.broadcast(windows(((r["item"], bytes(r["text"])) for r in block.toLocalIterator()), width))
-        rows = rows.mapInArrow(_scanner(patterns, f"{scratch.root}/{k}", to_arrow_schema(schema)), schema)
+        rows = rows.mapInArrow(_scanner(patterns, f"{scratch.root}/{k}"), schema)
         if k + 1 < passes:
             rows = scratch.put(rows)
             if before is not None:
                 scratch.drop(before)
             before = rows
-    return rows.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "spans")
+    return rows.select("row", "n_words", "n_hit", "items", "spans")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -148,7 +148,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch) ->
     return confirmed
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """Return the id, a hash of the text (_key), n_shingles and component_id for every row of docs.
 
     Words are runs of bytes other than white space, with A-Z lower-cased; a set is the distinct shingles of `size` words,
@@ -203,5 +203,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_setsketch(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=2)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Scratch, blob, table
+from .common import Scratch, blob, table, word_spans
 from .fm_index import FMIndex
 from .winnow import Windows, candidates, contents, covered, extract, keyed, spans_by_text, with_shards
 
@@ -65,18 +65,18 @@ def repeated_windows(docs: DataFrame, how: Windows, scratch: Scratch) -> DataFra
     id_type = docs.schema["_id"].dataType.simpleString()
     schema = _parse_datatype_string(f"h long, c long, runs array<struct<off:int,len:int,least:{id_type}>>")
     found = with_shards(parts, SHARD_BYTES).groupBy("shard").applyInArrow(_matcher(how, schema), schema)
-    found = scratch.put(found)
+    found = scratch.put(found.groupBy("h", "c").agg(F.first("runs").alias("runs")))
     scratch.drop(parts)
-    return spans_by_text(rows, found.groupBy("h", "c").agg(F.first("runs").alias("runs")), how, lambda r: r["least"] < F.col("_id"))
+    return spans_by_text(rows, found, how, lambda r: r["least"] < F.col("_id"))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, how: Windows = WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, how: Windows = WORDS, layout: bool = False
 ) -> DataFrame:
     """Remove every word covered by a window that also starts in a document of smaller id.
 
     Returns row (a struct of the columns in carry, by default the id), n_words, n_removed, kept (words joined by one
-    space) for every row. Windows are judged on the input and never cross documents. Null texts have no words; texts
+    space; with layout the text as it was but for the removed words and the white space behind each) for every row. Windows are judged on the input and never cross documents. Null texts have no words; texts
     shorter than a window stay whole; rows with a null id neither lose words nor count as earlier; rows that share an id do
     not remove each other's words; an empty table gives no rows. Extra columns may have any name.
     """
@@ -94,15 +94,21 @@ def remove_repeats(
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                words = text.as_py().split()
+                raw = text.as_py()
+                words = raw.split()
                 n_words.append(len(words))
-                removed = 0
+                removed, rest = 0, raw if layout else b" ".join(words)
                 if spans.is_valid:
                     gone = covered(len(words), spans.as_py())
                     removed = int(gone.sum())
-                    words = [words[i] for i in np.flatnonzero(~gone)]
+                    if layout:
+                        starts, _, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                        stay, byte = np.concatenate(([True], ~gone)), np.concatenate(([0], starts, [len(raw)]))
+                        rest = b"".join(raw[byte[i] : byte[i + 1]] for i in np.flatnonzero(stay))
+                    else:
+                        rest = b" ".join([words[i] for i in np.flatnonzero(~gone)])
                 n_removed.append(removed)
-                kept.append(b" ".join(words))
+                kept.append(rest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["row", "n_words", "n_removed", "kept"],
