@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import add
@@ -297,8 +298,9 @@ def encode_texts(
     rows = docs.select(F.struct(*carry).alias("row"), blob(text_col).alias("text"))
     schema = StructType([rows.schema["row"], *_parse_datatype_string("ids array<int>, lossless boolean").fields])
 
+    key = (uuid.uuid4().hex, alpha, seed, variants)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (words.id, alpha, seed, variants)
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(words.value, alpha, seed, variants)
