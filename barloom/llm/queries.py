@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .html_text import op2_site_template
+from .media import op9_motion_jpeg
 from .near_dup import op3_setsketch
 from .pieces import op1_merge_dropout
 from .quality import op6_line_crf
@@ -12,5 +13,5 @@ from .substring import op5_fm_index
 from .suffix_array import op8_suffix_array
 from .toxicity import op7_classifier_chain
 
-QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_site_template, op3_setsketch, op4_decontaminate, op5_fm_index, op6_line_crf, op7_classifier_chain, op8_suffix_array, op10_weighted_tree)}
+QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_site_template, op3_setsketch, op4_decontaminate, op5_fm_index, op6_line_crf, op7_classifier_chain, op8_suffix_array, op9_motion_jpeg, op10_weighted_tree)}
 ORACLE_SQL: dict[str, str] = {}
