@@ -119,20 +119,16 @@ def segments(docs: DataFrame, how: Windows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _recut(hashes: np.ndarray, start: int, n: int, anchor: int, how: Windows, step: int) -> Iterator[tuple[int, int, int, int]]:
-    """The segment's windows cut by the anchor's place, step places a cut: (start, n, h, c)."""
+def _recut(hashes: np.ndarray, start: int, n: int, how: Windows, step: int) -> Iterator[tuple[int, int, int, int]]:
+    """The segment's windows cut by the place of their minimiser, step places a cut: (start, n, h, c)."""
     part = hashes[start : start + n - 1 + how.window]
     sums = _sums(part)
-    at = np.arange(len(part) - how.gram + 1)
-    places = np.flatnonzero(span_hash(sums, at, at + how.gram).view(np.int64) == anchor)
-    begin = np.arange(n)
-    place = places[np.searchsorted(places, begin)]
-    group = (place - begin) // step
-    new = np.ones(n, bool)
-    new[1:] = (group[1:] != group[:-1]) | (place[1:] != place[:-1])
-    first = np.flatnonzero(new)
+    at = np.arange(how.width)
+    place = int(np.argmin(span_hash(sums, at, at + how.gram)))  # the same place for all windows of a segment
+    group = (place - np.arange(n)) // step
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     count = np.diff(np.append(first, n))
-    common = place[first] - group[first] * step
+    common = place - group[first] * step
     h = mix(span_hash(sums, common, common - step + 1 + how.window) + group[first].astype(np.uint64))
     c = span_hash(sums, first, first + count - 1 + how.window)
     yield from zip((first + start).tolist(), count.tolist(), h.view(np.int64).tolist(), c.view(np.int64).tolist(), strict=True)
@@ -154,7 +150,7 @@ def refine(docs: DataFrame, hot: DataFrame, how: Windows, step: int) -> DataFram
                 raw = np.frombuffer(text.as_py(), np.uint8)
                 hashes, _ = token_hashes(raw, np.array([0, len(raw)]), how.tokens)
                 for r in rows.as_py():
-                    for row in _recut(hashes, r["start"], r["n"], r["h"], how, step):
+                    for row in _recut(hashes, r["start"], r["n"], how, step):
                         for column, value in zip(out, (i, *row), strict=True):
                             column.append(value)
             at = pa.array(out[0], pa.int64())
@@ -163,14 +159,20 @@ def refine(docs: DataFrame, hot: DataFrame, how: Windows, step: int) -> DataFram
     return with_texts(docs, hot).mapInArrow(run, schema)
 
 
-def _shared(rows: DataFrame, across_texts: bool) -> DataFrame:
-    """Segments whose anchor stands in two texts of different id (across_texts) or at two places at all."""
+def _shared(rows: DataFrame, across_texts: bool, scratch: Scratch) -> DataFrame:
+    """Segments whose anchor stands in two texts of different id (across_texts) or at two places at all.
+
+    The anchors are written first: a join of two plain exchanges can split an anchor that holds many rows.
+    """
     kept = (
         rows.groupBy("h").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a <> b")
         if across_texts
         else rows.groupBy("h").agg(F.count("*").alias("a")).where("a > 1")
     )
-    return rows.join(kept.select("h"), "h", "left_semi").select(*rows.columns)
+    anchors = scratch.put(kept.select("h"))
+    shared = scratch.put(rows.join(anchors, "h", "left_semi").select(*rows.columns))
+    scratch.drop(anchors)
+    return shared
 
 
 def contents(rows: DataFrame) -> DataFrame:
@@ -183,20 +185,21 @@ def contents(rows: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, how: Windows, scratch: Scratch, across_texts: bool) -> DataFrame:
     """A written table of the segments whose windows may repeat, with no anchor of more than HOT_CONTENTS contents."""
     every = scratch.put(segments(docs, how))
-    rows = scratch.put(_shared(every, across_texts))
+    rows = _shared(every, across_texts, scratch)
     scratch.drop(every)
     for step in (-(-how.width // 8), 1):
         counts = rows.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT_CONTENTS)
-        hot = rows.join(counts.select("h"), "h", "left_semi").select(*rows.columns)
-        hot_rows = scratch.put(hot)
-        if hot_rows.isEmpty():
-            scratch.drop(hot_rows)
+        anchors = scratch.put(counts.select("h"))
+        if anchors.isEmpty():
+            scratch.drop(anchors)
             break
-        cold = rows.join(hot_rows.select("h").distinct(), "h", "left_anti").select(*rows.columns)
-        finer = scratch.put(refine(docs, hot_rows, how, step))
-        both = scratch.put(cold.unionByName(_shared(finer, across_texts)))
-        scratch.drop(rows, hot_rows, finer)
-        rows = both
+        hot = scratch.put(rows.join(anchors, "h", "left_semi").select(*rows.columns))
+        cold = scratch.put(rows.join(anchors, "h", "left_anti").select(*rows.columns))
+        cut_again = scratch.put(refine(docs, hot, how, step))
+        scratch.drop(rows, anchors, hot)
+        finer = _shared(cut_again, across_texts, scratch)
+        rows = scratch.put(cold.unionByName(finer))
+        scratch.drop(cold, cut_again, finer)
     return rows
 
 
