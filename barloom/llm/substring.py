@@ -17,7 +17,7 @@ from .winnow import Windows, candidates, contents, covered, extract, keyed, span
 
 WORDS = Windows("words", 50, 10)
 #: Bytes of passages that one FM-index holds.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _matcher(how: Windows, schema):

@@ -19,9 +19,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .common import Scratch, blob, prefix_hash, span_hash, table
 from .winnow import Windows, candidates, contents, covered, extract, keyed, runs_of, spans_by_text, with_shards
 
-BYTES = Windows("bytes", 400, 48)
+BYTES = Windows("bytes", 400, 100)
 #: Bytes of passages that one suffix array holds.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 192 << 10
 
 
 def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
