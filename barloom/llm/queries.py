@@ -9,9 +9,11 @@ from .near_dup import op3_setsketch
 from .pieces import op1_merge_dropout
 from .quality import op6_line_crf
 from .sharding import op10_weighted_tree
+from .sql import ORACLE_SQL
 from .substring import op5_fm_index
 from .suffix_array import op8_suffix_array
 from .toxicity import op7_classifier_chain
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_site_template, op3_setsketch, op4_decontaminate, op5_fm_index, op6_line_crf, op7_classifier_chain, op8_suffix_array, op9_motion_jpeg, op10_weighted_tree)}
-ORACLE_SQL: dict[str, str] = {}
