@@ -4,9 +4,10 @@
 2. Four neighbouring registers make a band; sets that share a band meet in a bucket. At similarity 0.8 a pair shares
    none of the 32 bands with probability 5e-8.
 3. Every bucket first links its members to its least member: linear in the bucket. Confirmed links give components.
-4. In buckets that still hold several components, pairs across components are compared by their registers in blocks
-   of BLOCK members, and those that the estimate does not rule out are confirmed too. Members that are linked already need
-   no comparison, so a large group of near copies costs no pairs; no bucket, block or partner is capped.
+4. In buckets that still hold several components, pairs across components are compared in blocks of BLOCK members, each
+   pair in the first band it shares: by registers first, and where the estimate does not rule them out by their sets, inside
+   the task. Only pairs that hold leave it. Members that are linked already need no comparison, so a large group of near
+   copies costs no pairs; no bucket, block or partner is capped.
 """
 
 from __future__ import annotations
@@ -110,41 +111,79 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(j >= RULED_OUT)).select(["u", "v"])
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> int:
+    """Values that two ascending arrays share."""
+    at = b.searchsorted(a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
+
+
 def _across(rows: pa.Table) -> pa.Table:
-    """Pairs of one bucket's block (or of two) in different components that the estimate does not rule out."""
+    """Linked pairs of one bucket's block (or of two) in different components.
+
+    A call gets the blocks of many buckets; pairs of all of them are judged together, some 50,000 at a time. Sets come as
+    31 bits of each shingle; a pair that holds give or take a shared value in a hundred is passed on to be confirmed.
+    """
+    rows = rows.combine_chunks()
     r, n = _registers(rows.column("registers")), rows.column("n").to_numpy()
+    items = rows.column("items").combine_chunks()
+    values, ends = items.values.to_numpy(), items.offsets.to_numpy()
+    sets: dict[int, np.ndarray] = {}
     roots = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-    side = rows.column("side").to_numpy()
-    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-    u, v = [], []
-    for i in left:
-        j = right[(roots[right] != roots[i]) & (n[right] * 5 >= n[i] * 4) & (n[i] * 5 >= n[right] * 4)]
-        j = j[j > i] if side[i] == 0 else j
-        if len(j):
-            j = j[(r[j] == r[i]).sum(axis=1) >= RULED_OUT * M * 0.75]
-        if len(j):
-            one = np.repeat(i, len(j))
-            j = j[jaccard(r[one], r[j], n[one], n[j]) >= RULED_OUT]
-            u.append(np.repeat(i, len(j)))
-            v.append(j)
-    at = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (u, v)]
+    side, bucket, band = (rows.column(c).to_numpy() for c in ("side", "bucket", "band"))
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[int, int]] = []
+
+    def of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = np.sort(values[ends[k] : ends[k + 1]])
+        return sets[k]
+
+    def judge() -> None:
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        for k in range(0, len(i), 20_000):
+            a, b = i[k : k + 20_000], j[k : k + 20_000]
+            same = r[a] == r[b]
+            first = same.reshape(len(a), -1, ROWS_A_BAND).all(axis=2).argmax(axis=1)
+            near = (first == band[a]) & (same.sum(axis=1) >= RULED_OUT * M * 0.75)
+            a, b = a[near], b[near]
+            likely = jaccard(r[a], r[b], n[a], n[b]) >= RULED_OUT
+            for u, v in zip(a[likely].tolist(), b[likely].tolist(), strict=True):
+                both = _meet(of(u), of(v))
+                if 101 * both + 100 >= 80 * (n[u] + n[v] - both):
+                    out.append((u, v))
+
+    count = 0
+    for at in np.split(order, cuts):
+        left, right = at[side[at] <= 1], at[side[at] != 1]
+        step = max(1, 50_000 // max(1, len(right)))
+        for k in range(0, len(left), step):
+            i = np.repeat(left[k : k + step], len(right))
+            j = np.tile(right, len(left[k : k + step]))
+            fit = (roots[i] != roots[j]) & (n[j] * 5 >= n[i] * 4) & (n[i] * 5 >= n[j] * 4) & ((side[i] == 1) | (i < j))
+            held.append((i[fit], j[fit]))
+            count += len(i)
+            if count > 50_000:
+                judge()
+                count = 0
+    if held:
+        judge()
     ids = rows.column("_id")
-    return pa.table({"u": ids.take(at[0]), "v": ids.take(at[1])})
+    return pa.table({c: ids.take(pa.array([p[k] for p in out], pa.int64())) for k, c in enumerate("uv")})
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """A written table of the pairs whose full sets have 100 * intersection >= 80 * union."""
     pairs = scratch.put(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    needed = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
-    kind = docs.schema["_id"].dataType.simpleString()
-    listed = docs.join(needed, "_id", "left_semi").mapInArrow(_lister(size), f"_id {kind}, items array<long>")
-    sets = scratch.put(listed)
     joined = pairs.join(sets.select(F.col("_id").alias("v"), F.col("items").alias("b")), "v").join(
         sets.select(F.col("_id").alias("u"), F.col("items").alias("a")), "u"
     )
     both = F.size(F.array_intersect("a", "b"))
     confirmed = scratch.put(joined.where(100 * both >= 80 * (F.size("a") + F.size("b") - both)).select("u", "v"))
-    scratch.drop(pairs, sets)
+    scratch.drop(pairs)
     return confirmed
 
 
@@ -164,21 +203,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.put(sets)
 
     width = 2 * ROWS_A_BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS_A_BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
-    members = sets.select("_id", F.explode(bands).alias("bucket"))
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(M // ROWS_A_BAND - 1)),
+        lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))).alias("bucket")),
+    )
+    members = sets.select("_id", F.explode(bands).alias("b")).select("_id", "b.band", "b.bucket")
     leaders = members.groupBy("bucket").agg(F.min("_id").alias("u"), F.count("*").alias("members")).where("members > 1")
     buckets = scratch.put(members.join(leaders, "bucket"))
     known = sets.select("_id", "n", "registers")
+    needed = buckets.select("_id").distinct()
+    full = scratch.put(keyed.join(needed, "_id", "left_semi").mapInArrow(_lister(size), f"_id {kind}, items array<long>"))
     pairs = buckets.where("_id <> u").select("u", F.col("_id").alias("v")).distinct()
     sized = pairs.join(known.select(F.col("_id").alias("v"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "v")
     sized = sized.join(known.select(F.col("_id").alias("u"), F.col("n").alias("na"), F.col("registers").alias("ra")), "u")
     sized = sized.where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    links = _confirm(sized.mapInArrow(_likely, f"u {kind}, v {kind}"), keyed, size, scratch)
+    links = _confirm(sized.mapInArrow(_likely, f"u {kind}, v {kind}"), full, scratch)
     roots = scratch.put(components(links, scratch))
 
-    rooted = buckets.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", "members", F.coalesce("root", "_id").alias("root"))
+    rooted = buckets.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "band", "_id", "members", F.coalesce("root", "_id").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    open_ = rooted.join(mixed.select("bucket"), "bucket", "left_semi").join(known, "_id")
+    open_ = scratch.put(rooted.join(mixed.select("bucket"), "bucket", "left_semi"))
+    scratch.drop(buckets)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "_id"), blocks).cast("int")
     # a block meets itself (side 0) and, as the lower (1) or higher (2) one, every other block of its bucket
@@ -186,9 +231,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sequence(F.lit(0), blocks - 1),
         lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), F.when(own == k, 0).when(own < k, 1).otherwise(2).cast("int").alias("side")),
     )
-    dealt = open_.select("bucket", "_id", "root", "n", "registers", F.explode(meet).alias("m")).select("bucket", "_id", "root", "n", "registers", "m.*")
-    more = dealt.groupBy("bucket", "x", "y").applyInArrow(_across, f"u {kind}, v {kind}")
-    more = _confirm(more, keyed, size, scratch)
+    hands = max(1, -(-open_.count() // (2 * BLOCK)))
+    short = full.select("_id", F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items"))
+    dealt = open_.join(known, "_id").join(short, "_id").select("bucket", "band", "_id", "root", "n", "registers", "items", F.explode(meet).alias("m"))
+    dealt = dealt.select("bucket", "band", "_id", "root", "n", "registers", "items", "m.*")
+    more = dealt.groupBy(F.pmod("bucket", F.lit(hands)).alias("hand"), "x", "y").applyInArrow(_across, f"u {kind}, v {kind}")
+    more = _confirm(more, full, scratch)
+    scratch.drop(open_)
     joined = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
         roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left"
     )
