@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_set = by_set.join(higher.withColumnRenamed("root", "top"), "node", "left").select("f1", "f2", F.coalesce("top", "node").alias("top"))
     out = rows.select("_id", "_key", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
     return out.select(
-        F.col("_id").alias(id_col), "_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("top", "_id")).otherwise(F.col("_id")).alias("component_id")
+        F.col("_id").alias(id_col), "_key", F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("top", "_id")).alias("component_id")
     )
 
 
