@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = counted.mapInArrow(vectors, "_order long, labels array<int>, x binary").toArrow().sort_by("_order")
     scratch.drop(counted, tables)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, len(words))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, len(words))
     y = np.array(got.column("labels").to_pylist(), np.float64)
     fold = (np.abs(got.column("_order").to_numpy()) // 7) % FOLDS
     return Links(names, words, fit_chain(x, y, fold))
