@@ -296,7 +296,7 @@ def nearest_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
             ok = (a >= 0) & (b < m)
             reach = np.maximum(own - own[np.clip(a, 0, m - 1)], own[np.clip(b, 0, m - 1)] - own)
             best = np.where(ok, np.minimum(best, reach), best)
-        radius[at], size[at], kk[at] = np.nextafter(best, 0), m, q
+        radius[at], size[at], kk[at] = best * (1 - 1e-10), m, q  # the q-th neighbour itself stays outside
     used = size > 1
     if not used.any():
         return 0.0
