@@ -247,7 +247,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ca
     key = F.xxhash64(F.col(url_col), F.col(html_col))
     keyed = pages.select(F.struct(*carry).alias("row"), key.alias("key"), host.alias("host"), F.col(html_col).alias("html"))
     marks = scratch.put(keyed.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, mark long").dropDuplicates(["key", "host", "mark"]))
-    hosts = keyed.select("host", "key").groupBy("host").agg(F.approx_count_distinct("key", 0.02).alias("pages"))
+    hosts = keyed.select("host", "key").groupBy("host").agg(F.count_distinct("key").alias("pages"))
     common = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).join(hosts, "host")
     template = scratch.put(common.where(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "mark"))
     by_page = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_list("mark").alias("marks"))
