@@ -107,6 +107,60 @@ def rank_fallback(df: DataFrame, features: list[str], most: int = 5) -> DataFram
     return rho.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most)
 
 
+def hrp_medoids(df: DataFrame, features: list[str], most: int = CLUSTERS) -> DataFrame:
+    """symbol, feature: one feature of each Ward cluster of rank-correlation distances, for every symbol."""
+    rows = df.select("symbol", "ts", *features).na.drop()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = stats.medoids(stats.correlation(stats.ranks(pdf[features].to_numpy(float))), most)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "feature": [features[i] for i in kept]})
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, feature string")
+
+
+def _screen(df: DataFrame, features: list[str], schema: str, job) -> DataFrame:
+    """job(feature values, label) in time order for every (symbol, feature): one shuffle of the long form."""
+    rows = long_form(df.select("symbol", "ts", "target_label", *features).na.drop(), features, "symbol", "ts", "target_label")
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        out = job(pdf["value"].to_numpy(float), pdf["target_label"].to_numpy(float))
+        return pd.DataFrame([[pdf["symbol"].iloc[0], pdf["feature"].iloc[0], *out]], columns=["symbol", "feature", *names])
+
+    return rows.groupBy("symbol", "feature").applyInPandas(run, f"symbol string, feature string, {schema}")
+
+
+def granger_screen(df: DataFrame, features: list[str], most: int = 5, limit: float = 0.05) -> DataFrame:
+    """symbol, feature, p, lag, causal: the best of F tests that 1..most lags of the feature help to predict the label."""
+
+    def job(x: np.ndarray, y: np.ndarray) -> list:
+        p, k = stats.granger(y, x, most)
+        return [p, k, p < limit]
+
+    return _screen(df, features, "p double, lag int, causal boolean", job)
+
+
+def lagged_information(df: DataFrame, features: list[str], most: int = 5, limit: float = MI_LIMIT) -> DataFrame:
+    """symbol, feature, mi, lag, accepted: the most informative of lags 1..most (first rows count as 0)."""
+
+    def job(x: np.ndarray, y: np.ndarray) -> list:
+        mi, k = max((stats.nearest_information(np.concatenate((np.zeros(k), x[:-k])), y), -k) for k in range(1, most + 1))
+        return [mi, -k, mi > limit]
+
+    return _screen(df, features, "mi double, lag int, accepted boolean", job)
+
+
+def information_rank(df: DataFrame, features: list[str]) -> DataFrame:
+    """symbol, feature, mi, place: features that vary, by what they tell about the label."""
+
+    def job(x: np.ndarray, y: np.ndarray) -> list:
+        return [stats.nearest_information(x, y) if len(x) > 1 and x.std(ddof=1) > 1e-8 else None]
+
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("mi"), "feature"))
+    return _screen(df, features, "mi double", job).where("mi is not null").withColumn("place", place)
+
+
 def _select(x: pd.DataFrame, y: np.ndarray) -> list[tuple[str, int, str]]:
     """(feature, lag, how) that survive redundancy and prediction screens on one symbol's rows."""
     names = [c for c in x.columns if x[c].std() >= 1e-8]

@@ -70,6 +70,21 @@ def prep_daily_microstructure(spark, sf_dir):
     return shown(prep.daily_microstructure(src.ticks(spark, sf_dir)), 6, *MICRO_NAMES)
 
 
+@query(
+    sql_shown(
+        f"{BARS}, holes AS (SELECT symbol, ts, CASE WHEN day(ts) % 4 = 0 THEN volume END AS daily_vpin FROM bars)",
+        "holes",
+        6,
+        ["daily_vpin"],
+        {"filled": f"coalesce(last_value(daily_vpin IGNORE NULLS) OVER ({P} {PAST}), 0)"},
+    ).replace("round(daily_vpin::DOUBLE", "round(filled::DOUBLE")
+)
+def prep_ffill(spark, sf_dir):
+    """Volumes of every fourth day under a name that is carried forward."""
+    holes = bars(spark, sf_dir).select("symbol", "ts", F.when(F.dayofmonth("ts") % 4 == 0, F.col("volume")).alias("daily_vpin"))
+    return shown(prep.ffill_intraday(holes), 6, "daily_vpin")
+
+
 _DAYS = """days AS (SELECT symbol, ts FROM micro),
 gap AS (SELECT days.*, m.intraday_ofi_mean, m.daily_vpin FROM days LEFT JOIN micro m ON m.symbol = days.symbol AND m.ts = days.ts AND day(m.ts) % 3 <> 0)"""
 

@@ -254,3 +254,26 @@ def sel_chain(spark, sf_dir):
     return S.select(model_panel(spark, sf_dir), MODEL_FEATURES)
 
 
+
+
+@query()
+def sel_hrp_medoids(spark, sf_dir):
+    return S.hrp_medoids(model_panel(spark, sf_dir), MODEL_FEATURES, 4)
+
+
+@query()
+def sel_granger(spark, sf_dir):
+    return S.granger_screen(model_panel(spark, sf_dir), MODEL_FEATURES).select("symbol", "feature", *rounded(6, "p"), "lag", "causal")
+
+
+@query()
+def sel_lagged_mi(spark, sf_dir):
+    return S.lagged_information(model_panel(spark, sf_dir), MODEL_FEATURES).select("symbol", "feature", *rounded(6, "mi"), "lag", "accepted")
+
+
+@query()
+def sel_mi_rank(spark, sf_dir):
+    """Information of the lag transforms of two features."""
+    df = X.lag_transforms(model_panel(spark, sf_dir), {"mkt_relative_return": 2, "cmf_20": 1})
+    names = [f"{f}_{n}" for f, k in (("mkt_relative_return", 2), ("cmf_20", 1)) for n in (f"zscaled_lag{k}", "momentum", "acceleration")]
+    return S.information_rank(df, names).select("symbol", "feature", *rounded(6, "mi"), "place")
