@@ -1,4 +1,4 @@
-"""Toxicity by a chain of linear classifiers over word features.
+"""Toxicity by a chain of linear classifiers over features of words and their beginnings.
 
 Categories are predicted one after another; each link sees the word features and the earlier links' probabilities. While
 fitting, those probabilities are out-of-fold predictions, as a link must not learn to trust numbers its predecessors
@@ -28,8 +28,11 @@ CATEGORIES = {
 }
 #: Labelled rows that the chain is fitted on at most: those of least hash.
 FIT_ROWS = 12_000
-#: Words kept for each link, by chi-squared.
+#: Features kept for each link, by chi-squared, among those that stand in one of RARE rows at least.
 WORDS_A_LINK = 128
+RARE = 400
+#: Bytes of the beginnings of words that are features too.
+STEMS = (5, 6, 7)
 FOLDS = 3
 THRESHOLD = 0.5
 
@@ -37,15 +40,23 @@ _FOLD_ARRAY = np.frombuffer(_FOLD, np.uint8)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the folded words (letters, digits, non-ASCII) of consecutive texts, and the text of each."""
+    """Hashes of the folded words (letters, digits, non-ASCII) of consecutive texts and of the words' beginnings, and the
+    text of each. Beginnings catch words that languages build on from a toxic stem."""
     data = _FOLD_ARRAY[data]
     starts, ends, first = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    sums = prefix_hash(data)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    hashes, texts = [span_hash(sums, starts, ends)], [text]
+    for k in STEMS:
+        longer = ends - starts > k
+        hashes.append(span_hash(sums, starts[longer], starts[longer] + k))
+        texts.append(text[longer])
+    return np.concatenate(hashes), np.concatenate(texts)
 
 
 def hash_of(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64)[0])
+    return int(word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64)[0])  # the whole word comes first
 
 
 @dataclass
@@ -73,8 +84,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
-    """Logistic regression with a bias in front, by full-batch Adam."""
+def fit_link(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Logistic regression with a bias in front, by full-batch Adam; the ridge weighs as half a row does."""
+    ridge = 1e-4 + 0.5 / max(1, len(x))
     x = np.hstack((np.ones((len(x), 1), np.float32), x.astype(np.float32)))
     w = np.zeros(x.shape[1], np.float32)
     w[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
@@ -146,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not totals[0]:
         return Links(names, np.empty(0, np.int64), [np.array([-40.0, *[0.0] * i]) for i in range(k)])
     tables = counted.select(F.explode("words").alias("w"), "labels").groupBy("w").agg(F.count("*").alias("df"), *[F.sum(F.col("labels")[i]).alias(f"y{i}") for i in range(k)])
-    tables = scratch.put(tables.where("df >= 3"))
-    chosen: set[int] = set()
     n = totals[0]
+    tables = scratch.put(tables.where(F.col("df") >= max(3, n // RARE)))
+    chosen: set[int] = set()
     for i in range(k):
         p = (totals[1 + i] or 0) / n
         expected = F.col("df") * F.lit(p)
