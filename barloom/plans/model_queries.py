@@ -263,12 +263,12 @@ b3 AS (SELECT *, position * asset_return - costs AS strat_net_return FROM b2),
 b4 AS (SELECT *, product(1 + strat_net_return) OVER ({P} {PAST}) AS equity_strategy, product(1 + asset_return) OVER ({P} {PAST}) AS equity_benchmark FROM b3),
 b5 AS (SELECT *, (equity_strategy - max(equity_strategy) OVER ({P} {PAST})) / max(equity_strategy) OVER ({P} {PAST}) AS drawdown FROM b4)
 SELECT symbol, ts, """
-    + ", ".join(f"round({c}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in BENCH_NAMES)
+    + ", ".join(f"round({c}::DOUBLE, 9) + 0.0::DOUBLE AS {c}" for c in BENCH_NAMES)
     + " FROM b5"
 )
 def bt_equity_vs_benchmark(spark, sf_dir):
     rows = oos(spark, sf_dir)
-    return shown(backtest.against_benchmark(rows, rows), 6, *BENCH_NAMES)
+    return shown(backtest.against_benchmark(rows, rows), 9, *BENCH_NAMES)
 
 
 @query(f"{OOS} SELECT symbol, k AS fold, min(ts) AS first_ts FROM oos GROUP BY 1, 2")
