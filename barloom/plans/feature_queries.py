@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from barloom.operators import features as X
 from barloom.operators import prep
 from barloom.plans.panel import panel, shown, with_book
@@ -406,16 +408,27 @@ family(
 )
 _LAGS = {"mkt_relative_return": 2, "mkt_rs_cum_20": 5}
 LAG_NAMES = [f"{f}_{n}" for f, k in _LAGS.items() for n in (f"zscaled_lag{k}", "momentum", "acceleration")]
+
+
+def _logged(df):
+    """Relative changes on a signed log scale: where the lagged value is near 0 they reach millions."""
+    names = [n for n in LAG_NAMES if "lag" not in n]
+    return df.withColumns({n: F.signum(n) * F.ln(1.0 + F.abs(n)) for n in names})
+
+
 family(
     "feat_lag_transforms",
-    lambda df: X.lag_transforms(X.market_context(df), _LAGS),
-    3,
+    lambda df: _logged(X.lag_transforms(X.market_context(df), _LAGS)),
+    5,
     LAG_NAMES,
     {"mkt_relative_return": "r - mkt_return", "mkt_rs_cum_20": f"{total('r', 20)} - {total('mkt_return', 20)}"},
     {f"{f}_zscaled_lag{k}": f"({lag(f, k)} - {mean(f, 20, k)}) / ({std(f, 20, k)} + 1e-8)" for f, k in _LAGS.items()}
     | {f"{f}_momentum": f"({f} - {lag(f, k)}) / (abs({lag(f, k)}) + 1e-8)" for f, k in _LAGS.items()},
-    {f"{f}_acceleration": diff(f"{f}_momentum") for f in _LAGS},
+    {f"{f}_accel0": diff(f"{f}_momentum") for f in _LAGS} | {f"{f}_mom0": f"{f}_momentum" for f in _LAGS},
 )
+for _f in _LAGS:
+    for _n, _from in (("momentum", "mom0"), ("acceleration", "accel0")):
+        SQL["feat_lag_transforms"] = SQL["feat_lag_transforms"].replace(f"round({_f}_{_n}::DOUBLE", f"round((sign({_f}_{_from}) * ln(1 + abs({_f}_{_from})))::DOUBLE")
 
 
 def feat_all(spark, sf_dir: str):

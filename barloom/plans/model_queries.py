@@ -108,14 +108,14 @@ def model_weighted_logloss(spark, sf_dir):
 
 @query(
     f"""{FOLDED}, f AS (SELECT symbol, ts, prob_long, prob_short, prob_neutral FROM folds WHERE test OR (train AND i >= start - 65))
-SELECT symbol, ts, round(avg(prob_short), 6) AS prob_short, round(avg(prob_neutral), 6) AS prob_neutral, round(avg(prob_long), 6) AS prob_long, count(*) AS times FROM f GROUP BY 1, 2"""
+SELECT symbol, ts, round(avg(prob_short), 9) AS prob_short, round(avg(prob_neutral), 9) AS prob_neutral, round(avg(prob_long), 9) AS prob_long, count(*) AS times FROM f GROUP BY 1, 2"""
 )
 def model_oof_average(spark, sf_dir):
     parts = validation.folds(scored(spark, sf_dir).where("target_label is not null"), buffer=validation.BUFFER)
     keep = ["symbol", "ts", "prob_short", "prob_neutral", "prob_long"]
     frames = [parts.where(F.col("part") == p).select(*keep) for p in ("test", "buffer")]
     out = models.oof_average(frames)
-    return out.select("symbol", "ts", *rounded(6, "prob_short", "prob_neutral", "prob_long"), "times")
+    return out.select("symbol", "ts", *rounded(9, "prob_short", "prob_neutral", "prob_long"), "times")
 
 
 @query(f"{OOS} SELECT symbol, k AS fold, round(up_cut, 6) AS up_cut, round(down_cut, 6) AS down_cut FROM cuts")
