@@ -1,9 +1,10 @@
-"""Toxicity by a chain of linear classifiers over features of words and their beginnings.
+"""Toxicity by a chain of linear classifiers over features of words and character n-grams.
 
-Categories are predicted one after another; each link sees the word features and the earlier links' probabilities. While
+Categories are predicted one after another; each link sees the features and the earlier links' probabilities. While
 fitting, those probabilities are out-of-fold predictions, as a link must not learn to trust numbers its predecessors
 gave for rows they had been fitted on. The last link is the label itself. labels marks a single kind of toxicity, so the
-finer categories are weak labels: a toxic row that holds one of a category's seed words.
+finer categories are weak labels: the terms that go with the label are grouped by how they stand together in toxic rows, and
+a toxic row belongs to each group that it holds a term of. No vocabulary, language or script is given beforehand.
 """
 
 from __future__ import annotations
@@ -17,51 +18,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Scratch, blob, chunks, flat, prefix_hash, span_hash, table, word_spans
+from .common import Scratch, blob, chunks, flat, mix, prefix_hash, span_hash, table, word_spans
 from .decontaminate import _FOLD
 
-#: Seed words of the weak categories, in the chain's order.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "clown", "loser"),
-    "contempt": ("stupid", "worthless", "pathetic"),
-    "disgust": ("trash", "disgusting", "scum"),
-}
+#: Weak categories before the label.
+KINDS = 3
 #: Labelled rows that the chain is fitted on at most: those of least hash.
 FIT_ROWS = 12_000
-#: Features kept for each link, by chi-squared, among those that stand in one of RARE rows at least.
-WORDS_A_LINK = 128
-RARE = 400
-#: Bytes of the beginnings of words that are features too.
-STEMS = (5, 6, 7)
+#: Features by chi-squared with the label, among those that stand in MIN_ROWS rows at least.
+FEATURES = 1024
+MIN_ROWS = 3
+#: Characters of the n-grams; a word's two ends count as characters.
+GRAMS = (2, 3, 4, 5, 6)
 FOLDS = 3
 THRESHOLD = 0.5
 
 _FOLD_ARRAY = np.frombuffer(_FOLD, np.uint8)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the folded words (letters, digits, non-ASCII) of consecutive texts and of the words' beginnings, and the
-    text of each. Beginnings catch words that languages build on from a toxic stem."""
+def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the folded words (letters, digits, non-ASCII) of consecutive texts and of their character n-grams, and the
+    text of each. N-grams catch words that languages build on from a toxic stem; they never cross words."""
     data = _FOLD_ARRAY[data]
     starts, ends, first = word_spans(data, offsets)
-    sums = prefix_hash(data)
+    size = ends - starts
+    number = np.repeat(np.arange(len(starts)), size)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    hashes, texts = [span_hash(sums, starts, ends)], [text]
-    for k in STEMS:
-        longer = ends - starts > k
-        hashes.append(span_hash(sums, starts[longer], starts[longer] + k))
-        texts.append(text[longer])
+    before = np.cumsum(size) - size
+    spaced = np.full(len(number) + len(starts) + 1, 32, np.uint8)
+    spaced[np.arange(len(number)) + number + 1] = data[np.arange(len(number)) - before[number] + starts[number]]
+    sums = prefix_hash(spaced)
+    begin = before + np.arange(len(starts)) + 1
+    hashes, texts = [span_hash(sums, begin, begin + size)], [text]
+    at = np.flatnonzero((spaced & 0xC0) != 0x80)
+    gap = spaced[at] == 32
+    gaps = np.concatenate(([0], np.cumsum(gap)))
+    word = gaps[1:] - 1  # a gap opens the word behind it
+    at = np.append(at, len(spaced))
+    for n in GRAMS:
+        last = len(gap) - n + 1
+        if last < 1:
+            break
+        i = np.flatnonzero(gaps[n - 1 : n - 1 + last] == gaps[1 : 1 + last])
+        hashes.append(span_hash(sums, at[i], at[i + n]))
+        texts.append(text[word[i]])
     return np.concatenate(hashes), np.concatenate(texts)
 
 
-def hash_of(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64)[0])  # the whole word comes first
-
-
 @dataclass
 class Links:
-    """words: sorted hashes; weights: one row a link of bias, word weights, weights of the earlier links."""
+    """words: sorted hashes; weights: one row a link of bias, term weights, weights of the earlier links."""
 
     names: list[str]
     words: np.ndarray
@@ -69,17 +75,53 @@ class Links:
 
 
 def features(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + count) of the chosen words for each text."""
-    h, text = word_hashes(data, offsets)
-    h = h.view(np.int64)
+    """log(1 + count) of the chosen terms for each text."""
     n = len(offsets) - 1
     if not len(words):
         return np.zeros((n, 0))
+    h, text = term_hashes(data, offsets)
+    maybe = np.zeros(1 << 20, bool)  # most terms are not chosen and end here
+    maybe[words.view(np.uint64) >> np.uint64(44)] = True
+    some = np.flatnonzero(maybe[h >> np.uint64(44)])
+    h, text = h[some].view(np.int64), text[some]
     at = np.minimum(np.searchsorted(words, h), len(words) - 1)
     hit = words[at] == h
     return np.log1p(np.bincount(text[hit] * len(words) + at[hit], minlength=n * len(words)).reshape(n, len(words)))
 
 
+def kinds_of(x: np.ndarray, y: np.ndarray, kinds: int = KINDS, rounds: int = 10) -> np.ndarray:
+    """A 0/1 column a category: toxic rows that hold one of its terms.
+
+    Terms most of whose rows are toxic are grouped by the rows they share (cosine), from centres that are frequent and far
+    from each other; categories come in the order of their rows.
+    """
+    toxic = y > 0.5
+    held = x > 0
+    out = np.zeros((len(x), kinds))
+    df = held.sum(0)
+    terms = np.flatnonzero(held[toxic].sum(0) * 2 > df) if toxic.any() else np.empty(0, np.int64)
+    if not len(terms):
+        return out
+    rows = held[toxic][:, terms].astype(np.float32)
+    count = rows.sum(0)
+    unit = rows / np.sqrt(count)
+    centres = [int(np.argmax(count))]
+    near = unit.T @ unit[:, centres[0]]
+    while len(centres) < min(kinds, len(terms)):
+        centres.append(int(np.argmax(count * (1 - near))))
+        near = np.maximum(near, unit.T @ unit[:, centres[-1]])
+    middle = unit[:, centres]
+    for _ in range(rounds):
+        own = np.argmax(unit.T @ middle, 1)
+        middle = np.stack([unit[:, own == c].sum(1) if (own == c).any() else middle[:, c] for c in range(len(centres))], 1)
+        middle = middle / np.maximum(np.linalg.norm(middle, axis=0), 1e-12)
+    own = np.argmax(unit.T @ middle, 1)
+    found = [rows[:, own == c].any(1) for c in range(len(centres))]
+    for c, members in enumerate(sorted(found, key=lambda m: -int(m.sum()))):
+        out[np.flatnonzero(toxic), c] = members
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -131,63 +173,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    names = [*CATEGORIES, label_col]
+    names = [*(f"kind_{k + 1}" for k in range(KINDS)), label_col]
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"), F.xxhash64(F.lit("fit"), F.col(id_col)).alias("_order")
     )
     sample = F.broadcast(sample.orderBy("_order", "_label").limit(rows))
     texts = docs.select(F.col(id_col).alias("_id"), blob(text_col).alias("text")).join(sample, "_id")
-    seeds = {name: np.array([hash_of(w) for w in words]) for name, words in CATEGORIES.items()}
+    counted = scratch.put(texts.select("text", "_order", (F.col("_label") == 1).cast("int").alias("label")))
+    n, positive = counted.agg(F.count("*"), F.sum("label")).first()
+    if not n:
+        return Links(names, np.empty(0, np.int64), [np.array([-40.0, *[0.0] * i]) for i in range(len(names))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, label = [], []
-            for text, y in zip(batch.column("text"), batch.column("_label").to_pylist(), strict=True):
-                raw = np.frombuffer(text.as_py(), np.uint8)
-                words = np.unique(word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64))
-                found.append(words)
-                label.append([int(y == 1 and np.isin(s, words).any()) for s in seeds.values()] + [int(y == 1)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("text"), batch.column("_order"), pa.array(label, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))],
-                ["text", "_order", "labels", "words"],
-            )
-
-    counted = scratch.put(texts.mapInArrow(count, "text binary, _order long, labels array<int>, words array<long>"))
-    k = len(names)
-    totals = counted.agg(F.count("*"), *[F.sum(F.col("labels")[i]) for i in range(k)]).first()
-    if not totals[0]:
-        return Links(names, np.empty(0, np.int64), [np.array([-40.0, *[0.0] * i]) for i in range(k)])
-    tables = counted.select(F.explode("words").alias("w"), "labels").groupBy("w").agg(F.count("*").alias("df"), *[F.sum(F.col("labels")[i]).alias(f"y{i}") for i in range(k)])
-    n = totals[0]
-    tables = scratch.put(tables.where(F.col("df") >= max(3, n // RARE)))
-    chosen: set[int] = set()
-    for i in range(k):
-        p = (totals[1 + i] or 0) / n
-        expected = F.col("df") * F.lit(p)
-        score = F.pow(F.col(f"y{i}") - expected, 2) / (expected * F.lit(1 - p) * (1 - F.col("df") / F.lit(n)) + F.lit(1e-9))
-        best = tables.orderBy(score.desc(), "w").limit(WORDS_A_LINK).select("w")
-        chosen.update(r["w"] for r in best.collect())
-    words = np.array(sorted(chosen), np.int64)
+            data, offsets = flat(batch.column("text"))
+            label, order = batch.column("label").to_numpy(), batch.column("_order").to_numpy()
+            for a, b in chunks(offsets):
+                found = [np.unique(term_hashes(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]) for i in range(a, b)]
+                row = np.repeat(np.arange(a, b), [len(f) for f in found])
+                h = np.concatenate(found)
+                if not len(h):
+                    continue
+                by = np.argsort(h, kind="stable")
+                h, row = h[by], row[by]
+                at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                columns = [h[at].view(np.int64), np.diff(np.append(at, len(h))), np.add.reduceat(label[row].astype(np.int64), at), np.bitwise_xor.reduceat(mix(order[row].view(np.uint64)), at).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w", "df", "y", "rows"])
+
+    tables = counted.mapInArrow(count, "w long, df long, y long, rows long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("y").alias("y"), F.bit_xor("rows").alias("rows"))
+    # terms that stand in the very same rows are one feature
+    listed = scratch.put(tables.where(F.col("df") >= MIN_ROWS).groupBy("df", "y", "rows").agg(F.min("w").alias("w")))
+    p = positive / n
+    expected = F.col("df") * F.lit(p)
+    score = F.pow(F.col("y") - expected, 2) / (expected * F.lit(1 - p) * (1 - F.col("df") / F.lit(n)) + F.lit(1e-9))
+    tables = listed.withColumn("score", score).where(F.col("score") >= 2 * np.log(max(2, listed.count())).item())  # beyond chance among so many
+    words = np.array(sorted(r["w"] for r in tables.orderBy(F.col("score").desc(), "w").limit(FEATURES).select("w").collect()), np.int64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             out = [features(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32) for a, b in chunks(offsets)]
             x = np.concatenate(out) if out else np.zeros((0, len(words)), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("labels"), pa.array([r.tobytes() for r in x], pa.binary())], ["_order", "labels", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["_order", "label", "x"])
 
-    got = counted.mapInArrow(vectors, "_order long, labels array<int>, x binary").toArrow().sort_by("_order")
-    scratch.drop(counted, tables)
+    got = counted.mapInArrow(vectors, "_order long, label int, x binary").toArrow().sort_by("_order")
+    scratch.drop(counted, listed)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, len(words))
-    y = np.array(got.column("labels").to_pylist(), np.float64)
+    y = got.column("label").to_numpy().astype(np.float64)
     fold = (np.abs(got.column("_order").to_numpy()) // 7) % FOLDS
-    return Links(names, words, fit_chain(x, y, fold))
+    return Links(names, words, fit_chain(x, np.column_stack((kinds_of(x, y), y)), fold))
 
 
 def score(docs: DataFrame, chain: Links, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """row (a struct of the carried columns, by default all) and p_<category> for every row of docs.
 
-    Null and empty texts have no words and get the chain's base rates; repeated rows get equal scores.
+    Null and empty texts have no terms and get the chain's base rates; repeated rows get equal scores.
     """
     carry = docs.columns if carry is None else carry
     model = docs.sparkSession.sparkContext.broadcast(chain)

@@ -75,6 +75,36 @@ def test_toxicity_finds_held_out_toxic_rows(spark):
     assert not any(r["p_toxic"] >= toxicity.THRESHOLD for r in scored if r["toxic"] == 0)
 
 
+def test_toxicity_needs_no_given_vocabulary(spark):
+    """Invented toxic stems of two scripts, one of them in 4 of 2,000 rows: every group feeds the chain, rare rows are found."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abdegiklmnorstu"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(2000):
+        stem = {0: "вжщю", 1: "zqxw", 2: "вжщю", 3: "zqxw"}.get(i % 40, "") if i >= 4 else "ψφξθ"
+        toxic = [stem + plain[(i * 7 + k) % 300] for k in range(2)] if stem else []
+        rows.append((i, " ".join([*rng.choice(plain, 12), *toxic]), int(bool(stem))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(chain.names) > 2 and chain.names[-1] == "toxic"
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain, carry=["doc_id"]).select("row.doc_id", *[f"p_{n}" for n in chain.names]).collect()}
+    assert all(any(r[f"p_{n}"] >= toxicity.THRESHOLD for r in got.values()) for n in chain.names)
+    assert all((got[i]["p_toxic"] >= toxicity.THRESHOLD) == (y == 1) for i, _, y in rows)
+
+
+def test_terms_of_words_do_not_cross_words_or_texts():
+    texts = ["ab  ça.", "", " ça"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    together, text = toxicity.term_hashes(data, offsets)
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        alone = toxicity.term_hashes(raw, np.array([0, len(raw)]))[0]
+        assert sorted(together[text == i].tolist()) == sorted(alone.tolist())
+    # "ça": the word, " ç", "ça", "a ", " ça", "ça ", " ça "
+    assert (text == 2).sum() == 7 and (text == 0).sum() == 14
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (5, None), (None, 1)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):
