@@ -1,8 +1,9 @@
 """Main text of web pages, with the site's template removed.
 
-Each page becomes a small element tree. Its removable subtrees (containers outside running text) are hashed; Spark counts on
-how many pages of a host each hash stands, and subtrees that recur on many pages of their host are deleted, next to
-what tags and names mark as furniture: menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments.
+Each page becomes a small element tree. Its removable subtrees (containers outside running text and articles that hold at most
+half of the page's text) are hashed; Spark counts for each hash how many pages of a host that differ in the rest of their text
+it stands on, and subtrees that recur so are deleted, next to what tags and names mark as furniture: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, comments.
 What is left of the article (or, without one, of the body) is the text.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import Scratch, table
 
-#: A subtree is template if it stands on at least this many pages of the host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.05
+#: A subtree is template if it stands on at least this many pages of the host, of any size, whose other texts differ.
+MIN_PAGES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -34,6 +35,7 @@ BLOCKS = frozenset(
 )
 #: Containers that a template may consist of; running text (paragraphs, headings, cells) never goes for recurring.
 CONTAINERS = frozenset("div section ul ol dl table header footer nav aside form figure details center".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th".split())
 #: What a start tag ends, up to the nearest of the elements behind it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -59,11 +61,11 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "mark")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "mark", "removable", "size", "total", "article")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.names, self.role, self.children, self.mark = tag, "", "", [], 0
-        self.hidden = False
+        self.hidden = self.removable = False
         if attributes:
             found = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attributes)}
             self.names = f"{found.get('class', '')} {found.get('id', '')}".strip()
@@ -145,23 +147,38 @@ def parse(source: str) -> Node:
     return root
 
 
-def mark(node: Node, found: dict[int, Node] | None = None, inside_text: bool = False) -> int:
-    """Hash every subtree; found gets the removable ones that hold text."""
-    digest = xxhash.xxh3_64(f"<{node.tag} {node.names}>".encode("utf-8", "surrogatepass"))
-    running = inside_text or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th")
-    for child in node.children:
-        if isinstance(child, str):
-            digest.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
-        else:
-            digest.update(mark(child, found, running).to_bytes(8, "little"))
-    node.mark = digest.intdigest()
-    if found is not None and node.tag in CONTAINERS and not inside_text and not _holds_article(node):
-        found[node.mark] = node
-    return node.mark
-
-
-def _holds_article(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in ("article", "main") or _holds_article(c)) for c in node.children)
+def mark(root: Node) -> dict[int, int]:
+    """Hash every subtree and say which are removable; for each mark of these, the sum of hashes of the page's other texts."""
+    nodes, todo = [], [(root, False, False)]
+    while todo:
+        node, running, kept = todo.pop()
+        gone = node.furniture() or node.tag == "header"
+        nodes.append((node, running or kept, gone))
+        running, kept = running or node.tag in RUNNING, kept or gone or node.tag in ("article", "main")
+        todo.extend((c, running, kept) for c in node.children if not isinstance(c, str))
+    for node, _, gone in reversed(nodes):  # children come before their parents
+        digest = xxhash.xxh3_64(f"<{node.tag} {node.names}>".encode("utf-8", "surrogatepass"))
+        node.size, node.total, node.article = 0, 0, node.tag in ("article", "main")
+        for child in node.children:
+            if isinstance(child, str):
+                raw = " ".join(child.split()).encode("utf-8", "surrogatepass")
+                digest.update(raw)
+                if raw and not gone:
+                    node.size += len(raw)
+                    node.total += xxhash.xxh3_64_intdigest(raw)
+            else:
+                digest.update(child.mark.to_bytes(8, "little"))
+                node.article |= child.article
+                if not gone:
+                    node.size += child.size
+                    node.total += child.total
+        node.mark = digest.intdigest()
+    found: dict[int, int] = {}
+    for node, barred, gone in nodes:
+        node.removable = node.tag in CONTAINERS and not (barred or gone or node.article) and 0 < 2 * node.size <= root.size
+        if node.removable:
+            found[node.mark] = found.get(node.mark, root.total) - node.total
+    return found
 
 
 def _articles(node: Node, tag: str) -> list[Node]:
@@ -191,7 +208,7 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
                 line.append(child)
             elif child.tag == "br":
                 line.append(" ")
-            elif child.furniture() or child.tag == "header" and not in_article or child.tag in CONTAINERS and child.mark in template:
+            elif child.furniture() or child.tag == "header" and not in_article or child.removable and child.mark in template:
                 if child.tag in BLOCKS:
                     end()
             elif child.tag in BLOCKS:
@@ -207,17 +224,23 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
     return out
 
 
+def _signed(x: int) -> int:
+    x %= 1 << 64
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        page, marks = [], []
+        page, marks, rests = [], [], []
         for i, source in enumerate(batch.column("html").to_pylist()):
-            found: dict[int, Node] = {}
-            mark(parse(source or ""), found)
+            found = mark(parse(source or ""))
             page.extend([i] * len(found))
-            marks.extend(m - (1 << 64) if m >> 63 else m for m in found)
+            marks.extend(map(_signed, found))
+            rests.extend(map(_signed, found.values()))
         at = pa.array(page, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key").take(at), batch.column("host").take(at), pa.array(marks, pa.int64())], ["key", "host", "mark"]
+            [batch.column("key").take(at), batch.column("host").take(at), pa.array(marks, pa.int64()), pa.array(rests, pa.int64())],
+            ["key", "host", "mark", "rest"],
         )
 
 
@@ -238,19 +261,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """row (a struct of the carried columns, by default all but the html) and text for every row of pages.
 
-    Null and empty html give an empty text; a null url is a host of its own; rows that are equal in url and html count as
-    one page. Counts per host come from partial aggregates, so a host of any size spreads over all tasks.
+    Null and empty html give an empty text; a null url is a host of its own; pages of equal
+    text count once. Counts per host come from partial aggregates, so a host of any size spreads over all tasks.
     """
     scratch = Scratch(pages.sparkSession)
     carry = [c for c in pages.columns if c != html_col] if carry is None else carry
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     key = F.xxhash64(F.col(url_col), F.col(html_col))
     keyed = pages.select(F.struct(*carry).alias("row"), key.alias("key"), host.alias("host"), F.col(html_col).alias("html"))
-    marks = scratch.put(keyed.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, mark long").dropDuplicates(["key", "host", "mark"]))
-    hosts = keyed.select("host", "key").groupBy("host").agg(F.count_distinct("key").alias("pages"))
-    common = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).join(hosts, "host")
-    template = scratch.put(common.where(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "mark"))
-    by_page = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    marks = scratch.put(keyed.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, mark long, rest long"))
+    common = marks.groupBy("host", "mark").agg(F.count_distinct("rest").alias("n"))
+    template = scratch.put(common.where(F.col("n") >= MIN_PAGES).select("host", "mark"))
+    by_page = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("marks"))
     joined = keyed.select("row", "key", "html").join(by_page, "key", "left").select("row", "html", "marks")
     schema = StructType([joined.schema["row"], *_parse_datatype_string("text string").fields])
     return joined.mapInArrow(_texts, schema)

@@ -171,6 +171,25 @@ def test_pages_keep_repeated_articles(spark):
     assert {r["text"] for r in html_text.main_text(df).collect()} == {"Same\nText"}
 
 
+def test_template_is_told_from_reposts_on_hosts_of_any_size(spark):
+    note = "<div><div>Section note: all times are local.</div><ul><li>one</ul></div>"
+    rows = [(i, f"http://big.example/{i}", f"<body><div>Page {i} says thing number {i} at some length, and more of it than notes.</div>{note if i < 4 else ''}") for i in range(400)]
+    bodies = {
+        "a": "<body><article><div>First half.</div><ul><li>Second half.</ul></article>",
+        "b": "<body><div><div>First half.</div><ul><li>Second half.</ul></div>",
+        "c": "<body><section>First half. Second half.</section><p>%d</p>",
+    }
+    for h, body in bodies.items():
+        rows += [(1000 + len(rows) + k, f"http://{h}.example/{k}", body.replace("%d", str(k))) for k in range(3)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["row"]["url"].split("/")[2].split(".")[0], []).append(r["text"])
+    assert by["a"] == by["b"] == ["First half.\nSecond half."] * 3
+    assert sorted(by["c"]) == [f"First half. Second half.\n{k}" for k in range(3)]
+    assert len(by["big"]) == 400 and not any("Section" in t for t in by["big"])
+
+
 def test_media_round_trip(spark):
     out = media.decode(media.store(odd(spark), carry=["doc_id"])).collect()
     assert len(out) == len(ODD)
