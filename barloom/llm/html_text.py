@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,6 +83,11 @@ def parse(source: str) -> Node:
     """An element tree of any input: open elements end where HTML lets them; a tag cut off at the end is dropped."""
     root = Node("html")
     stack, at, size = [root], 0, len(source)
+    opened: Counter[str] = Counter()  # tags on the stack, so that a deep one is searched only for what it holds
+
+    def cut(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def text(raw: str) -> None:
         if raw:
@@ -106,9 +112,9 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break  # an inline end tag does not end blocks
@@ -117,20 +123,22 @@ def parse(source: str) -> Node:
             node = Node(tag, attributes)
             if tag == "body":
                 root.children.append(node)
-                stack[1:] = [node]
+                cut(1)
+                stack.append(node)
+                opened[tag] += 1
             continue
         if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("table", "td", "th", "article", "body", "button"):
                     break
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in ends) else ():
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in bounds:
                     break
@@ -144,6 +152,7 @@ def parse(source: str) -> Node:
             at = size if not end else (source.find(">", end.start()) + 1 or size)
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
@@ -181,12 +190,15 @@ def mark(root: Node) -> dict[int, int]:
     return found
 
 
-def _articles(node: Node, tag: str) -> list[Node]:
-    if node.tag == tag:
-        return [node]
-    if node.furniture():
-        return []
-    return [x for c in node.children if not isinstance(c, str) for x in _articles(c, tag)]
+def _articles(root: Node, tag: str) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == tag:
+            out.append(node)
+        elif not node.furniture():
+            todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return out
 
 
 def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
@@ -202,21 +214,24 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
         if words:
             out.append(words)
 
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
+    def walk(top: Node) -> None:
+        todo: list[Node | str | None] = list(reversed(top.children))  # None: a block ends here
+        while todo:
+            child = todo.pop()
+            if child is None:
+                end()
+            elif isinstance(child, str):
                 line.append(child)
             elif child.tag == "br":
                 line.append(" ")
-            elif child.furniture() or child.tag == "header" and not in_article or child.removable and child.mark in template:
+            else:
                 if child.tag in BLOCKS:
                     end()
-            elif child.tag in BLOCKS:
-                end()
-                walk(child)
-                end()
-            else:
-                walk(child)
+                if child.furniture() or child.tag == "header" and not in_article or child.removable and child.mark in template:
+                    continue
+                if child.tag in BLOCKS:
+                    todo.append(None)
+                todo.extend(reversed(child.children))
 
     for top in tops:
         walk(top)

@@ -190,6 +190,12 @@ def test_template_is_told_from_reposts_on_hosts_of_any_size(spark):
     assert len(by["big"]) == 400 and not any("Section" in t for t in by["big"])
 
 
+def test_pages_of_any_depth(spark):
+    rows = [(i, "http://h.example/", f"<body>{t * 6000}deep") for i, t in enumerate(("<div>", "<b>", "<span><font>", "<article>", "<ul><li>"))]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["deep"] * len(rows)
+
+
 def test_media_round_trip(spark):
     out = media.decode(media.store(odd(spark), carry=["doc_id"])).collect()
     assert len(out) == len(ODD)
