@@ -474,9 +474,11 @@ ROUTES: list[tuple[Family, str | None]] = [
     (volume_shock, None),
     (calendar, None),
     (trend, "has_long_trend"),
+    (macd, "has_long_trend"),
     (oscillators, "has_short_reversion"),
     (wavelet, None),
     (kinematics, None),
+    (gmm_regimes, None),
     (liquidity, None),
     (order_flow, "is_volume_significant"),
     (volume_price, None),
@@ -489,26 +491,54 @@ ROUTES: list[tuple[Family, str | None]] = [
     (market_context, None),
     (shadow_pressure, None),
     (complexity, "is_high_complexity"),
+    (book_dynamics, None),
 ]
+#: Families built for a symbol's own lags, and their columns that do not depend on these.
+LAGGED, FIXED = (volume_shock, trend, oscillators), ("rsi_14",)
 
 
 def assemble(df: DataFrame, flags: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """All routed families side by side, and the new columns in route order.
 
     With flags (one row a symbol) the union of families is computed once and a family's columns are nulled for symbols whose
-    flag is off; one exchange by symbol serves every window.
+    flag is off; one exchange by symbol serves every window. If flags carry dynamic_lags, the families of LAGGED are built for the
+    union of all symbols' lags, if optimal_d, fractional differences for every d between 0 and 1; what a symbol's row does not
+    name is nulled for it. book_dynamics needs the columns of a book.
     """
     base = set(df.columns)
     names: list[str] = []
-    gates: dict[str, str] = {}
-    for family, flag in ROUTES:
-        df = family(df)
+    gates: dict[str, Column] = {}
+    given = flags.columns if flags is not None else []
+    lags = tuple(sorted(r[0] for r in flags.select(F.explode("dynamic_lags")).distinct().collect())) if "dynamic_lags" in given else ()
+    orders = sorted(r[0] for r in flags.where("optimal_d > 0 and optimal_d < 1").select("optimal_d").distinct().collect()) if "optimal_d" in given else []
+
+    def note(flag: Column | None = None) -> list[str]:
         new = [c for c in df.columns if c not in base and c not in names]
-        names += new
-        gates |= {c: flag for c in new if flag}
+        names.extend(new)
+        gates.update({c: flag for c in new if flag is not None})
+        return new
+
+    for family, flag in ROUTES:
+        if family is book_dynamics and "l2_spread" not in df.columns:
+            continue
+        gate = F.coalesce(F.col(flag), F.lit(False)) if flag else None
+        if lags and family in LAGGED:
+            short = F.filter("dynamic_lags", lambda k: k <= 20)
+            own = F.when(F.size(short) > 0, short).otherwise(F.array(*map(F.lit, (5, 10, 20)))) if family is oscillators else F.col("dynamic_lags")
+            df = family(df, tuple(sorted({*lags, 5, 10, 20})) if family is oscillators else lags)
+            for c in note(gate):
+                if c not in FIXED:
+                    named = F.array_contains(own, int(c.rsplit("_", 1)[1]))
+                    gates[c] = named if gate is None else gate & named
+        else:
+            df = family(df)
+            note(gate)
+    for d in orders:
+        df = fractional_memory(df, d)
+        note(F.round("optimal_d", 2) == round(d, 2))
     if flags is not None:
         df = df.join(flags, "symbol", "left")
-        df = df.withColumns({c: F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(c)) for c, flag in gates.items()})
+        df = df.withColumns({c: F.when(gate, F.col(f"`{c}`")) for c, gate in gates.items()})
         df = df.drop(*[c for c in flags.columns if c != "symbol"])
     return df, names
 

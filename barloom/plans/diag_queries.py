@@ -171,11 +171,13 @@ def diag_payload(spark, sf_dir):
 
 @query()
 def feat_routed(spark, sf_dir):
-    """All families, those that a symbol's diagnostics do not route nulled."""
+    """All families, those that a symbol's diagnostics do not route nulled, for the symbol's own lags and order."""
     df = panel(spark, sf_dir)
-    flags = D.payload(df).drop("dynamic_lags", "optimal_d", "dominant_cycle")
+    flags = D.payload(df).drop("dominant_cycle")
+    flags = spark.createDataFrame(flags.collect(), flags.schema)  # one row a symbol, read several times
     out, names = X.assemble(df, flags)
-    return shown(out, 3, *names)
+    plain = {n: n.replace(".", "_") for n in names}
+    return shown(out.withColumnsRenamed(plain), 3, *plain.values())
 
 
 #: Columns that plain SQL over the labeled panel gives back.

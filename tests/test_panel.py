@@ -95,6 +95,16 @@ def test_flags_gate_families(spark, frame):
     assert got["A"].ret_5.notna().sum() > 100 and got["B"].ret_5.isna().all() and got["B"].wavelet_approx_a3.notna().any()
 
 
+def test_symbols_get_their_own_lags_and_order(spark, frame):
+    flags = spark.createDataFrame([("A", [1, 5, 7], 0.3), ("B", [5, 20], 1.0)], "symbol string, dynamic_lags array<int>, optimal_d double")
+    flags = flags.withColumns({f: F.lit(True) for _, f in features.ROUTES if f})
+    df, names = features.assemble(panel(spark, frame), flags)
+    got = by_symbol(df.select("symbol", "ts", "ret_7", "rvol_7", "zscore_20", "rsi_14", "`frac_diff_d0.30`", "macd_dist", "gmm_prob_bull"))
+    assert len(names) == len(set(names))
+    for c, a, b in (("ret_7", 1, 0), ("rvol_7", 1, 0), ("zscore_20", 0, 1), ("rsi_14", 1, 1), ("frac_diff_d0.30", 1, 0), ("macd_dist", 1, 1), ("gmm_prob_bull", 1, 1)):
+        assert (got["A"][c].notna().any(), got["B"][c].notna().any()) == (a, b), c
+
+
 def test_last_labels_are_null(spark, frame):
     out = by_symbol(label.triple_barrier(label.local_volatility(panel(spark, frame)), h=5))
     for g in out.values():
