@@ -1,13 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items scans every text once.
 
 Normalising works on UTF-8 bytes: A-Z become a-z, every other ASCII byte that is not a letter or digit becomes a
-break, bytes from 0x80 stay. Words are joined by single spaces, so a pattern " w1 .. wk " can only match whole words, and
-the number of spaces before a match maps it back to words and to character offsets of the original text.
+break, bytes from 0x80 stay. Each word of the benchmark then stands as one letter of the automaton's alphabet and every
+other word as a letter of its own, so a text is scanned word by word, a match is whole words by construction, and its end
+maps straight back to words and to character offsets of the original text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,64 +20,83 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .common import Scratch, blob, table
 
 WINDOW = 10
-#: Benchmark text that one automaton may hold; more is scanned by further passes with an automaton each.
-MAX_AUTOMATON_BYTES = 16 << 20
+#: Trie nodes that one automaton may have, some 80 bytes each in every Python worker; more windows make further passes.
+MAX_NODES = 2_000_000
+#: Windows of an item that are dealt to a pass together.
+PIECE = 1_000
+#: Letters of an alphabet, less than Unicode has besides its surrogates.
+LETTERS = 1_000_000
 
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 _SCHEMA = (
-    "text binary, n_words long, n_hit long, items array<string>, "
+    "n_words long, n_hit long, items array<string>, "
     "spans array<struct<first_word:int,end_word:int,start_char:int,end_char:int>>"
 )
-NAMES = ["row", "text", "n_words", "n_hit", "items", "spans"]
 _SPAN = pa.struct([(c, pa.int32()) for c in ("first_word", "end_word", "start_char", "end_char")])
 _TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(_SPAN)}
-_AUTOMATA: dict[str, object] = {}
+_OTHER = "\0"
+_MACHINES: dict[str, Machine] = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows(items: Iterable[tuple[str, bytes]], width: int) -> dict[bytes, tuple[int, list[str]]]:
-    """Pattern -> (its words, ids of the items that hold it)."""
-    out: dict[bytes, tuple[int, list[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            part = words[i : i + width]
-            ids = out.setdefault(b" " + b" ".join(part) + b" ", (len(part), []))[1]
-            if item not in ids[-1:]:
-                ids.append(item)
-    return out
+def pieces_of(words: list[bytes], width: int, most: int) -> Iterator[tuple[bytes, int]]:
+    """(words joined by spaces, number of windows) of parts of an item, each window in one part."""
+    for i in range(0, max(1, len(words) - width + 1) if words else 0, most):
+        part = words[i : i + most + width - 1]
+        yield b" ".join(part), max(1, len(part) - width + 1)
+
+
+@dataclass
+class Machine:
+    """The automaton over letters, and each benchmark word's letter. A match gives (its words, ids of its items)."""
 
+    found: object
+    letters: dict[bytes, str]
 
-def automaton(patterns: dict[bytes, tuple[int, list[str]]]):
+
+def machine_of(pieces: Iterable[tuple[str, bytes]], width: int) -> Machine:
     import ahocorasick
 
+    letters: dict[bytes, str] = {}
+    windows: dict[str, list[str]] = {}
+    for item, text in pieces:
+        line = []
+        for word in text.split():
+            letter = letters.get(word)
+            if letter is None:
+                code = len(letters) + 1
+                letter = letters[word] = chr(code if code < 0xD800 else code + 0x800)
+            line.append(letter)
+        for i in range(max(1, len(line) - width + 1)):
+            ids = windows.setdefault("".join(line[i : i + width]), [])
+            if item not in ids[-1:]:
+                ids.append(item)
     found = ahocorasick.Automaton()
-    for pattern, value in patterns.items():
-        found.add_word(pattern.decode("latin-1"), value)
+    for window, ids in windows.items():
+        found.add_word(window, (len(window), ids))
     if len(found):
         found.make_automaton()
-    return found
+    return Machine(found, letters)
 
 
-def scan_text(text: bytes, machine) -> tuple[int, np.ndarray, set[str]]:
-    """Words of the text, a mask of the hit ones, ids of the items found."""
+def scan_text(text: bytes, machine: Machine) -> tuple[int, np.ndarray, set[str]]:
+    """Words of the text, a mask of the hit ones (empty: none), ids of the items found."""
     words = text.translate(_FOLD).split()
-    n, items = len(words), set()
-    if not n or not len(machine):
-        return n, np.zeros(0, bool), items
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    found = list(machine.iter(line))
+    n, items, none = len(words), set(), np.zeros(0, bool)
+    if not n or not len(machine.found):
+        return n, none, items
+    letter = machine.letters.get
+    found = list(machine.found.iter("".join([letter(w, _OTHER) for w in words])))
     if not found:
-        return n, np.zeros(0, bool), items
-    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    ends = np.searchsorted(spaces, np.fromiter((e for e, _ in found), np.int64, len(found)))
-    sizes = np.fromiter((v[0] for _, v in found), np.int64, len(found))
+        return n, none, items
     step = np.zeros(n + 1, np.int64)
+    ends = np.fromiter((e + 1 for e, _ in found), np.int64, len(found))
+    sizes = np.fromiter((v[0] for _, v in found), np.int64, len(found))
     np.add.at(step, ends - sizes, 1)
     np.add.at(step, ends, -1)
     for _, v in found:
@@ -98,36 +119,76 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     ]
 
 
-def _scanner(patterns, key: str):
+def _cutter(width: int, most: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(item, *p) for item, text in zip(*(batch.column(c).to_pylist() for c in ("item", "text")), strict=True) for p in pieces_of(words_of(text), width, most)]
+            yield pa.RecordBatch.from_pylist([{"item": i, "piece": p, "windows": n} for i, p, n in rows], pa.schema([("item", pa.string()), ("piece", pa.binary()), ("windows", pa.int64())]))
+
+    return cut
+
+
+def _reports(texts: pa.Array, found: list[tuple[int, np.ndarray, set[str]]]) -> list[pa.Array]:
+    """n_words, n_hit, items and spans of the texts."""
+    columns = (
+        [n for n, _, _ in found],
+        [int(hit.sum()) for _, hit, _ in found],
+        [sorted(ids) for _, _, ids in found],
+        [original_spans(t.as_py(), hit) if len(hit) else [] for t, (_, hit, _) in zip(texts, found, strict=True)],
+    )
+    return [pa.array(c, kind) for c, kind in zip(columns, _TYPES.values(), strict=True)]
+
+
+def _machine(key: str, pieces, width: int) -> Machine:
+    if key not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[key] = machine_of(pieces.value, width)
+    return _MACHINES[key]
+
+
+def _scanner(pieces, key: str, width: int):
+    """row, text -> row and what the automaton finds."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = automaton(patterns.value)
-        machine = _AUTOMATA[key]
+        machine = _machine(key, pieces, width)
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
             texts = batch.column("text")
-            old_items, old_spans = batch.column("items"), batch.column("spans")
-            for i, text in enumerate(texts):
-                text = text.as_py()
-                n, hit, ids = scan_text(text, machine)
-                if before := old_spans[i].as_py():
-                    hit = hit if len(hit) else np.zeros(n, bool)
-                    for s in before:
-                        hit[s["first_word"] : s["end_word"]] = True
-                ids.update(old_items[i].as_py())
-                n_words.append(n)
-                n_hit.append(int(hit.sum()))
-                items.append(sorted(ids))
-                spans.append(original_spans(text, hit) if len(hit) else [])
-            columns = [batch.column("row"), texts, n_words, n_hit, items, spans]
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, _TYPES[name]) for name, c in zip(NAMES, columns, strict=True)], NAMES
-            )
+            found = [scan_text(t.as_py(), machine) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *_reports(texts, found)], ["row", *_TYPES])
+
+    return scan
+
+
+def _hitter(pieces, key: str, width: int):
+    """a, b, text -> a, b, hit word ranges and items of the texts in which the automaton finds something."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(key, pieces, width)
+        for batch in batches:
+            found = [scan_text(t.as_py(), machine) for t in batch.column("text")]
+            at = [i for i, (_, hit, _) in enumerate(found) if len(hit)]
+            spans = [[{k: s[k] for k in ("first_word", "end_word")} for s in original_spans(batch.column("text")[i].as_py(), found[i][1])] for i in at]
+            rows = pa.array(at, pa.int64())
+            kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32())]))
+            columns = [batch.column("a").take(rows), batch.column("b").take(rows), pa.array(spans, kind), pa.array([sorted(found[i][2]) for i in at], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "hits", "ids"])
 
     return scan
 
 
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, text, hits, ids of all passes -> row and the report."""
+    for batch in batches:
+        texts, found = batch.column("text"), []
+        for text, hits, ids in zip(texts, batch.column("hits"), batch.column("ids"), strict=True):
+            n = len(words_of(text.as_py()))
+            hit = np.zeros(n if hits.is_valid else 0, bool)
+            for s in hits.as_py() or ():
+                hit[s["first_word"] : s["end_word"]] = True
+            found.append((n, hit, set(ids.as_py() or ())))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *_reports(texts, found)], ["row", *_TYPES])
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -137,42 +198,46 @@ def find_benchmark(
     item_text_col: str = "text",
     carry: list[str] | None = None,
     width: int = WINDOW,
-    max_automaton_bytes: int = MAX_AUTOMATON_BYTES,
+    max_nodes: int = MAX_NODES,
 ) -> DataFrame:
     """Return row (a struct of the carried columns, by default the id), n_words, n_hit, items (ids as strings, sorted)
     and spans for every row of docs.
 
     A window is width consecutive words of an item, or the whole item if it is shorter; a word inside any occurrence of
-    one is hit. The automaton is broadcast; when the items' text exceeds max_automaton_bytes (its size is
-    asked first), they are dealt by hash into blocks under that bound and each block makes one pass, the hits so far kept
-    in a written table. Null texts and items have no words; items without words match nothing; repeated rows are each
-    scanned; an empty benchmark hits nothing; other columns are ignored.
+    one is hit. What is broadcast is the items' words, and each Python worker builds the automaton of them. Where all
+    windows together could have more than max_nodes nodes, they are dealt by hash into passes of about half that; each pass
+    leaves only the hits of the texts that have any, which are joined to the texts in the end.
+    Null texts and items have no words; items without words match nothing; repeated rows are each scanned; an empty
+    benchmark hits nothing; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    most = max(1, min(max_nodes // width, LETTERS // width))
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), blob(item_text_col).alias("text")).where("item is not null")
-    size = kept.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-size // max_automaton_bytes))
-    rest = _parse_datatype_string(_SCHEMA)
-    rows = docs.select(
-        F.struct(*([id_col] if carry is None else carry)).alias("row"),
-        blob(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<string>").alias("items"),
-        F.array().cast(rest["spans"].dataType).alias("spans"),
-    )
-    schema = StructType([rows.schema["row"], *rest.fields])
-    scratch, before = Scratch(spark), None
+    pieces = scratch.put(kept.mapInArrow(_cutter(width, min(PIECE, most)), "item string, piece binary, windows long").distinct())
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    passes = 1 if total <= most else -(-2 * total // most)
+    keys = F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit("b"), F.col(text_col)).alias("b")
+    rows = docs.select(F.struct(*([id_col] if carry is None else carry)).alias("row"), *keys, blob(text_col).alias("text"))
+    schema = StructType([rows.schema["row"], *_parse_datatype_string(_SCHEMA).fields])
+
+    def shipped(k: int):
+        own = pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(passes)) == k) if passes > 1 else pieces
+        return spark.sparkContext.broadcast([(r["item"], bytes(r["piece"])) for r in own.select("item", "piece").collect()])
+
+    if passes == 1:
+        return rows.select("row", "text").mapInArrow(_scanner(shipped(0), scratch.root, width), schema)
+    kind, found = "a long, b long, hits array<struct<first_word:int,end_word:int>>, ids array<string>", []
     for k in range(passes):
-        block = kept.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else kept
-        patterns = spark.sparkContext.broadcast(windows(((r["item"], bytes(r["text"])) for r in block.toLocalIterator()), width))
-        rows = rows.mapInArrow(_scanner(patterns, f"{scratch.root}/{k}"), schema)
-        if k + 1 < passes:
-            rows = scratch.put(rows)
-            if before is not None:
-                scratch.drop(before)
-            before = rows
-    return rows.select("row", "n_words", "n_hit", "items", "spans")
+        sent = shipped(k)
+        found.append(scratch.put(rows.select("a", "b", "text").mapInArrow(_hitter(sent, f"{scratch.root}/{k}", width), kind).dropDuplicates(["a", "b"])))
+        sent.destroy()
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    merged = every.groupBy("a", "b").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    merged = scratch.put(merged)
+    scratch.drop(*found)
+    return rows.join(merged, ["a", "b"], "left").select("row", "text", "hits", "ids").mapInArrow(_merger, schema)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

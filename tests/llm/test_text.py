@@ -136,8 +136,8 @@ def test_decontamination_matches_brute_force(spark):
     ]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = sorted(str((d, *brute.hits([(d, t)], ITEMS)[d])) for d, t in rows)
-    for most in (decontaminate.MAX_AUTOMATON_BYTES, 30):  # one automaton, or several passes
-        out = decontaminate.find_benchmark(frame(spark, rows), items, max_automaton_bytes=most).collect()
+    for most in (decontaminate.MAX_NODES, 30):  # one automaton, or several passes of three windows
+        out = decontaminate.find_benchmark(frame(spark, rows), items, max_nodes=most).collect()
         assert sorted(str((r["row"]["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in out) == want
         text = {(d, t) for d, t in rows}
         for r in out:
