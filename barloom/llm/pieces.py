@@ -1,13 +1,14 @@
 """SentencePiece BPE with seeded merge-dropout, and its exact decoding.
 
 A text becomes "▁" + text with spaces written as "▁"; symbols are merged by the vocabulary's scores, leftmost first among
-equals, and characters without a piece become byte pieces. With dropout, a candidate merge is identified by the unit it
-stands in and the three character bounds of its two symbols; when the agenda reaches it, it is skipped for good if the
-keyed hash of (seed, variant, unit, bounds) falls under alpha. The outcome depends on nothing else, so a rerun or a retried task
-gives the same pieces. Occurrences of a unit are spread over VARIANTS hash-chosen variants, so a word is cut in several ways.
-
-Units end before a run of "▁" and around characters that no longer piece holds, across which nothing can merge, so equal
-units of a variant are cut once. Units are cut in lockstep in numpy; very long ones with a heap.
+equals, and characters without a piece become byte pieces. With dropout, a candidate merge is identified by the occurrence it
+stands in (the text's hash and the unit's place there) and the three character bounds of its two symbols; when the agenda reaches
+it, it is skipped for good if the keyed hash of these falls under alpha. Nothing else decides, so a rerun or a retried task gives the
+same pieces, and every occurrence of a word draws anew.
+
+Units end before a run of "▁" and around characters that no longer piece holds, across which nothing can merge. A unit is
+cut once without any skip, which also tells the merges in agenda order; an occurrence that skips none of these has that cut, the others are
+cut by their own hashes. Units are cut many at a time in numpy, one merge of each a step; very long ones with a heap.
 """
 
 from __future__ import annotations
@@ -17,37 +18,42 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import blob, chunks, flat, mix, powers, table
+from .common import blob, chunks, flat, mix, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, SEED, VARIANTS = 0.1, 17, 4
+ALPHA, SEED = 0.1, 17
 SPACE = "▁"
-#: Characters of a unit that is cut by the heap; units kept before the store starts anew.
-LONG, KEPT_UNITS = 64, 200_000
+#: Characters of a unit that is cut among others; longer ones are cut one by one with a heap.
+LONG = 64
+#: Units whose cut a Python worker keeps, some 300 bytes each; beyond, the least used half is forgotten.
+KEPT_UNITS = 400_000
 _LITERAL = "\ud800"
-_NONE = np.int64(1) << np.int64(60)
+_NEVER = (1 << 31) - 1
 
 
 @dataclass
 class Vocabulary:
-    """What executors need of a model file: plain pieces, byte pieces, and all merges as sorted keys."""
+    """What executors need of a model file.
+
+    pieces: bytes of each id; chars: ids of characters; merges: the rank of two ids' merge by a * base + b, lower ranks first;
+    made: the id that each rank makes.
+    """
 
     pieces: list[bytes]
     chars: dict[str, int]
     byte_ids: list[int]
-    pair_keys: np.ndarray
-    pair_ids: np.ndarray
-    rank: np.ndarray
+    base: int
+    merges: dict[int, int]
+    made: list[int]
     lonely: str
-    unknown: int
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -67,207 +73,300 @@ def load(model: str = MODEL) -> Vocabulary:
         pieces[i] = p.replace(SPACE, " ").encode()
     for b, i in enumerate(byte_ids):
         pieces[i] = bytes([b])
-    order = sorted(plain.values(), key=lambda i: (-sp.get_score(i), i))
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.arange(len(order))
-    keys, ids = [], []
+    made = sorted(plain.values(), key=lambda i: (-sp.get_score(i), i))
+    rank = {i: r for r, i in enumerate(made)}
+    base, merges = n + 1, {}  # one id more: a character without a piece, which merges with nothing
     for p, i in plain.items():
         for cut in range(1, len(p)):
-            a, b = plain.get(p[:cut]), plain.get(p[cut:])
-            if a is not None and b is not None:
-                keys.append(a * n + b)
-                ids.append(i)
-    at = np.argsort(keys)
+            x, y = plain.get(p[:cut]), plain.get(p[cut:])
+            if x is not None and y is not None:
+                merges[x * base + y] = rank[i]
     longer = set("".join(p for p in plain if len(p) > 1))
     lonely = "\n" if "\n" not in longer else ""
-    return Vocabulary(pieces, {p: i for p, i in plain.items() if len(p) == 1}, byte_ids, np.array(keys, np.int64)[at], np.array(ids, np.int64)[at], rank, lonely, sp.unk_id())
+    return Vocabulary(pieces, {p: i for p, i in plain.items() if len(p) == 1}, byte_ids, base, merges, made, lonely)
 
 
-def _skip(unit: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, alpha: float) -> np.ndarray:
-    """Whether the keyed hash drops each candidate."""
-    h = unit + begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = mix(h + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < alpha
+def _candidate(begin, middle, end):
+    return begin | middle << 21 | end << 42
+
+
+def skipped(key: np.ndarray, candidate: np.ndarray, alpha: float) -> np.ndarray:
+    """Whether the keyed hash skips each candidate merge (its bounds) of an occurrence (its key)."""
+    h = mix(key + candidate.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(11)) < np.uint64(int(alpha * (1 << 53)))
 
 
 def _bytes(c: str) -> bytes:
     return SPACE.encode() if c == _LITERAL else c.encode("utf-8", "surrogatepass")
 
 
+class _Ragged:
+    """Rows of integers one after another, in an array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.store, self.ends = np.empty(1 << 12, kind), np.zeros(1, np.int64)
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        at = int(self.ends[-1])
+        if at + len(values) > len(self.store):
+            self.store = np.concatenate((self.store[:at], np.empty(at + len(values), self.store.dtype)))
+        self.store[at : at + len(values)] = values
+        self.ends = np.concatenate((self.ends, at + np.cumsum(sizes)))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of rows one after another, and where each row begins (one more at the end)."""
+        first = self.ends[at]
+        total = np.concatenate(([0], np.cumsum(self.ends[at + 1] - first)))
+        return self.store[np.repeat(first - total[:-1], np.diff(total)) + np.arange(int(total[-1]))], total
+
+    def keep(self, at: np.ndarray) -> None:
+        self.store, self.ends = self.take(at)
+
+
+class _Known(dict):
+    """Units and their numbers; a new short one gets the next number and is listed, a long one gets -1."""
+
+    def __init__(self, *given) -> None:
+        super().__init__(*given)
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        if len(unit) > LONG:
+            return -1
+        self.new.append(unit)
+        self[unit] = at = len(self)
+        return at
+
+
 class Encoder:
-    """Cuts units and keeps them; one in each Python worker."""
+    """Cuts units and keeps the frequent ones; one in each Python worker."""
 
-    def __init__(self, words: Vocabulary, alpha: float, seed: int, variants: int) -> None:
-        self.v, self.alpha, self.seed = words, alpha, np.uint64(seed)
-        self.variants = variants if alpha > 0 else 1
+    def __init__(self, words: Vocabulary, alpha: float, seed: int, most: int = KEPT_UNITS) -> None:
+        self.v, self.alpha, self.seed, self.most = words, alpha, seed, most
         rest = f"{SPACE}{words.lonely}"
         self.units = re.compile(f"{words.lonely}+|{SPACE}+[^{rest}]*|[^{rest}]+" if words.lonely else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.char_id = np.full(0x110000, -1, np.int64)
+        self.char_id = np.full(0x110000, words.base - 1, np.int32)
         for c, i in words.chars.items():
             self.char_id[ord(c)] = i
-        bits = max(1, int(len(words.pair_keys) - 1).bit_length() + 3)
-        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64)
-        pending = np.arange(len(words.pair_keys))
-        home = self._home(words.pair_keys)
-        self.probes = 0
+        self.made = np.array(words.made, np.int32)
+        self.pairs = np.fromiter(words.merges.keys(), np.int64, len(words.merges))
+        self.pair_ranks = np.fromiter(words.merges.values(), np.int32, len(words.merges))
+        bits = max(1, int(len(self.pairs)).bit_length() + 2)
+        self.shift, self.slots, self.probes = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32), 0
+        pending = np.arange(len(self.pairs), dtype=np.int32)
         while len(pending):  # an open table: unplaced pairs try the next slot together
-            at = (home[pending] + self.probes) & (len(self.slots) - 1)
+            at = (self._home(self.pairs[pending]) + self.probes) & (len(self.slots) - 1)
             free = self.slots[at] < 0
             self.slots[at[free]] = pending[free]
             pending = pending[self.slots[at] != pending]
             self.probes += 1
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.store = np.empty(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
+        self.known = _Known()
+        self.ids, self.path = _Ragged(np.int32), _Ragged(np.int64)
+        self.used = np.zeros(0, np.int64)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The piece that two neighbouring symbols make, -1 if none."""
-        out = np.full(len(a), -1, np.int64)
-        todo = np.flatnonzero((a >= 0) & (b >= 0))
-        keys = a[todo] * len(self.v.pieces) + b[todo]
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank at which two neighbouring symbols merge, _NEVER if they do not."""
+        keys = a.astype(np.int64) * self.v.base + b
         home = self._home(keys)
-        for probe in range(self.probes):
-            slot = self.slots[(home + probe) & (len(self.slots) - 1)]
-            hit = (slot >= 0) & (self.v.pair_keys[slot] == keys)
-            out[todo[hit]] = self.v.pair_ids[slot[hit]]
-            more = (slot >= 0) & ~hit
-            todo, keys, home = todo[more], keys[more], home[more]
+        slot = self.slots[home]
+        hit = self.pairs[slot] == keys  # an empty slot reads the last pair, which stands elsewhere
+        out = np.where(hit & (slot >= 0), self.pair_ranks[slot], np.int32(_NEVER))
+        todo = np.flatnonzero((slot >= 0) & ~hit)
+        for probe in range(1, self.probes):
             if not len(todo):
                 break
+            slot = self.slots[(home[todo] + probe) & (len(self.slots) - 1)]
+            hit = (slot >= 0) & (self.pairs[slot] == keys[todo])
+            out[todo[hit]] = self.pair_ranks[slot[hit]]
+            todo = todo[(slot >= 0) & ~hit]
         return out
 
-    def cut(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units (each a variant's character and the unit) one after another, and where each ends."""
+    def cut(self, units: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Ids of short units one after another, their number for each; the same of the merges made, in the agenda's order.
+
+        With keys (one a unit) candidates are skipped by their hashes."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(sizes) - sizes
-        sums = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(mix(code.astype(np.uint64) + self.seed) * powers(len(code)), out=sums[1:])
-        unit_key = mix((sums[first + sizes] - sums[first]) * powers(len(sums), True)[first] + self.seed)
-        own = np.repeat(np.arange(len(units)), sizes)
-        inside = np.ones(len(code), bool)
-        inside[first] = False
-        own, code = own[inside], code[inside]
-        sym = self.char_id[code]
-        begin = np.arange(len(code)) - (np.cumsum(sizes - 1) - (sizes - 1))[own]
-        end = begin + 1
-        long = sizes - 1 > LONG
-        done: list[tuple] = []
-        if long.any():
-            for u in np.flatnonzero(long):
-                at = np.flatnonzero(own == u)
-                s, b = self._heap(sym[at], unit_key[u])
-                done.append((np.full(len(s), u), b, s))
-            keep = ~long[own]
-            own, sym, begin, end = own[keep], sym[keep], begin[keep], end[keep]
-        while len(own):
-            pair = np.full(len(own), -1, np.int64)
-            inner = np.flatnonzero(own[1:] == own[:-1])
-            pair[inner] = self.merged(sym[inner], sym[inner + 1])
-            if self.alpha > 0:
-                at = np.flatnonzero(pair >= 0)
-                pair[at[_skip(unit_key[own[at]], begin[at], end[at], end[at + 1], self.alpha)]] = -1
-            new = np.ones(len(own), bool)
-            new[1:] = own[1:] != own[:-1]
-            starts = np.flatnonzero(new)
-            order = np.where(pair >= 0, (self.v.rank[pair] << 32) + np.arange(len(own)), _NONE)
-            best = np.minimum.reduceat(order, starts)
-            over = np.repeat(best == _NONE, np.diff(np.append(starts, len(own))))
-            if over.any():
-                done.append((own[over], begin[over], sym[over]))
-            at = (best[best != _NONE] & np.int64(0xFFFFFFFF)).astype(np.int64)
-            sym[at], end[at] = pair[at], end[at + 1]
-            keep = ~over
-            keep[at + 1] = False
-            own, sym, begin, end = own[keep], sym[keep], begin[keep], end[keep]
-        own, begin, sym = (np.concatenate([d[i] for d in done]) if done else np.empty(0, np.int64) for i in range(3))
-        at = np.lexsort((begin, own))
-        own, begin, sym = own[at], begin[at], sym[at]
-        odd = np.flatnonzero(sym < 0)
-        count = np.ones(len(sym), np.int64)
+        group = (sizes + 3) // 4
+        parts = []
+        for g in np.unique(group).tolist():
+            rows = np.flatnonzero(group == g)
+            for at in np.array_split(rows, -(-len(rows) // 50_000)):
+                parts.append((at, *self._together(code, first[at], sizes[at], 4 * g, None if keys is None else keys[at])))
+        n_ids, n_path = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        for at, _, n, _, m in parts:
+            n_ids[at], n_path[at] = n, m
+        out = []
+        for n, i in ((n_ids, 1), (n_path, 3)):
+            begin = np.cumsum(n) - n
+            values = np.empty(int(n.sum()), np.int32 if i == 1 else np.int64)
+            for part in parts:
+                own = n[part[0]]
+                values[np.repeat(begin[part[0]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = part[i]
+            out += [values, n]
+        return tuple(out)
+
+    def _together(self, code: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, keys: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """cut() for units of nearly the same length: a symbol a column, one more column on each side."""
+        n, wide = len(first), width + 2
+        column = np.arange(1, width + 1)
+        inside = column <= sizes[:, None]
+        whole = np.full((n, wide), -1, np.int32)
+        whole[:, 1:-1][inside] = self.char_id[code[(first[:, None] + column - 1)[inside]]]
+        ranks = np.full((n, wide), _NEVER, np.int32)
+        pair = np.flatnonzero(inside[:, 1:]) // (width - 1) * wide + np.flatnonzero(inside[:, 1:]) % (width - 1) + 1
+        sym, rank = whole.reshape(-1), ranks.reshape(-1)  # places are row * wide + column
+        rank[pair] = self.ranks(sym[pair], sym[pair + 1])
+        right = np.arange(1, n * wide + 1)
+        left = right - 2
+        path = np.full((n, width), -1, np.int64)
+        live, step = np.arange(n), 0
+        while True:
+            column = ranks.argmin(axis=1) if len(live) == n else ranks[live].argmin(axis=1)
+            i = live * wide + column
+            best = rank[i]
+            going = np.flatnonzero(best < _NEVER)
+            if len(going) < len(live):
+                live, column, i, best = live[going], column[going], i[going], best[going]
+            if not len(live):
+                break
+            j = right[i]
+            e = right[j]
+            begin = column - 1
+            candidate = _candidate(begin, begin + (j - i), begin + (e - i))
+            if keys is not None:
+                gone = skipped(keys[live], candidate, self.alpha)
+                rank[i[gone]] = _NEVER
+                stay = np.flatnonzero(~gone)
+                i, j, e, best = i[stay], j[stay], e[stay], best[stay]
+            else:
+                path[live, step] = candidate
+            step += 1
+            p, new = left[i], self.made[best]
+            sym[i], sym[j], right[i], left[e], rank[j] = new, -1, e, i, _NEVER
+            both = self.ranks(np.concatenate((new, sym[p])), np.concatenate((sym[e], new)))
+            rank[i], rank[p] = both[: len(i)], both[len(i) :]
+        ids = whole[:, 1:-1]
+        kept = ids >= 0
+        count = kept.sum(axis=1)
+        out = ids[kept]
+        odd = np.flatnonzero(out == self.v.base - 1)
         if len(odd):
-            where = np.cumsum(sizes - 1) - (sizes - 1)
-            raw = [_bytes(chr(c)) for c in code[where[own[odd]] + begin[odd]].tolist()]
-            count[odd] = [len(r) for r in raw]
-            ids = np.repeat(sym, count)
-            ids[np.repeat(sym < 0, count)] = np.array(self.v.byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
-        else:
-            ids = sym
-        return ids.astype(np.int32), np.cumsum(np.bincount(own, weights=count, minlength=len(units)).astype(np.int64))
-
-    def _heap(self, sym: np.ndarray, key: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one long unit: an agenda of candidates by (rank, place)."""
-        n, s = len(sym), sym.tolist()
-        pairs = {}
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        end = list(range(1, n + 1))
-        agenda: list[tuple] = []
-        unit = np.array([key], np.uint64)
+            where = np.flatnonzero(kept)[odd]
+            own = where // width
+            raw = [_bytes(chr(c)) for c in code[first[own] + where % width].tolist()]
+            times = np.ones(len(out), np.int64)
+            times[odd] = [len(r) for r in raw]
+            count += np.bincount(own, weights=times[odd] - 1, minlength=n).astype(np.int64)
+            spelt = np.repeat(out == self.v.base - 1, times)
+            out = np.repeat(out, times)
+            out[spelt] = np.array(self.v.byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
+        made = path >= 0
+        return out, count, path[made], made.sum(axis=1)
+
+    def heap(self, unit: str, key: int) -> list[int]:
+        """Ids of one occurrence of a long unit: an agenda of candidates by (rank, place)."""
+        merge, base, n = self.v.merges.get, self.v.base, len(unit)
+        s = [self.v.chars.get(c, base - 1) for c in unit]
+        left, right, end, gone = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1)), [False] * n
+        agenda: list[tuple[int, int, int, int]] = []
+        own = np.array([key], np.uint64)
 
         def offer(i: int) -> None:
             j = right[i]
-            if i < 0 or j >= n or s[i] < 0 or s[j] < 0:
-                return
-            p = pairs.get((s[i], s[j]))
-            if p is None:
-                p = pairs[s[i], s[j]] = int(self.merged(np.array([s[i]]), np.array([s[j]]))[0])
-            if p >= 0:
-                heapq.heappush(agenda, (int(self.v.rank[p]), i, end[i], end[j], p))
+            r = merge(s[i] * base + s[j]) if i >= 0 and j < n else None
+            if r is not None:
+                heapq.heappush(agenda, (r, i, end[i], end[j]))
 
         for i in range(n - 1):
             offer(i)
-        gone = [False] * n
         while agenda:
-            _, i, middle, last, p = heapq.heappop(agenda)
+            r, i, middle, last = heapq.heappop(agenda)
             j = right[i]
             if gone[i] or end[i] != middle or j >= n or end[j] != last:
                 continue
-            if self.alpha > 0 and _skip(unit, np.array([i]), np.array([middle]), np.array([last]), self.alpha)[0]:
+            if self.alpha > 0 and skipped(own, np.array([_candidate(i, middle, last)]), self.alpha)[0]:
                 continue
-            s[i], end[i], gone[j], right[i] = p, last, True, right[j]
+            s[i], end[i], gone[j], right[i] = self.v.made[r], last, True, right[j]
             if right[j] < n:
                 left[right[j]] = i
             if left[i] >= 0:
                 offer(left[i])
             offer(i)
-        kept = [i for i in range(n) if not gone[i]]
-        return np.array([s[i] for i in kept], np.int64), np.array(kept, np.int64)
+        spelt = ((s[i],) if s[i] != base - 1 else (self.v.byte_ids[b] for b in _bytes(unit[i])) for i in range(n) if not gone[i])
+        return [x for ids in spelt for x in ids]
+
+    def forget(self) -> None:
+        """Keep the units used most, half of those allowed."""
+        keep = self.used > np.sort(self.used)[-(self.most // 2)]
+        new, kept, listed = np.cumsum(keep) - 1, np.flatnonzero(keep), keep.tolist()
+        self.known = _Known({u: int(new[i]) for u, i in self.known.items() if listed[i]})
+        self.ids.keep(kept)
+        self.path.keep(kept)
+        self.used = self.used[kept] // 2
 
     def units_of(self, text: str) -> list[str]:
-        """The text's units, each behind the character of its variant. A literal "▁" stands as the lone surrogate
-        _LITERAL, which no text holds, so that it becomes byte pieces and decoding gives it back."""
-        if not text:
-            return []
-        salt = len(text) * 31 + ord(text[0]) + ord(text[-1]) + int(self.seed)
-        units = self.units.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE))
-        draw = mix(np.arange(len(units), dtype=np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
-        draw = (draw % np.uint64(self.variants)).astype(np.uint8) + 97
-        return list(map(add, draw.tobytes().decode("latin-1"), units))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The text's units. A literal "▁" stands as the lone surrogate _LITERAL, which no text holds, so that it becomes byte
+        pieces and decoding gives it back."""
+        return self.units.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)) if text else []
+
+    def keys_of(self, raw: bytes, n: int) -> np.ndarray:
+        """A key for each of the n units of a text."""
+        return mix(np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(raw, self.seed)))
+
+    def encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin (one more at the end)."""
-        listed = [self.units_of(t) for t in texts]
+        if len(self.known) > self.most:
+            self.forget()
+        listed = [self.units_of(r.decode("utf-8", "surrogatepass")) for r in raws]
+        bounds = np.cumsum([0, *map(len, listed)])
         units = [u for x in listed for u in x]
-        if len(self.known) > KEPT_UNITS:
-            self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if new:
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-            ids, ends = self.cut(new)
-            self.store = np.concatenate((self.store, ids))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + ends))
+        if not units:
+            return np.empty(0, np.int32), bounds
+        keys = np.concatenate([self.keys_of(r, len(x)) for r, x in zip(raws, listed, strict=True)])
         at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total = np.concatenate(([0], np.cumsum(size)))
-        place = np.repeat(first - total[:-1], size) + np.arange(int(total[-1]))
-        return self.store[place], total[np.cumsum([0, *map(len, listed)])]
+        if new := self.known.new:
+            ids, n_ids, path, n_path = self.cut(new, None)
+            self.ids.extend(ids, n_ids)
+            self.path.extend(path, n_path)
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+            self.known.new = []
+        short = np.flatnonzero(at >= 0)
+        np.add.at(self.used, at[short], 1)
+        own_cut = short[self._with_skips(at[short], keys[short])] if self.alpha > 0 else short[:0]
+        size = np.zeros(len(units), np.int64)
+        plain = at >= 0
+        plain[own_cut] = False
+        plain = np.flatnonzero(plain)
+        parts = [(plain, *self.ids.take(at[plain]))]
+        if len(own_cut):
+            ids, n, _, _ = self.cut([units[i] for i in own_cut.tolist()], keys[own_cut])
+            parts.append((own_cut, ids, np.concatenate(([0], np.cumsum(n)))))
+        if len(short) < len(at):
+            rest = np.flatnonzero(at < 0)
+            cuts = [self.heap(units[i], int(keys[i])) for i in rest.tolist()]
+            parts.append((rest, np.array([x for c in cuts for x in c], np.int32), np.cumsum([0, *map(len, cuts)])))
+        for where, _, total in parts:
+            size[where] = np.diff(total)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(int(begin[-1]), np.int32)
+        for where, ids, total in parts:
+            out[np.repeat(begin[where] - total[:-1], np.diff(total)) + np.arange(len(ids))] = ids
+        return out, begin[bounds]
+
+    def _with_skips(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences that skip a merge of their unit's cut."""
+        found = []
+        for a in range(0, len(at), 100_000):
+            candidates, first = self.path.take(at[a : a + 100_000])
+            own = np.repeat(np.arange(a, a + len(first) - 1), np.diff(first))
+            hit = own[skipped(keys[own], candidates, self.alpha)]
+            found.append(hit[np.append(True, hit[1:] != hit[:-1])] if len(hit) else hit)
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def decode(ids: list[int], pieces: list[bytes]) -> bytes:
@@ -285,7 +384,6 @@ def encode_texts(
     model: str = MODEL,
     alpha: float = ALPHA,
     seed: int = SEED,
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """row (a struct of the carried columns, by default all), ids (array of piece ids) and lossless for every row.
 
@@ -298,18 +396,18 @@ def encode_texts(
     rows = docs.select(F.struct(*carry).alias("row"), blob(text_col).alias("text"))
     schema = StructType([rows.schema["row"], *_parse_datatype_string("ids array<int>, lossless boolean").fields])
 
-    key = (uuid.uuid4().hex, alpha, seed, variants)
+    key = (uuid.uuid4().hex, alpha, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(words.value, alpha, seed, variants)
+            _ENCODERS[key] = Encoder(words.value, alpha, seed)
         encoder, pieces = _ENCODERS[key], words.value.pieces
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 raw = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-                ids, first = encoder.encode([r.decode("utf-8", "surrogatepass") for r in raw])
+                ids, first = encoder.encode(raw)
                 flat_ids = ids.tolist()
                 lossless = [decode(flat_ids[i:j], pieces) == r for r, i, j in zip(raw, first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 listed = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))

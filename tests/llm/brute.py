@@ -104,3 +104,17 @@ def bpe(text, merges, pieces, skip=lambda *a: False):
             continue
         i = best[1]
         s[i : i + 2] = [(best[2], s[i][1], s[i + 1][2])]
+
+
+def spelt(symbols, unit, words):
+    """Symbols with byte pieces for the characters that have no piece."""
+    out, at = [], 0
+    for s in symbols:
+        if s == words.base - 1:
+            c = "▁" if unit[at] == "\ud800" else unit[at]
+            out += [words.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+            at += 1
+        else:
+            out.append(s)
+            at += len(words.pieces[s].decode())
+    return out

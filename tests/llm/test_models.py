@@ -29,33 +29,44 @@ def words():
 
 def test_pieces_without_dropout_are_the_models(words):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    texts = [t for _, t in corpus() if t]
-    ids, first = pieces.Encoder(words, 0.0, 1, 4).encode(texts)
+    texts = [t for _, t in corpus() if t] + ["x" * 100 + " a" * 3]
+    ids, first = pieces.Encoder(words, 0.0, 1).encode([t.encode() for t in texts])
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [sp.encode(t) for t in texts]
 
 
 def test_dropout_follows_the_agenda(words):
-    """Lockstep, heap and a plain loop over candidates give the same pieces; variants and seeds give others."""
-    e = pieces.Encoder(words, 0.3, 5, 4)
-    n = len(words.pieces)
-    merges = {(int(k) // n, int(k) % n): (int(words.rank[i]), int(i)) for k, i in zip(words.pair_keys, words.pair_ids, strict=True)}
-    units = [u for _, t in corpus() if t for u in e.units_of(t) if len(u) < 30][:300]
-    ids, ends = e.cut(units)
-    at = 0
-    for u, end in zip(units, ends.tolist(), strict=True):
-        code = np.array([ord(c) for c in u], np.uint64)
-        sums = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(common.mix(code + e.seed) * common.powers(len(code)), out=sums[1:])
-        key = common.mix(sums[-1:] + e.seed)
-
-        def skip(a, b, c, key=key):
-            return bool(pieces._skip(key, np.array([a]), np.array([b]), np.array([c]), 0.3)[0])
-
-        s = brute.bpe([int(e.char_id[ord(c)]) for c in u[1:]], merges, words.pieces, skip)
-        assert ids[at:end].tolist() == [x for k, x in enumerate(s) if x >= 0] or -1 in s
-        at = end
-    other = pieces.Encoder(words, 0.3, 6, 4).cut(units)[0]
-    assert len(other) != len(ids) or (other != ids).any()
+    """Steps in numpy, the heap and a plain loop over candidates give the same pieces, also with few units kept."""
+    merges = {divmod(k, words.base): (r, words.made[r]) for k, r in words.merges.items()}
+    texts = [t.encode() for _, t in corpus() if t and len(t) < 4000] + [("ab" * 50 + "c").encode(), "▁ 🙂\u0000 naïve 🙂🙂".encode()]
+    for most in (pieces.KEPT_UNITS, 40):
+        e = pieces.Encoder(words, 0.3, 5, most)
+        got = [e.encode(texts[i : i + 5]) for i in range(0, len(texts), 5)]
+        found = [ids[a:b].tolist() for ids, first in got for a, b in zip(first[:-1], first[1:], strict=True)]
+        for raw, ids in zip(texts, found, strict=True):
+            units, want = e.units_of(raw.decode()), []
+            for u, key in zip(units, e.keys_of(raw, len(units)), strict=True):
+
+                def skip(a, b, c, key=key):
+                    return bool(pieces.skipped(np.array([key]), np.array([pieces._candidate(a, b, c)]), 0.3)[0])
+
+                own = brute.bpe([words.chars.get(c, words.base - 1) for c in u], merges, words.pieces, skip)
+                assert e.heap(u, int(key)) == brute.spelt(own, u, words)
+                want += brute.spelt(own, u, words)
+            assert ids == want
+    other, _ = pieces.Encoder(words, 0.3, 6).encode(texts)
+    assert other.tolist() != [i for f in found for i in f]
+
+
+def test_occurrences_of_a_word_are_cut_in_many_ways(words):
+    e = pieces.Encoder(words, 0.3, 5)
+    one, _ = e.encode([("international " * 2000).encode()])
+    two, _ = e.encode([("international " * 2000 + "x").encode()])
+    assert one[:4000].tolist() != two[:4000].tolist()  # by text, not only by place
+    cuts = set()
+    for k in range(300):
+        ids, _ = e.encode([f"international {k}".encode()])
+        cuts.add(tuple(ids[:-1].tolist()))
+    assert len(cuts) > 12
 
 
 def test_pieces_of_odd_rows_decode(spark):
