@@ -3,7 +3,8 @@
 A payload becomes frames of 24 x 24 grey samples, each a JPEG of the lossless process (SOF3, 8 bits, predictor 1), in a
 RIFF AVI with an idx1 index. The Huffman table gives a difference of s bits a code of 9 - s bits, so that every sample takes
 9 bits, code and extra bits together: a legal table (only the all-ones code is left over, as the standard asks) that numpy
-can decode without a loop over samples. Readers go by the index: parse RIFF, find frames, parse markers, decode.
+can decode without a loop over samples. Readers go by the index: parse RIFF, find frames, parse markers, decode; files of other makers
+with baseline or lossless frames are read too (jpeg.py), whatever their size and rate.
 
 Shots: grey histograms of neighbouring frames are compared; a cut is where the difference stands out from the mean and
 deviation of the differences around it. Clips carry their frames and times.
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import blob, flat, table
+from . import jpeg
+from .common import blob, chunks, flat, table
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -137,41 +139,76 @@ def _chunks_of(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, in
         at += 8 + size + size % 2
 
 
-def read_index(media: bytes) -> np.ndarray:
-    """(begin, end) of each video frame in the file, from idx1."""
-    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
+def _lists_of(media: bytes) -> dict[bytes, tuple[int, int]]:
+    if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("no RIFF AVI")
-    parts = {name: (a, b) for name, a, b in _chunks_of(media, 12, 8 + struct.unpack_from("<I", media, 4)[0])}
+    found: dict[bytes, tuple[int, int]] = {}
+    for name, a, b in _chunks_of(media, 12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0])):
+        found.setdefault(name, (a, b))
+    if b"movi" not in found:
+        raise ValueError("no movi list")
+    return found
+
+
+def read_index(media: bytes) -> np.ndarray:
+    """(begin, end) of each video frame in the file, from idx1, or from the movi list where there is no index."""
+    parts = _lists_of(media)
+    movi = parts[b"movi"]
+    if b"idx1" not in parts:
+        flat_list = [c for name, a, b in _chunks_of(media, *movi) for c in (_chunks_of(media, a, b) if name == b"rec " else [(name, a, b)])]
+        return np.array([(a, b) for name, a, b in flat_list if name[2:] in (b"dc", b"db")], np.int64).reshape(-1, 2)
     a, b = parts[b"idx1"]
-    rows = np.frombuffer(media, np.dtype([("id", "S4"), ("flags", "<u4"), ("offset", "<u4"), ("size", "<u4")]), (b - a) // 16, a)
-    rows = rows[rows["id"] == b"00dc"]
-    begin = rows["offset"].astype(np.int64) + parts[b"movi"][0] - 4 + 8  # offsets count from the list's type
-    return np.stack((begin, begin + rows["size"]), 1)
-
-
-def _scan_of(frame: bytes) -> int:
-    """Where a frame's coded data begins; refuses what write_avi does not produce."""
-    at = 2
-    while True:
-        marker, size = struct.unpack_from(">HH", frame, at)
-        if marker == 0xFFC3 and frame[at + 4 : at + 10] != struct.pack(">BHHB", 8, SIDE, SIDE, 1):
-            raise ValueError("other than 24 x 24 samples of 8 bits")
-        if marker == 0xFFC4 and frame[at : at + 2 + size] != _DHT:
-            raise ValueError("another Huffman table")
-        at += 2 + size
-        if marker == 0xFFDA:
-            return at
+    rows = np.frombuffer(media, np.uint8, (b - a) // 16 * 16, a).reshape(-1, 16)
+    rows = rows[(rows[:, 2] == ord("d")) & ((rows[:, 3] == ord("c")) | (rows[:, 3] == ord("b")))]
+    place, size = (np.ascontiguousarray(rows[:, i : i + 4]).view("<u4")[:, 0].astype(np.int64) for i in (8, 12))
+    if not len(rows):
+        return np.empty((0, 2), np.int64)
+    for base in (movi[0] - 4, 0):  # offsets count from the list's type, in some files from the file's beginning
+        first = base + int(place[0])
+        if media[first : first + 4] == rows[0, :4].tobytes():
+            break
+    else:
+        raise ValueError("the index points at no frame")
+    begin = place + base + 8
+    if (begin + size > len(media)).any():
+        raise ValueError("the index passes the file's end")
+    return np.stack((begin, begin + size), 1)
+
+
+def read_rate(media: bytes) -> float:
+    """Frames a second by the video stream's header, RATE where it does not say."""
+    at = _lists_of(media).get(b"hdrl", (0, 0))
+    for name, a, b in _chunks_of(media, *at):
+        for inner, x, y in _chunks_of(media, a, b) if name == b"strl" else ():
+            if inner == b"strh" and media[x : x + 4] == b"vids" and y - x >= 28:
+                scale, rate = struct.unpack_from("<II", media, x + 20)
+                if scale and rate:
+                    return rate / scale
+    return float(RATE)
 
 
 def read_frames(media: bytes) -> np.ndarray:
-    """All frames as (n, 24, 24) samples, decoded from the stored bytes by the index."""
-    spans = read_index(media)
+    """All frames as (n, height, width) grey samples, decoded from the stored bytes by the index; ValueError if unreadable."""
+    try:
+        spans = read_index(media)
+    except (struct.error, IndexError) as e:
+        raise ValueError("a broken RIFF file") from e
+    if not len(spans):
+        raise ValueError("no video frame")
+    if all(media[a : a + len(_HEAD)] == _HEAD and media[b - 2 : b] == _TAIL for a, b in spans.tolist()):
+        frames = _own_frames(media, spans)
+        if frames is not None:
+            return frames
+    frames = [jpeg.decode(media[a:b]) for a, b in spans.tolist() if b > a]  # an empty chunk repeats the frame before
+    if len({f.shape for f in frames}) != 1:
+        raise ValueError("frames of different sizes")
+    return np.stack(frames)
+
+
+def _own_frames(media: bytes, spans: np.ndarray) -> np.ndarray | None:
+    """Frames under write_avi's header, all at once; None if their coded data has another length."""
     data = np.frombuffer(media, np.uint8)
-    heads = {media[a : a + len(_HEAD)] for a in spans[:, 0].tolist()}
-    skip = {_scan_of(h) for h in heads}
-    if len(skip) != 1:
-        raise ValueError("frames with different headers")
-    begin, end = spans[:, 0] + skip.pop(), spans[:, 1] - 2
+    begin, end = spans[:, 0] + len(_HEAD), spans[:, 1] - 2
     size = end - begin
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     coded = data[at]
@@ -179,7 +216,7 @@ def read_frames(media: bytes) -> np.ndarray:
     keep[1:] = (coded[1:] != 0) | (coded[:-1] != 0xFF)
     coded = coded[keep]
     if len(coded) != len(spans) * _CODED:
-        raise ValueError("coded data of another length")
+        return None
     d = _DIFFERENCE[_unpack(coded)].reshape(-1, SIDE, SIDE).astype(np.int64)
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1) + 128
     return np.cumsum(d, axis=2).astype(np.uint8)
@@ -190,9 +227,10 @@ def shots_of(frames: np.ndarray) -> np.ndarray:
     n = len(frames)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
-    cell = (np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).reshape(-1)
+    flat_frames = frames.reshape(n, -1)
+    cell = (np.arange(n)[:, None] * BINS + (flat_frames >> 4)).reshape(-1)
     histogram = np.bincount(cell, minlength=n * BINS).reshape(n, BINS)
-    change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2 * FRAME)
+    change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2 * flat_frames.shape[1])
     m = len(change)
     sums, squares = np.concatenate(([0], np.cumsum(change))), np.concatenate(([0], np.cumsum(change**2)))
     low, high = np.maximum(np.arange(m) - REACH, 0), np.minimum(np.arange(m) + REACH + 1, m)
@@ -206,12 +244,12 @@ def shots_of(frames: np.ndarray) -> np.ndarray:
 _CLIP = pa.struct([("shot", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean", pa.float64())])
 
 
-def clips_of(frames: np.ndarray) -> list[dict]:
+def clips_of(frames: np.ndarray, rate: float = RATE) -> list[dict]:
     first = shots_of(frames)
     last = np.append(first[1:], len(frames))
-    light = np.add.reduceat(frames.reshape(len(frames), -1).sum(axis=1, dtype=np.int64), first) / ((last - first) * FRAME)
+    light = np.add.reduceat(frames.reshape(len(frames), -1).sum(axis=1, dtype=np.int64), first) / ((last - first) * frames[0].size)
     return [
-        {"shot": i, "first_frame": int(a), "frames": int(b - a), "start_s": int(a) / RATE, "end_s": int(b) / RATE, "mean": float(m)}
+        {"shot": i, "first_frame": int(a), "frames": int(b - a), "start_s": int(a) / rate, "end_s": int(b) / rate, "mean": float(m)}
         for i, (a, b, m) in enumerate(zip(first, last, light, strict=True))
     ]
 
@@ -229,8 +267,7 @@ def store(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for a in range(0, batch.num_rows, 256):
-                b = min(a + 256, batch.num_rows)
+            for a, b in chunks(offsets):
                 media = []
                 for i in range(a, b):
                     raw = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -242,31 +279,47 @@ def store(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     return rows.mapInArrow(run, schema)
 
 
-def decode(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """row, n_bytes, media, payload (all samples read back) and clips (timed shots) of stored files."""
-    rest = "n_bytes long, media binary, payload binary, clips array<struct<shot:int,first_frame:int,frames:int,start_s:double,end_s:double,mean:double>>"
-    schema = StructType([stored.schema["row"], *_parse_datatype_string(rest).fields])
+def decode(files: DataFrame, media_col: str = "media", carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the carried columns, by default all but the media), media, payload (all samples read back), clips (timed
+    shots) and status of every row of files.
+
+    status is "ok", or says why a file cannot be read: null or empty media, no RIFF AVI, cut-off chunks, frames of another
+    process. Such a row has a null payload and no clips; the job goes on. Repeated rows are each decoded, an empty table gives no
+    rows, carried columns may have any name. Rows are taken by their bytes, a long file alone.
+    """
+    carry = [c for c in files.columns if c != media_col] if carry is None else carry
+    rows = files.select(F.struct(*carry).alias("row"), F.col(media_col).cast("binary").alias("media"))
+    rest = "media binary, payload binary, clips array<struct<shot:int,first_frame:int,frames:int,start_s:double,end_s:double,mean:double>>, status string"
+    schema = StructType([rows.schema["row"], *_parse_datatype_string(rest).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                payload, clips = [], []
-                for media in part.column(media_col):
-                    frames = read_frames(media.as_py())
-                    payload.append(frames.tobytes())
-                    clips.append(clips_of(frames))
+            _, offsets = flat(batch.column("media"))
+            for a, b in chunks(offsets):
+                part = batch.slice(a, b - a)
+                payload, clips, status = [], [], []
+                for media in part.column("media"):
+                    raw, frames, said = media.as_py(), None, "ok"
+                    try:
+                        if not raw:
+                            raise ValueError("no media")
+                        frames = read_frames(raw)
+                    except ValueError as e:
+                        said = str(e)
+                    payload.append(None if frames is None else frames.tobytes())
+                    clips.append([] if frames is None else clips_of(frames, read_rate(raw)))
+                    status.append(said)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("n_bytes"), part.column(media_col), pa.array(payload, pa.binary()), pa.array(clips, pa.list_(_CLIP))],
-                    ["row", "n_bytes", "media", "payload", "clips"],
+                    [part.column("row"), part.column("media"), pa.array(payload, pa.binary()), pa.array(clips, pa.list_(_CLIP)), pa.array(status, pa.string())],
+                    ["row", "media", "payload", "clips", "status"],
                 )
 
-    return stored.select("row", "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:
-    """One row for each clip, next to the carried columns."""
-    return decoded.select("row.*", F.explode("clips").alias("clip")).select("*", "clip.*").drop("clip")
+    """row and one clip's columns for each clip."""
+    return decoded.select("row", F.inline("clips"))
 
 
 def feature(clips: Column) -> Column:
@@ -280,8 +333,8 @@ def feature(clips: Column) -> Column:
 def op9_motion_jpeg(spark, sf_dir: str) -> DataFrame:
     out = decode(store(table(spark, sf_dir, "documents"), carry=["doc_id"]))
     return out.select(
-        "row.doc_id",
-        "n_bytes",
+        "row.row.doc_id",
+        "row.n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).cast("long").alias("tail_crc32"),

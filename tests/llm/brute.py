@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 
+import numpy as np
+
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -118,3 +121,124 @@ def spelt(symbols, unit, words):
             out.append(s)
             at += len(words.pieces[s].decode())
     return out
+
+
+class _Writer:
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, n):
+        self.bits += format(value, f"0{n}b") if n else ""
+
+    def data(self):
+        bits = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def _magnitude(v):
+    n = abs(v).bit_length()
+    return n, v if v > 0 else v + (1 << n) - 1
+
+
+def baseline_jpeg(image, chroma, restart):
+    """A baseline frame with unit quantisers; with chroma two half-size planes of one value. Codes all have one length."""
+    height, width = image.shape
+    step = 16 if chroma else 8
+    full = np.pad(image.astype(float), ((0, -height % step), (0, -width % step)), mode="edge") - 128
+    k, n = np.meshgrid(range(8), range(8), indexing="ij")
+    wave = np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * n + 1) * k * np.pi / 16)
+    order = []
+    for d in range(15):
+        line = [(i, d - i) for i in range(8) if 0 <= d - i < 8]
+        order += line if d % 2 else line[::-1]
+    symbols = [r << 4 | s for r in range(16) for s in range(16)][:255]
+    parts, out, before, units = [], _Writer(), [0, 0, 0], 0
+
+    def block(plane, k):
+        c = np.rint(wave @ plane @ wave.T).astype(int)
+        zig = [int(c[i, j]) for i, j in order]
+        size, extra = _magnitude(zig[0] - before[k])
+        before[k] = zig[0]
+        out.put(size, 4)
+        out.put(extra, size)
+        run = 0
+        last = max([i for i in range(64) if zig[i] or i == 0])
+        for v in zig[1 : last + 1]:
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                out.put(symbols.index(0xF0), 8)
+                run -= 16
+            size, extra = _magnitude(v)
+            out.put(symbols.index(run << 4 | size), 8)
+            out.put(extra, size)
+            run = 0
+        if last < 63:
+            out.put(symbols.index(0), 8)
+
+    for y in range(0, full.shape[0], step):
+        for x in range(0, full.shape[1], step):
+            if restart and units and units % restart == 0:
+                parts.append(out.data())
+                out, before[:] = _Writer(), [0, 0, 0]
+            for v in range(0, step, 8):
+                for h in range(0, step, 8):
+                    block(full[y + v : y + v + 8, x + h : x + h + 8], 0)
+            for k in (1, 2) if chroma else ():
+                block(np.full((8, 8), 10.0 * k), k)
+            units += 1
+    parts.append(out.data())
+    coded = b"".join(p + (b"\xff" + bytes([0xD0 + i % 8]) if i + 1 < len(parts) else b"") for i, p in enumerate(parts))
+    ids = [1, 2, 3] if chroma else [1]
+    sof = struct.pack(">BHHB", 8, height, width, len(ids)) + b"".join(bytes([i, 0x22 if chroma and i == 1 else 0x11, 0]) for i in ids)
+    dht = bytes([0]) + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + bytes([0x10]) + bytes([0] * 7 + [255] + [0] * 8) + bytes(symbols)
+    sos = bytes([len(ids)]) + b"".join(bytes([i, 0]) for i in ids) + bytes([0, 63, 0])
+    made = [(0xDB, bytes([0]) + b"\1" * 64), (0xC0, sof), (0xC4, dht)] + ([(0xDD, struct.pack(">H", restart))] if restart else []) + [(0xDA, sos)]
+    return b"\xff\xd8" + b"".join(b"\xff" + bytes([m]) + struct.pack(">H", len(b) + 2) + b for m, b in made) + coded + b"\xff\xd9"
+
+
+def _chunk(name, body):
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+
+def avi(frames, rate, scale, index=True):
+    """An AVI of another maker: an audio chunk between frames, offsets from the file's beginning."""
+    strh = struct.pack("<4s4sIHHIII", b"vids", b"MJPG", 0, 0, 0, 0, scale, rate) + bytes(28)
+    hdrl = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", bytes(56)) + _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", bytes(40))))
+    body, rows = b"movi", b""
+    begin = 12 + len(hdrl) + 8
+    for f in frames:
+        for name, data in ((b"01wb", b"abc"), (b"00dc", f)):
+            rows += struct.pack("<4sIII", name, 16, begin + len(body), len(data))
+            body += _chunk(name, data)
+    riff = b"AVI " + hdrl + _chunk(b"LIST", body) + (_chunk(b"idx1", rows) if index else b"")
+    return b"RIFF" + struct.pack("<I", len(riff)) + riff
+
+
+def stored_form(payload):
+    """The library's AVI of a payload, each sample written by itself."""
+    codes = {s: format((1 << (9 - s)) - 2 if s < 9 else 0, f"0{9 - s}b") for s in range(9)}
+    head = b"\xff\xd8\xff\xc4" + struct.pack(">HB", 28, 0) + bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))
+    head += b"\xff\xc3" + struct.pack(">HBHHB", 11, 8, 24, 24, 1) + bytes([1, 0x11, 0]) + b"\xff\xda" + struct.pack(">HB", 8, 1) + bytes([1, 0, 1, 0, 0])
+    frames = []
+    for f in range(0, len(payload), 576):
+        out = _Writer()
+        for i in range(576):
+            before = payload[f + i - 1] if i % 24 else payload[f + i - 24] if i else 128
+            size, extra = _magnitude(payload[f + i] - before)
+            out.bits += codes[size]
+            out.put(extra, size)
+        frames.append(head + out.data() + b"\xff\xd9")
+    largest = max(8 + len(f) + len(f) % 2 for f in frames)
+    n = len(frames)
+    main = struct.pack("<14I", 1_000_000 // 24, largest * 24, 0, 0x10, n, 0, 1, largest, 24, 24, 0, 0, 0, 0)
+    stream = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, 1, 24, 0, n, largest, 0xFFFFFFFF, 0, 0, 0, 24, 24)
+    form = struct.pack("<IiiHH4sIiiII", 40, 24, 24, 1, 8, b"MJPG", 576, 0, 0, 0, 0)
+    hdrl = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", main) + _chunk(b"LIST", b"strl" + _chunk(b"strh", stream) + _chunk(b"strf", form)))
+    body, rows = b"movi", b""
+    for f in frames:
+        rows += struct.pack("<4sIII", b"00dc", 0x10, len(body), len(f))
+        body += _chunk(b"00dc", f)
+    riff = b"AVI " + hdrl + _chunk(b"LIST", body) + _chunk(b"idx1", rows)
+    return b"RIFF" + struct.pack("<I", len(riff)) + riff

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from barloom.llm import common, html_text, media, pieces, quality, sharding, toxicity
+from barloom.llm import common, html_text, jpeg, media, pieces, quality, sharding, toxicity
 from barloom.llm import queries as registered
 
 from . import brute
@@ -209,13 +209,13 @@ def test_pages_of_any_depth(spark):
 
 def test_media_round_trip(spark):
     out = media.decode(media.store(odd(spark), carry=["doc_id"])).collect()
-    assert len(out) == len(ODD)
+    assert len(out) == len(ODD) and {r["status"] for r in out} == {"ok"}
     texts = {(str(d), (t or "").encode()) for d, t in ODD}
     for r in out:
-        raw = bytes(r["payload"])[: r["n_bytes"]]
-        assert (str(r["row"]["doc_id"]), raw) in texts
-        assert len(r["payload"]) % 576 == 0 and len(r["payload"]) > 0 and set(r["payload"][r["n_bytes"] :]) <= {255}
-        assert sum(c["frames"] for c in r["clips"]) * 576 == len(r["payload"])
+        raw, n = bytes(r["payload"]), r["row"]["n_bytes"]
+        assert (str(r["row"]["row"]["doc_id"]), raw[:n]) in texts
+        assert len(raw) % 576 == 0 and len(raw) > 0 and set(raw[n:]) <= {255}
+        assert sum(c["frames"] for c in r["clips"]) * 576 == len(raw)
     assert media.clip_rows(media.decode(media.store(odd(spark), carry=["doc_id"]))).count() >= len(ODD)
     assert media.store(odd(spark, [])).collect() == []
 
@@ -223,11 +223,45 @@ def test_media_round_trip(spark):
 def test_frames_survive_all_values():
     rng = np.random.default_rng(1)
     for p in (rng.integers(0, 256, 576 * 5, dtype=np.uint8).tobytes(), b"\xff" * 1152, bytes(576), bytes([0, 255] * 288)):
-        assert media.read_frames(media.write_avi(p)).tobytes() == p
+        avi = media.write_avi(p)
+        assert media.read_frames(avi).tobytes() == p
+        # the general reader takes the same frames one by one
+        assert b"".join(jpeg.decode(avi[a:b]).tobytes() for a, b in media.read_index(avi).tolist()) == p
     dark, light = np.zeros((10, 24, 24), np.uint8), np.full((10, 24, 24), 200, np.uint8)
     assert media.shots_of(np.concatenate((dark, light))).tolist() == [0, 10]
-    with pytest.raises(ValueError):
-        media.read_frames(b"RIFF\0\0\0\0WAVE")
+
+
+def test_baseline_frames_of_other_makers():
+    rng = np.random.default_rng(3)
+    for height, width, chroma, restart in ((8, 8, False, 0), (21, 35, False, 2), (40, 33, True, 0), (32, 48, True, 3)):
+        image = np.clip(np.cumsum(rng.normal(0, 9, (height, width)), axis=1) + 128, 0, 255).astype(np.uint8)
+        frame = brute.baseline_jpeg(image, chroma, restart)
+        assert np.abs(jpeg.decode(frame).astype(int) - image).max() <= 1
+        for cut in (3, 40, len(frame) // 2):
+            with pytest.raises(ValueError):
+                jpeg.decode(frame[:cut])
+    with pytest.raises(ValueError, match="process 2"):
+        jpeg.decode(frame.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_media_of_any_kind_gets_a_status(spark):
+    dark, light = (brute.baseline_jpeg(np.full((16, 24), v, np.uint8), False, 0) for v in (20, 220))
+    frames = [dark] * 12 + [light] * 6
+    good = media.write_avi(b"x" * 576)
+    rows = [
+        (1, None), (2, b""), (3, b"RIFF\0\0\0\0WAVE"), (4, good[:-40]), (5, good[:100]), (6, good), (6, good), (7, b"\0" * 5000),
+        (8, brute.avi(frames, 25, 2)), (9, brute.avi(frames, 25, 2, index=False)), (10, brute.avi([dark, dark[:60]], 25, 1)), (11, brute.avi([], 25, 1)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").withColumns({c: F.lit("x") for c in [*MORE, "status", "clips"] if c != "media"})
+    got = {r["row"]["doc_id"]: r for r in media.decode(df).collect()}
+    assert {d for d, r in got.items() if r["status"] == "ok"} == {6, 8, 9}
+    for d, r in got.items():
+        assert (r["payload"] is None) == (r["status"] != "ok") and (r["clips"] == []) == (r["status"] != "ok")
+    assert got[1]["status"] == got[2]["status"] == "no media"
+    for d in (8, 9):
+        assert [(c["first_frame"], c["frames"], c["start_s"]) for c in got[d]["clips"]] == [(0, 12, 0.0), (12, 6, 12 / 12.5)]
+        assert len(got[d]["payload"]) == 18 * 16 * 24
+    assert media.decode(df.limit(0)).collect() == []
 
 
 def test_shards_are_balanced_gapless_and_stable(spark):
@@ -257,8 +291,14 @@ def test_weights_move_keys_only_between_changed_subtrees(spark):
 
 
 def test_media_digest_columns(spark, sf):
+    """Every digest against a stored form made here by itself, sample by sample."""
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in common.table(spark, sf, "documents").collect()}
     for r in registered.QUERIES["op9_motion_jpeg"](spark, sf).collect():
         raw = docs[r["doc_id"]]
         padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        if len(raw) < 20_000:
+            stored = brute.stored_form(padded)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+            assert r["feature"].startswith(f"frames={len(padded) // 576};")
+            assert abs(float(r["feature"].rsplit("=", 1)[1]) - sum(padded) / len(padded)) < 0.001
