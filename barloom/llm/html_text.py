@@ -13,6 +13,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -47,18 +48,45 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|notices?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|masthead|comments?|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|pagination|skip)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names that mark furniture, if the name's other words say nothing but where or in what form it stands.
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored banner banners promo promos promotion cookie cookies consent notice notices sidebar "
+    "sidebars menu menus nav navs navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus share sharing social related recommended "
+    "newsletter subscribe signup login popup modal pagination skip".split()
+)
+PLAIN_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right upper lower header mobile desktop sticky fixed box bar block blocks list lists link links item items icon icons "
+    "button buttons wrap wrapper container inner outer content section area panel widget slot unit text label form post posts article articles thread to the and".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(<[a-zA-Z/][^>]*)(?:>|$)", re.S
 )
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
+
+
+@lru_cache(10_000)
+def furniture_name(name: str) -> bool:
+    """Whether one class or id names furniture: cookie-banner and siteFooter do, social-history and notice-of-meeting do not."""
+    words = [w.lower() for w in _PARTS.findall(name) if len(w) > 1]
+    return any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in PLAIN_WORDS for w in words)
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """The attributes of a start tag, the first of a name counting; those without a value are empty."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), html.unescape(next(filter(None, values), "")))
+    return found
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    rules = (rule.partition(":") for rule in found.get("style", "").lower().split(";"))
+    return any(name.strip() == "display" and value.split()[:1] in (["none"], ["none!important"]) for name, _, value in rules)
 
 
 class Node:
@@ -68,15 +96,15 @@ class Node:
         self.tag, self.names, self.role, self.children, self.mark = tag, "", "", [], 0
         self.hidden = self.removable = False
         if attributes:
-            found = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attributes)}
+            found = attributes_of(attributes)
             self.names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-            self.role = found.get("role", "").lower()
-            self.hidden = bool(_HIDDEN.search(attributes))
+            self.role = found.get("role", "").strip().lower()
+            self.hidden = _hidden(found)
 
     def furniture(self) -> bool:
         if self.tag in ("html", "body", "article", "main"):
             return False
-        return self.tag in FURNITURE or self.hidden or self.role in FURNITURE_ROLES or bool(self.names and FURNITURE_NAMES.search(self.names))
+        return self.tag in FURNITURE or self.hidden or self.role in FURNITURE_ROLES or any(map(furniture_name, self.names.split()))
 
 
 def parse(source: str) -> Node:
@@ -276,8 +304,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """row (a struct of the carried columns, by default all but the html) and text for every row of pages.
 
-    Null and empty html give an empty text; a null url is a host of its own; pages of equal
-    text count once. Counts per host come from partial aggregates, so a host of any size spreads over all tasks.
+    Null and empty html give an empty text; a null url is a host of its own; repeated rows and pages of equal
+    text count once as evidence and keep a row each; an empty table gives no rows; pages of any depth and length are parsed whole. Counts per host come from partial aggregates, so a host of any size spreads over all tasks.
     """
     scratch = Scratch(pages.sparkSession)
     carry = [c for c in pages.columns if c != html_col] if carry is None else carry

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -242,3 +243,73 @@ def stored_form(payload):
         body += _chunk(b"00dc", f)
     riff = b"AVI " + hdrl + _chunk(b"LIST", body) + _chunk(b"idx1", rows)
     return b"RIFF" + struct.pack("<I", len(riff)) + riff
+
+
+class _Article(HTMLParser):
+    """Text of the article's blocks; furniture tags and class ad are skipped with all they hold."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.line, self.inside, self.skip = [], "", False, []
+
+    def cut(self):
+        words = " ".join(self.line.split())
+        self.out += [words] if words else []
+        self.line = ""
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip or tag in ("nav", "aside", "form", "footer", "script", "style") or ("class", "ad") in attrs:
+            self.skip.append(tag)
+        elif tag == "article":
+            self.inside = True
+        elif tag == "br":
+            self.line += " "
+        elif tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "blockquote", "table", "tr", "td", "section"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            if tag in self.skip:
+                del self.skip[self.skip.index(tag) :]
+        elif tag == "article":
+            self.cut()
+            self.inside = False
+        elif tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+            self.cut()
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.line += data
+
+
+def article_text(source):
+    p = _Article()
+    p.feed(source or "")
+    p.close()
+    return "\n".join(p.out)
+
+
+def page(rng, host, i):
+    """(html, blocks of its text): own paragraphs, a list that every page of the host repeats, furniture of all kinds."""
+    blocks, out = [], []
+    for k in range(rng.randint(2, 6)):
+        text = f"Own text {i} {k} of page" + " very" * rng.randint(3, 12) + " long"
+        kind = rng.choice(["p", "h2", "open", "div", "furniture", "entity", "two"])
+        if kind in ("p", "h2", "div"):
+            out.append(f"<{kind}> {text}\n  </{kind}>")
+        elif kind == "open":
+            out.append(f"<p>{text}")
+        elif kind == "entity":
+            out.append(f"<p>{text} &lt;b&gt; &eacute;&#33;</p>")
+            text += " <b> \u00e9!"
+        elif kind == "two":
+            out.append(f"<p>{text}<br>end</p>")
+            text += " end"
+        else:
+            out.append(rng.choice(["<nav>%s</nav>", "<aside><p>%s</aside>", "<div class='site-footer'>%s</div>", "<form><p>%s</p></form>", "<p hidden>%s</p>", "<script>'%s'</script>", "<!-- %s -->"]) % text)
+            continue
+        blocks.append(text)
+    if not blocks:
+        return page(rng, host, i)
+    out.insert(rng.randint(0, len(out)), f"<section><h4>About {host[0]}</h4><ul><li>x<li>y</ul></section>")
+    return f"<html><head><title>{i}</title></head><body>{''.join(out)}</body></html>", blocks

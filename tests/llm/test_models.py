@@ -1,6 +1,7 @@
 """Pieces, toxicity, quality, pages, media and shards: exactness, odd rows, held-out accuracy."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -207,6 +208,46 @@ def test_pages_of_any_depth(spark):
     assert [r["text"] for r in got] == ["deep"] * len(rows)
 
 
+def test_names_and_attributes():
+    page = """<article><p style="overflow: hidden ">kept</p><p style="color:red; DISPLAY : none">no</p><p hidden>no</p><p data-hidden="x" title="display: none">kept too</p>
+    <div class="social-history"><p>chapter</p></div><div class="notice-of-meeting">meeting</div><div id=cookieBanner>no</div><div class="story share-buttons_2">no</div>
+    <div aria-hidden=true>no</div><div aria-hidden=false>yes</div><div class="shadow ready-comments-x1">ready</div><div role="navigation">no</div><p title="a > b" class='x "y"'>q</p></article>"""
+    assert html_text.blocks_of(html_text.parse(page), frozenset()) == ["kept", "kept too", "chapter", "meeting", "yes", "ready", "q"]
+    for name in ("ad", "ads-top", "cookie-notice", "site-footer", "mainNav", "related_posts", "comments", "sidebar-left"):
+        assert html_text.furniture_name(name)
+    for name in ("adventure", "social-history", "add", "download", "header", "main-content", "share-price", "menu-engineering", ""):
+        assert not html_text.furniture_name(name)
+
+
+def test_three_mirrored_articles_keep_everything(spark):
+    body = "<article><h1>T</h1><div class='content'><p>one</p></div><ul><li>two</li></ul></article>"
+    rows = [(i, f"http://m.example/{i}", f"<body><div>Page {i} of it</div>{body}") for i in range(3)]
+    assert {r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T\none\ntwo"}
+
+
+def test_pages_match_brute_force(spark, sf):
+    """The table's pages against a plain reading by the standard parser, and generated pages against what went into them."""
+    for r in registered.QUERIES["op2_site_template"](spark, sf).join(common.table(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
+        assert (r["text"], r["n_chars"]) == (brute.article_text(r["html"]), len(r["text"]))
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(300):
+        host = rng.choice(["a.example", "B.example:8080", "c.example"])
+        source, blocks = brute.page(rng, host, i)
+        rows.append((i, f"https://u@{host}/{i}", source))
+        want[i] = "\n".join(blocks)
+    rows += [(r[0] + 1000, r[1], r[2]) for r in rows[:20]]  # repeated pages
+    want |= {i + 1000: want[i] for i in range(20)}
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["row"]["page_id"]: r["text"] for r in got} == want
+
+
+def test_long_pages(spark):
+    rows = [(1, "http://h.example/", "<body>" + "<p>word &amp; more" * 200_000), (2, "http://h.example/", "<div>" * 50_000 + "x" + "</div>" * 50_000)]
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n".join(["word & more"] * 200_000), 2: "x"}
+
+
 def test_media_round_trip(spark):
     out = media.decode(media.store(odd(spark), carry=["doc_id"])).collect()
     assert len(out) == len(ODD) and {r["status"] for r in out} == {"ok"}
