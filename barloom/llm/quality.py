@@ -1,9 +1,10 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. A line's evidence is linear in its own features and those of the lines before and after it; a
-transition score ties neighbouring labels. The field is fitted on documents whose lines all carry the document's label;
-the forward-backward algorithm gives each line's probability of being good, and a document's score is their mean weighted by
-the lines' bytes. Only the text is looked at: language, source and id never enter.
+transition score ties neighbouring labels; the forward-backward algorithm gives each line's probability of being good, and a
+document's score is their mean weighted by the lines' bytes. Labels are known for documents only, so a line's own label is
+latent: it starts as its document's, and lines that plainly look like the other kind change sides, as long as half of the document's bytes keep
+its label. The field is fitted on these mixed chains. Only the text is looked at: language, source and id never enter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .common import Scratch, blob, chunks, flat, prefix_hash, span_hash, table,
 #: Labelled rows that the field is fitted on at most: those of least hash.
 FIT_ROWS = 6_000
 THRESHOLD = 0.3
+#: A line takes the other label when the field gives that at least this much.
+PLAIN = 0.8
+#: Ridges of the evidence and of the transitions: documents of one label throughout would else tie their lines without limit.
+RIDGE, TIE_RIDGE = 1e-5, 0.03
 
 _CLASSES = np.zeros((256, 7), np.int64)
 for _i, _members in enumerate(
@@ -159,24 +164,53 @@ def marginals(evidence: np.ndarray, first: np.ndarray, transitions: np.ndarray)
     return good, np.exp(np.minimum(pairs, 0)).sum(axis=0)
 
 
-def fit_field(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood with a ridge, by full-batch Adam; label is each document's."""
+def relabelled(good: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, plain: float = PLAIN) -> np.ndarray:
+    """Line labels: the document's, but for lines whose probability of the other is at least plain.
+
+    The plainest lines go first, and a document keeps its label on half of its bytes at least."""
     sizes = np.diff(first)
-    y = np.repeat(label, sizes).astype(np.float64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    own = label[text].astype(np.float64)
+    other = np.where(own == 1, 1 - good, good)
+    order = np.lexsort((-other, text))
+    weight = np.maximum(size, 1)[order].astype(np.int64)
+    so_far = np.cumsum(weight)
+    before = np.concatenate(([0], so_far))[first[:-1]]
+    total = np.concatenate(([0], so_far))[first[1:]] - before
+    change = (other[order] >= plain) & (2 * (so_far - before[text]) <= total[text])
+    own[order[change]] = 1 - own[order[change]]
+    return own
+
+
+def fit_labels(x: np.ndarray, first: np.ndarray, y: np.ndarray, start: Field | None = None, steps: int = 120, chains: bool = True) -> Field:
+    """Maximum likelihood with a ridge, by full-batch Adam, of the line labels y; without chains lines are independent."""
     inner = np.ones(len(x), bool)
     inner[first[:-1]] = False
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
-    w = np.zeros(x.shape[1])
-    p = np.concatenate((w, np.zeros(4)))
+    k = x.shape[1]
+    p = np.concatenate((start.weights, start.transitions.ravel())) if start else np.zeros(k + 4)
+    ridge = np.repeat((RIDGE, TIE_RIDGE), (k, 4))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        transitions = p[len(w) :].reshape(2, 2)
-        good, expected = marginals(x @ p[: len(w)], first, transitions)
-        g = np.concatenate((x.T @ (good - y), (expected - seen).ravel())) / len(x) + ridge * p
+        good, expected = marginals(x @ p[:k], first, p[k:].reshape(2, 2))
+        g = np.concatenate((x.T @ (good - y), (expected - seen).ravel() * chains)) / len(x) + ridge * p
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Field(p[: len(w)], p[len(w) :].reshape(2, 2))
+    return Field(p[:k], p[k:].reshape(2, 2))
+
+
+def fit_field(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
+    """The field of documents whose lines' labels are latent; label is each document's.
+
+    Lines by themselves tell which of them look like the other kind; the chain that is fitted on the labels so changed changes them
+    once more and is fitted again."""
+    text = np.repeat(np.arange(len(label)), np.diff(first))
+    field = fit_labels(x, first, label[text].astype(np.float64), steps=60, chains=False)
+    for steps in (60, 120):
+        good, _ = marginals(x @ field.weights, first, field.transitions)
+        field = fit_labels(x, first, relabelled(good, size, first, label), field, steps)
+    return field
 
 
 def mean_good(field: Field, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -192,7 +226,11 @@ def score_texts(field: Field, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Field:
-    """Fit on the labelled rows of docs, on `rows` labels of least hash if there are more; rows without a label or id are left out."""
+    """Fit on the labelled rows of docs, on `rows` labels of least hash if there are more.
+
+    Rows without a label or id are left out, null texts are one empty line, labels and texts that share an id are joined each
+    with each; without any labelled row every line is as likely good as bad. Other columns of either table are ignored.
+    """
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("quality"), F.col(id_col)).alias("_order")
     )
@@ -215,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [np.frombuffer(r, np.float32).reshape(-1, OWN) for r in got.column("x").to_pylist()]
     first = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
     x, label = np.concatenate(parts).astype(np.float64), got.column("label").to_numpy()
-    field = fit_field(with_neighbours(x, first), first, label)
     size = np.rint(np.expm1(x[:, 7] * 8))
+    field = fit_field(with_neighbours(x, first), size, first, label)
     field.cut = best_cut(mean_good(field, x, size, first), label)
     return field
 
@@ -238,6 +276,26 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", carry: list[str
     return rows.mapInArrow(run, schema)
 
 
+def line_scores(docs: DataFrame, field: Field, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the carried columns, by default all) and good, each line's probability of being good, for every row.
+
+    Lines end at a line feed; null and empty texts have one empty line."""
+    carry = docs.columns if carry is None else carry
+    model = docs.sparkSession.sparkContext.broadcast(field)
+    rows = docs.select(F.struct(*carry).alias("row"), blob(text_col).alias("text"))
+    schema = StructType([rows.schema["row"], *_parse_datatype_string("good array<double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            for a, b in chunks(offsets):
+                x, _, first = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                good, _ = marginals(with_neighbours(x, first) @ model.value.weights, first, model.value.transitions)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(good))], ["row", "good"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _fold(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 

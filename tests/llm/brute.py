@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import xxhash
 
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -313,3 +315,87 @@ def page(rng, host, i):
         return page(rng, host, i)
     out.insert(rng.randint(0, len(out)), f"<section><h4>About {host[0]}</h4><ul><li>x<li>y</ul></section>")
     return f"<html><head><title>{i}</title></head><body>{''.join(out)}</body></html>", blocks
+
+
+def _line_features(lines):
+    out, seen = [], set()
+    for k, line in enumerate(lines):
+        n = max(1, len(line))
+        words = SPACED.findall(line)
+        w = max(1, len(words))
+        kinds = (range(0x41, 0x5B), range(0x30, 0x3A), b"$%&*#@^~=+<>\\", b"|_/", b"!?", b".,;:'\"()-", range(0x80, 0xC0))
+        f = [math.sqrt(sum(c in kind for c in line) / n) for kind in kinds] + [math.log1p(len(line)) / 8]
+        f += [1 - len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w, sum(map(len, words)) / w / 10, float(not words)]
+        f += [float(line in seen and bool(words)), float(k > 0 and lines[k - 1] == line)]
+        seen.add(line)
+        out.append(f)
+    return out
+
+
+def quality_score(field, raw):
+    lines = raw.split(b"\n")
+    own = _line_features(lines)
+    none = [0.0] * len(own[0])
+    evidence = []
+    for k, f in enumerate(own):
+        x = [1.0, *f, *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none)]
+        evidence.append(sum(a * b for a, b in zip(x, field.weights, strict=True)))
+    t = field.transitions
+
+    def logsum(*v):
+        top = max(v)
+        return top + math.log(sum(math.exp(x - top) for x in v))
+
+    forward, backward = [], [(0.0, 0.0)]
+    for k, e in enumerate(evidence):
+        f = forward[-1] if k else None
+        forward.append((0.0, e) if f is None else (logsum(f[0] + t[0, 0], f[1] + t[1, 0]), e + logsum(f[0] + t[0, 1], f[1] + t[1, 1])))
+    for e in evidence[:0:-1]:
+        b = backward[-1]
+        backward.append(tuple(logsum(t[i, 0] + b[0], t[i, 1] + e + b[1]) for i in (0, 1)))
+    backward.reverse()
+    good = [1 / (1 + math.exp(min(500, max(-500, f[0] + b[0] - f[1] - b[1])))) for f, b in zip(forward, backward, strict=True)]
+    weight = [max(1, len(x)) for x in lines]
+    mean = sum(g * w for g, w in zip(good, weight, strict=True)) / sum(weight)
+    return mean / field.cut * 0.3 if mean <= field.cut else 0.3 + (mean - field.cut) / (1 - field.cut) * 0.7
+
+
+def toxicity(chain, raw):
+    """Probabilities of all links for one text."""
+    from barloom.llm.common import prefix_hash, span_hash
+
+    def key(gram):
+        return int(span_hash(prefix_hash(np.frombuffer(gram, np.uint8)), np.array([0]), np.array([len(gram)])).view(np.int64)[0])
+
+    count = Counter()
+    for word in PLAIN.findall(lower(raw)):
+        count[key(word)] += 1
+        s = f" {word.decode()} "
+        for n in (2, 3, 4, 5, 6):
+            for i in range(len(s) - n + 1):
+                count[key(s[i : i + n].encode())] += 1
+    x = [math.log1p(count[int(w)]) for w in chain.words]
+    out = []
+    for w in chain.weights:
+        z = w[0] + sum(a * b for a, b in zip(x, w[1:], strict=True))
+        out.append(1 / (1 + math.exp(-min(40, max(-40, z)))))
+        x.append(out[-1])
+    return out
+
+
+def shard(tree, doc_id, seed=0):
+    """Down the tree by the smallest weighted draw."""
+
+    def weight(node):
+        return sum(map(weight, node.values())) if isinstance(node, dict) else node
+
+    def digest(path):
+        h = xxhash.xxh64_intdigest(path.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), h)
+        return xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+
+    node, path = tree, ""
+    while isinstance(node, dict):
+        name = min(node, key=lambda c: -math.log(((digest(f"{path}/{c}") >> 11) + 0.5) * 2.0**-53) / weight(node[c]))
+        node, path = node[name], f"{path}/{name}"
+    return name

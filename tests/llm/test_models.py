@@ -141,6 +141,65 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
 
 
+def test_lines_of_mixed_documents_get_mixed_labels(spark):
+    """Lines of good and of bad held-out documents in one text: each keeps its kind, wherever it stands."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    field = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").where("n_chars between 800 and 6000").orderBy("doc_id").collect()
+    parts = {k: [[x for x in r["text"].split("\n") if len(x) > 80][:4] for r in held if r["quality"] == k] for k in (0, 1)}
+    parts = {k: [p for p in v if len(p) >= 3] for k, v in parts.items()}
+    mixed = [(i, "\n".join([*g, *b] if i % 2 else [*b, *g]), [1] * len(g) + [0] * len(b) if i % 2 else [0] * len(b) + [1] * len(g)) for i, (g, b) in enumerate(zip(parts[1], parts[0], strict=False))]
+    assert len(mixed) > 5
+    want = {i: w for i, _, w in mixed}
+    got = quality.line_scores(spark.createDataFrame([m[:2] for m in mixed], "doc_id long, text string"), field).collect()
+    right = [(p > 0.5) == (w == 1) for r in got for p, w in zip(r["good"], want[r["row"]["doc_id"]], strict=True)]
+    assert sum(right) / len(right) > 0.9
+    assert all(min(r["good"]) < 0.5 < max(r["good"]) for r in got)
+    assert quality.line_scores(odd(spark), field, carry=["doc_id"]).where("size(good) = 0").count() == 0
+
+
+def test_line_labels_keep_half_a_document():
+    good, size, first = np.array([0.9, 0.1, 0.95, 0.99, 0.99]), np.array([10, 100, 20, 50, 60]), np.array([0, 3, 5])
+    assert quality.relabelled(good, size, first, np.array([0, 0])).tolist() == [1, 0, 1, 1, 0]
+    assert quality.relabelled(good, size, first, np.array([1, 1])).tolist() == [1, 1, 1, 1, 1]
+
+
+def test_quality_matches_brute_force(spark):
+    """Scores of the query against plain loops over lines, words and labels."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (common.table(spark, sf, t) for t in ("documents", "labels"))
+    field = quality.fit(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in registered.QUERIES["op6_line_crf"](spark, sf).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        want = brute.quality_score(field, (texts[r["doc_id"]] or "").encode())
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Probabilities of the query against plain loops over words, n-grams and links."""
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    chain = toxicity.fit(docs, common.table(spark, sf, "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in registered.QUERIES["op7_classifier_chain"](spark, sf).collect():
+        want = brute.toxicity(chain, (texts[r["doc_id"]] or "").encode())
+        assert all(abs(r[f"p_{n}"] - w) < 2e-6 for n, w in zip(chain.names, want, strict=True))
+        assert r["toxic"] == (r["p_toxic"] >= toxicity.THRESHOLD)
+
+
+def test_shards_match_brute_force(spark, sf):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in common.table(spark, sf, "documents").collect()}
+    slots = {}
+    for r in registered.QUERIES["op10_weighted_tree"](spark, sf).collect():
+        raw = docs[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert r["shard"] == brute.shard(sharding.grid_tree(8), r["doc_id"]) and r["grown_shard"] == brute.shard(sharding.grid_tree(9), r["doc_id"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sum(map(len, slots.values())) == len(docs)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (1, None)], "doc_id long, quality int")
     for given in (labels, labels.limit(0)):
