@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items scans every text once.
 
 Normalising works on UTF-8 bytes: A-Z become a-z, every other ASCII byte that is not a letter or digit becomes a
-break, bytes from 0x80 stay. Each word of the benchmark then stands as one letter of the automaton's alphabet and every
-other word as a letter of its own, so a text is scanned word by word, a match is whole words by construction, and its end
+break, bytes from 0x80 stay. Each word of the benchmark then stands as a number of a few digits, written with letters of which the
+first digit has its own, and every other word as blanks of that length. So a match is whole words by construction, and its end
 maps straight back to words and to character offsets of the original text.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .common import Scratch, blob, table
 
 WINDOW = 10
-#: Trie nodes that one automaton may have, some 80 bytes each in every Python worker; more windows make further passes.
+#: Trie nodes that one automaton may have, some 60 bytes each in every Python worker; more windows make further passes.
 MAX_NODES = 2_000_000
 #: Windows of an item that are dealt to a pass together.
 PIECE = 1_000
-#: Letters of an alphabet, less than Unicode has besides its surrogates.
-LETTERS = 1_000_000
+#: Digits that number the benchmark's words, and letters for each: a node looks its children up one after another.
+DIGITS, LETTERS = 3, 64
 
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -53,35 +54,33 @@ def pieces_of(words: list[bytes], width: int, most: int) -> Iterator[tuple[bytes
 
 @dataclass
 class Machine:
-    """The automaton over letters, and each benchmark word's letter. A match gives (its words, ids of its items)."""
+    """The automaton, each benchmark word's number, and the digits of a number. A match gives (its words, ids of its items)."""
 
     found: object
-    letters: dict[bytes, str]
+    numbers: dict[bytes, str]
+    digits: int
 
 
 def machine_of(pieces: Iterable[tuple[str, bytes]], width: int) -> Machine:
     import ahocorasick
 
-    letters: dict[bytes, str] = {}
-    windows: dict[str, list[str]] = {}
-    for item, text in pieces:
-        line = []
-        for word in text.split():
-            letter = letters.get(word)
-            if letter is None:
-                code = len(letters) + 1
-                letter = letters[word] = chr(code if code < 0xD800 else code + 0x800)
-            line.append(letter)
+    texts = [(item, text.split()) for item, text in pieces]
+    words = list(dict.fromkeys(w for _, line in texts for w in line))
+    digits = next(k for k in range(1, 12) if len(words) <= LETTERS**k)
+    numbers = {w: "".join(chr(1 + (n // LETTERS**d) % LETTERS + LETTERS * (d > 0)) for d in range(digits)) for n, w in enumerate(words)}
+    windows: dict[str, tuple[int, list[str]]] = {}
+    for item, line in texts:
         for i in range(max(1, len(line) - width + 1)):
-            ids = windows.setdefault("".join(line[i : i + width]), [])
+            part = line[i : i + width]
+            ids = windows.setdefault("".join(map(numbers.__getitem__, part)), (len(part), []))[1]
             if item not in ids[-1:]:
                 ids.append(item)
     found = ahocorasick.Automaton()
-    for window, ids in windows.items():
-        found.add_word(window, (len(window), ids))
+    for window, value in windows.items():
+        found.add_word(window, value)
     if len(found):
         found.make_automaton()
-    return Machine(found, letters)
+    return Machine(found, numbers, digits)
 
 
 def scan_text(text: bytes, machine: Machine) -> tuple[int, np.ndarray, set[str]]:
@@ -90,12 +89,11 @@ def scan_text(text: bytes, machine: Machine) -> tuple[int, np.ndarray, set[str]]
     n, items, none = len(words), set(), np.zeros(0, bool)
     if not n or not len(machine.found):
         return n, none, items
-    letter = machine.letters.get
-    found = list(machine.found.iter("".join([letter(w, _OTHER) for w in words])))
+    found = list(machine.found.iter("".join(map(machine.numbers.get, words, repeat(_OTHER * machine.digits)))))
     if not found:
         return n, none, items
     step = np.zeros(n + 1, np.int64)
-    ends = np.fromiter((e + 1 for e, _ in found), np.int64, len(found))
+    ends = np.fromiter((e + 1 for e, _ in found), np.int64, len(found)) // machine.digits
     sizes = np.fromiter((v[0] for _, v in found), np.int64, len(found))
     np.add.at(step, ends - sizes, 1)
     np.add.at(step, ends, -1)
@@ -205,13 +203,13 @@ def find_benchmark(
 
     A window is width consecutive words of an item, or the whole item if it is shorter; a word inside any occurrence of
     one is hit. What is broadcast is the items' words, and each Python worker builds the automaton of them. Where all
-    windows together could have more than max_nodes nodes, they are dealt by hash into passes of about half that; each pass
+    windows together could have more than max_nodes nodes (three a word), they are dealt by hash into passes of about half that; each pass
     leaves only the hits of the texts that have any, which are joined to the texts in the end.
     Null texts and items have no words; items without words match nothing; repeated rows are each scanned; an empty
     benchmark hits nothing; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    most = max(1, min(max_nodes // width, LETTERS // width))
+    most = max(1, max_nodes // (width * DIGITS))
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), blob(item_text_col).alias("text")).where("item is not null")
     pieces = scratch.put(kept.mapInArrow(_cutter(width, min(PIECE, most)), "item string, piece binary, windows long").distinct())
     total = pieces.agg(F.sum("windows")).first()[0] or 0
