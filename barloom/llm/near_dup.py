@@ -6,8 +6,8 @@
 3. Every bucket first links its members to its least member: linear in the bucket. Confirmed links give components.
 4. In buckets that still hold several components, pairs across components are compared in blocks of BLOCK members, each
    pair in the first band it shares: by registers first, and where the estimate does not rule them out by their sets, inside
-   the task. Only pairs that hold leave it. Members that are linked already need no comparison, so a large group of near
-   copies costs no pairs; no bucket, block or partner is capped.
+   the task. Only pairs that hold leave it. Members of a bucket's largest component meet the others only, so a large group
+   of near copies costs rows and pairs in proportion to its size; no bucket, block or partner is capped.
 """
 
 from __future__ import annotations
@@ -221,16 +221,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = scratch.put(components(links, scratch))
 
     rooted = buckets.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "band", "_id", "members", F.coalesce("root", "_id").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    open_ = scratch.put(rooted.join(mixed.select("bucket"), "bucket", "left_semi"))
+    shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"), F.sum("k").alias("all")).where("roots > 1")
+    mixed = mixed.select("bucket", F.col("top.root").alias("main"), F.col("top.k").alias("mains"), (F.col("all") - F.col("top.k")).alias("others"))
+    open_ = scratch.put(rooted.drop("members").join(mixed, "bucket").withColumn("is_main", F.col("root") == F.col("main")).drop("main"))
     scratch.drop(buckets)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("block"), "_id"), blocks).cast("int")
-    # a block meets itself (side 0) and, as the lower (1) or higher (2) one, every other block of its bucket
-    meet = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), F.when(own == k, 0).when(own < k, 1).otherwise(2).cast("int").alias("side")),
-    )
+    few, many = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "mains"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "_id"), F.when(F.col("is_main"), many).otherwise(few)).cast("int")
+
+    def hand(x, y, side):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+
+    # a block of others meets itself (side 0) and, as the lower (1) or higher (2) one, every other such block of its bucket;
+    # a block of the largest component (2) meets every block of others (1)
+    blocks = F.sequence(F.lit(0), few - 1)
+    among = F.transform(blocks, lambda k: hand(F.least(own, k), F.greatest(own, k), F.when(own == k, 0).when(own < k, 1).otherwise(2)))
+    across = F.transform(F.sequence(F.lit(0), many - 1), lambda k: hand(own, few + k, F.lit(1)))
+    meet = F.when(F.col("is_main"), F.transform(blocks, lambda k: hand(k, few + own, F.lit(2)))).otherwise(F.concat(among, across))
     hands = max(1, -(-open_.count() // (2 * BLOCK)))
     short = full.select("_id", F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items"))
     dealt = open_.join(known, "_id").join(short, "_id").select("bucket", "band", "_id", "root", "n", "registers", "items", F.explode(meet).alias("m"))
