@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .common import _BYTE_VALUES, Scratch, blob, chunks, flat, mix, powers, prefix_hash, sliding_min, span_hash, word_spans
 
 #: Different segment contents under one anchor that one task may index together.
-HOT_CONTENTS = 2_000
+HOT_CONTENTS = 500
 
 SEGMENT = "start int, n int, h long, c long"
 
