@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         atexit.register(shutil.rmtree, found[7:], True)
         spark.conf.set("spark.checkpoint.dir", found)

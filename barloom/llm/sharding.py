@@ -22,11 +22,14 @@ Tree = dict[str, dict[str, dict[int, float]]]
 ROWS_PER_BLOCK = 2_000
 
 
-def grid_tree(n_shards: int, per_rack: int = 2, racks_per_region: int = 2) -> Tree:
-    """Equal shards, filled rack by rack: with 8 shards two regions of two racks of two; shard 8 opens a region."""
+def grid_tree(n_shards: int, per_rack: int = 2, racks_per_region: int = 2, start: int = 8) -> Tree:
+    """Equal shards: the first `start` fill regions rack by rack, with 8 two regions of two racks of two; every later one opens a
+    region of its own, so that each step from n >= start to n + 1 shards takes keys only into the new shard."""
     tree: Tree = {}
     for s in range(n_shards):
         region, rack = s // (per_rack * racks_per_region), s // per_rack
+        if s >= start:
+            region, rack = -(-start // (per_rack * racks_per_region)) + s - start, -(-start // per_rack) + s - start
         tree.setdefault(f"region{region}", {}).setdefault(f"rack{rack}", {})[s] = 1.0
     return tree
 
@@ -92,7 +95,8 @@ def place(
 
     slot numbers the rows of a shard from 0 without gaps. No task sees a whole shard: rows are numbered within
     hashed blocks of about ROWS_PER_BLOCK rows and each block adds the count of the blocks before it.
-    Null texts have size 1 and the CRC of no bytes; null ids hash like one more id; repeated rows get a slot each;
+    Null texts have size 1 and the CRC of no bytes; null ids hash like one more id; repeated rows get a slot each, rows alike in id,
+    CRC and size in any order among themselves;
     an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(

@@ -378,6 +378,21 @@ def test_shards_are_balanced_gapless_and_stable(spark):
     assert sharding.place(docs.limit(0), sharding.grid_tree(8)).collect() == []
 
 
+def test_every_further_shard_takes_keys_only_into_itself(spark):
+    df = spark.range(4000).withColumnRenamed("id", "doc_id")
+    for n in range(8, 13):
+        df = sharding.with_shard(df, "doc_id", sharding.grid_tree(n), f"s{n}")
+    for r in df.collect():
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for n in range(8, 12))
+    assert sharding.grid_tree(9)["region2"] == {"rack4": {8: 1.0}} and len(sharding.grid_tree(12)) == 6
+
+
+def test_many_rows_of_one_id(spark):
+    docs = spark.range(6000).selectExpr("7L as doc_id", "cast(null as string) as text")
+    out = sharding.place(docs, sharding.grid_tree(8)).collect()
+    assert len({r["shard"] for r in out}) == 1 and sorted(r["slot"] for r in out) == list(range(6000))
+
+
 def test_weights_move_keys_only_between_changed_subtrees(spark):
     keys = spark.range(3000).withColumnRenamed("id", "doc_id")
     tree = sharding.grid_tree(8)
