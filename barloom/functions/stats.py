@@ -164,24 +164,50 @@ def arch_lm(r: np.ndarray, lags: int = 5) -> tuple[float, float]:
     return lm, chi2_tail(lm, lags)
 
 
-def bds_two(x: np.ndarray, distance: float = 1.5, block: int = 512) -> tuple[float, float]:
-    """BDS statistic of embedding dimension 2 and its p; pairs are counted in blocks of rows, so memory stays linear."""
+def below(values: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of values[:upto] are less than limit, for many pairs at once; values and limits are integers from 0 to len(values).
+
+    The values are split bit by bit, zeros before ones, and every question follows its limit's bits down."""
+    depth = max(1, int(len(values)).bit_length())
+    first, last, out = np.zeros(len(upto), np.int64), upto.astype(np.int64), np.zeros(len(upto), np.int64)
+    for bit in range(depth - 1, -1, -1):
+        ones = (values >> bit & 1).astype(bool)
+        zeros = np.concatenate(([0], np.cumsum(~ones)))
+        a, b = zeros[first], zeros[last]
+        up = (limit >> bit & 1).astype(bool)
+        out += np.where(up, b - a, 0)
+        first, last = np.where(up, zeros[-1] + first - a, a), np.where(up, zeros[-1] + last - b, b)
+        values = np.concatenate((values[~ones], values[ones]))
+    return out
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, eps: float) -> int:
+    """Pairs of points nearer than eps in both coordinates, in n log n steps."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    by_y = np.sort(y)
+    rank = np.empty(len(y), np.int64)
+    rank[np.argsort(y, kind="stable")] = np.arange(len(y))
+    left, right = np.searchsorted(x, x - eps, "right"), np.searchsorted(x, x + eps, "left")
+    low, high = np.searchsorted(by_y, y - eps, "right"), np.searchsorted(by_y, y + eps, "left")
+    inside = below(rank, right, high) - below(rank, left, high) - below(rank, right, low) + below(rank, left, low)
+    return int(inside.sum() - len(x)) // 2
+
+
+def bds_two(x: np.ndarray, distance: float = 1.5) -> tuple[float, float]:
+    """BDS statistic of embedding dimension 2 and its p; near pairs are counted from sorted values, not one by one."""
     n = len(x)
     eps = distance * x.std(ddof=1)
-    degree, pairs1, pairs_tail, pairs2 = np.zeros(n), 0, 0, 0
-    for a in range(0, n, block):
-        near = np.abs(x[a : a + block, None] - x[None, :]) < eps
-        degree[a : a + block] = near.sum(axis=1)
-        upper = np.arange(n)[None, :] > np.arange(a, min(a + block, n))[:, None]
-        close = near & upper
-        pairs1 += int(close.sum())
-        rows = np.arange(a, min(a + block, n)) >= 1
-        pairs_tail += int(close[rows].sum())
-        nxt = np.abs(x[a + 1 : a + block + 1, None] - x[None, 1:]) < eps
-        pairs2 += int((close[: len(nxt), :-1] & nxt).sum())
+
+    def near(v: np.ndarray) -> np.ndarray:
+        by = np.sort(v)
+        return np.searchsorted(by, v + eps, "left") - np.searchsorted(by, v - eps, "right")
+
+    degree = near(x).astype(float)
+    m = n - 1
+    pairs1, pairs_tail, pairs2 = (degree.sum() - n) / 2, (near(x[1:]).sum() - m) / 2, close_pairs(x[:-1], x[1:], eps)
     c = pairs1 / (n * (n - 1) / 2)
     k = ((degree**2).sum() - 3 * degree.sum() + 2 * n) / (n * (n - 1) * (n - 2))
-    m = n - 1
     c1, c2 = pairs_tail / (m * (m - 1) / 2), pairs2 / (m * (m - 1) / 2)
     var = 4 * (k**2 + 2 * k * c**2 + c**4 - 4 * k * c**2)
     stat = math.sqrt(m) * (c2 - c1**2) / math.sqrt(var) if var > 0 else 0.0

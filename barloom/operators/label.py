@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.functions.windows import bfill, frame
+from barloom.functions.windows import bfill, frame, w
+
+#: A weight that a double no longer notices next to 1 is exp(-NEGLIGIBLE).
+NEGLIGIBLE = 40.0
 
 
 def with_ewm(df: DataFrame, jobs: dict[str, tuple[str, int, str]]) -> DataFrame:
     """Exponentially weighted columns: name -> (source, span, "std" or "mean").
 
-    std: bias-corrected over adjusted weights, null before two values; mean: the plain recursion. A recursion over all
-    history has no Spark function; each symbol's bars (one a day) make one group of vectorized pandas.
+    std: bias-corrected over adjusted weights, null before two values; mean: the plain recursion, a null keeping the value before.
+    A sum of decaying weights is taken within blocks of so many rows that what stood before the block in front no longer
+    counts in a double: weights relative to the block's first row stay finite, and each row adds the last sum of the block
+    in front, decayed. All of it is window sums in Spark.
     """
-    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in jobs]])
+    df = df.withColumn("_i", (F.row_number().over(w()) - 1).cast("double"))
+    for name, (source, span, kind) in jobs.items():
+        keep = 1.0 - 2.0 / (span + 1.0)
+        x, known = F.col(source), F.col(source).isNotNull().cast("double")
+        value = F.coalesce(x, F.lit(0.0))
+        parts = {"w": known, "x": value} | ({"w2": known, "x2": value * value} if kind == "std" else {})
+        df = _decayed(df, {f"_{k}": (c, keep * keep if k == "w2" else keep) for k, c in parts.items()}, math.ceil(NEGLIGIBLE / -math.log(keep)))
+        if kind == "std":
+            weight = F.nullif(F.col("_w"), F.lit(0.0))
+            m = F.col("_x") / weight
+            biased = F.greatest(F.col("_x2") / weight - m * m, F.lit(0.0))
+            square = weight * weight
+            share = square / F.nullif(square - F.col("_w2"), F.lit(0.0))
+            out = F.when(F.count(x).over(frame(Window.unboundedPreceding, 0)) >= 2, F.sqrt(biased * share))
+        else:
+            over, age = frame(Window.unboundedPreceding, 0), keep * F.pow(F.lit(keep), F.col("_i"))
+            start, weight = F.first(value).over(over) * age, F.first(known).over(over) * age
+            out = ((1.0 - keep) * F.col("_x") + start) / F.nullif((1.0 - keep) * F.col("_w") + weight, F.lit(0.0))
+        df = df.withColumn(name, out).drop(*[f"_{k}" for k in parts])
+    return df.drop("_i")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        for name, (source, span, kind) in jobs.items():
-            x = pdf[source].astype("float64")
-            pdf[name] = x.ewm(span=span, min_periods=2).std() if kind == "std" else x.ewm(span=span, adjust=False).mean()
-        return pdf
 
-    out = df.groupBy("symbol").applyInPandas(run, schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in jobs})
+def _decayed(df: DataFrame, sums: dict[str, tuple[Column, float]], rows: int) -> DataFrame:
+    """name -> (x, keep): the sum over a symbol's rows so far of x * keep^age, by blocks of `rows` rows."""
+    block, place = F.floor(F.col("_i") / rows), F.col("_i") % rows
+    df = df.withColumns({"_block": block, "_place": place})
+    inside = Window.partitionBy("symbol", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    own = {n: F.sum(x * F.pow(F.lit(keep), -F.col("_place"))).over(inside) * F.pow(F.lit(keep), F.col("_place")) for n, (x, keep) in sums.items()}
+    df = df.withColumns(own)
+    last = F.col("_place") == rows - 1
+    before = {n: F.coalesce(F.last(F.when(last, F.col(n)), ignorenulls=True).over(frame(Window.unboundedPreceding, -1)), F.lit(0.0)) for n in sums}
+    carried = {n: F.col(n) + before[n] * F.pow(F.lit(keep), F.col("_place") + 1) for n, (_, keep) in sums.items()}
+    return df.withColumns(carried).drop("_block", "_place")
 
 
 def local_volatility(df: DataFrame, span: int = 20, backfill: bool = True) -> DataFrame:

@@ -5,11 +5,13 @@ The learner is pyspark.ml's random forest on the pooled panel; its values differ
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.validation import class_weights, folds
@@ -49,6 +51,7 @@ def train_folds(df: DataFrame, features: list[str], k: int = 5, **settings) -> t
         model = fit(class_weights(own.where("part = 'train'"), by=("fold",)), features, **settings)
         out.append(probabilities(model, own.where("part = 'test'"), features))
         gains += [(f, name, float(g)) for name, g in zip(features, model.featureImportances.toArray(), strict=True)]
+    parts.unpersist()  # what is returned reads the test rows once
     spark = df.sparkSession
     return union(out), spark.createDataFrame(gains, "fold int, feature string, gain double")
 
@@ -70,18 +73,27 @@ def true_probability(label: str = "target_label") -> Column:
     return F.when(y == 1, F.col("prob_long")).when(y == -1, F.col("prob_short")).otherwise(F.col("prob_neutral"))
 
 
-def tune(df: DataFrame, features: list[str], k: int = 3, parameters: list[tuple] | None = None) -> DataFrame:
-    """Mean weighted log loss over k inner folds of each listed parameter set, best first."""
+def tune(df: DataFrame, features: list[str], k: int = 3, parameters: list[tuple] | None = None, at_once: int = 4) -> DataFrame:
+    """Mean weighted log loss over k inner folds of each listed parameter set, best first; at_once fits run side by side."""
     parts = folds(df.where("target_label is not null"), k, max_train=None)
     parts = class_weights(parts, by=("fold", "part")).persist()
-    losses = []
-    for j, (trees, depth, share, leaf) in enumerate(parameters or PARAMETERS):
-        for f in range(k):
-            own = parts.where(F.col("fold") == f)
-            model = fit(own.where("part = 'train'"), features, trees, depth, share, leaf)
-            scored = probabilities(model, own.where("part = 'test'"), features)
-            losses.append(scored.agg(weighted_log_loss(true_probability(), F.col("weight")).alias("loss")).select(F.lit(j).alias("set"), F.lit(trees).alias("trees"), F.lit(depth).alias("depth"), F.lit(share).alias("share"), F.lit(leaf).alias("leaf"), "loss"))
-    return union(losses).groupBy("set", "trees", "depth", "share", "leaf").agg(F.avg("loss").alias("loss")).orderBy("loss", "set")
+    spark = df.sparkSession
+
+    @inheritable_thread_target(spark)
+    def loss(job: tuple[int, int]) -> tuple[int, float]:
+        j, f = job
+        trees, depth, share, leaf = tried[j]
+        own = parts.where(F.col("fold") == f)
+        model = fit(own.where("part = 'train'"), features, trees, depth, share, leaf)
+        scored = probabilities(model, own.where("part = 'test'"), features)
+        return j, scored.agg(weighted_log_loss(true_probability(), F.col("weight"))).first()[0]
+
+    tried = parameters or PARAMETERS
+    with ThreadPoolExecutor(at_once) as pool:
+        losses = list(pool.map(loss, [(j, f) for j in range(len(tried)) for f in range(k)]))
+    parts.unpersist()
+    rows = [(j, *tried[j], sum(v for i, v in losses if i == j) / k) for j in range(len(tried))]
+    return spark.createDataFrame(rows, "set int, trees int, depth int, share double, leaf int, loss double").orderBy("loss", "set")
 
 
 def oof_average(frames: list[DataFrame]) -> DataFrame:
@@ -89,15 +101,38 @@ def oof_average(frames: list[DataFrame]) -> DataFrame:
     return union(frames).groupBy("symbol", "ts").agg(*[F.avg(c).alias(c) for c in ("prob_short", "prob_neutral", "prob_long")], F.count("*").alias("times"))
 
 
+def side_medians(df: DataFrame, by: tuple[str, ...], cells: int = 4096) -> DataFrame:
+    """Of each group and sign of prob_delta: rows and the exact median of its size, in two steps of counts.
+
+    Counts by equal cells of the size tell in which cells the two middle rows lie; of these cells alone the distinct sizes are counted.
+    No group is ordered or collected whole.
+    """
+    size = F.abs("prob_delta")
+    keys = [*by, "up"]
+    rows = df.where("prob_delta <> 0").select(*by, (F.col("prob_delta") > 0).alias("up"), size.alias("size"), F.floor(F.least(size, F.lit(1.0)) * cells).alias("cell"))
+
+    def placed(counts: DataFrame, group: list[str], order: str) -> DataFrame:
+        own = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("k").over(own), F.lit(0)))
+
+    def holds(start: Column) -> Column:
+        low, high = F.floor((F.col("n") - 1) / 2) - start, F.floor(F.col("n") / 2) - start
+        return (low < F.col("before") + F.col("k")) & (high >= F.col("before"))
+
+    counts = placed(rows.groupBy(*keys, "cell").agg(F.count("*").alias("k")), keys, "cell")
+    counts = counts.withColumn("n", F.sum("k").over(Window.partitionBy(*keys))).where(holds(F.lit(0)))
+    middle = counts.select(*keys, "cell", "n", F.col("before").alias("start"))
+    values = placed(rows.join(middle, [*keys, "cell"]).groupBy(*keys, "cell", "n", "start", "size").agg(F.count("*").alias("k")), [*keys, "cell"], "size")
+    return values.where(holds(F.col("start"))).groupBy(*keys).agg(F.max("n").alias("n"), ((F.min("size") + F.max("size")) / 2).alias("median"))
+
+
 def thresholds(df: DataFrame, by: tuple[str, ...] = ("fold",), margin: float = 0.04, least: int = 10) -> DataFrame:
     """up_cut and down_cut of each group: the median of positive and of negative prob_delta where there are more than
     `least`, else the margin; never nearer to 0 than the margin."""
-    d = F.col("prob_delta")
-    up, down = F.when(d > 0, d), F.when(d < 0, d)
-    return df.groupBy(*by).agg(
-        F.greatest(F.when(F.count(up) > least, F.percentile(up, 0.5)).otherwise(margin), F.lit(margin)).alias("up_cut"),
-        F.least(F.when(F.count(down) > least, F.percentile(down, 0.5)).otherwise(-margin), F.lit(-margin)).alias("down_cut"),
-    )
+    half = F.greatest(F.when(F.col("n") > least, F.col("median")).otherwise(margin), F.lit(margin))
+    sides = side_medians(df, by).groupBy(*by).agg(F.max(F.when(F.col("up"), half)).alias("up_cut"), F.max(F.when(~F.col("up"), half)).alias("down_cut"))
+    every = df.select(*by).distinct().join(sides, list(by), "left")
+    return every.select(*by, F.coalesce("up_cut", F.lit(margin)).alias("up_cut"), (-F.coalesce("down_cut", F.lit(margin))).alias("down_cut"))
 
 
 def decide(df: DataFrame, cuts: DataFrame, by: tuple[str, ...] = ("fold",)) -> DataFrame:

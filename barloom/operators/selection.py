@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +19,47 @@ PRIORITY = (
 MI_LIMIT, LEAST, MOST, CLUSTERS, CORRELATION, MAX_VIF = 0.01, 6, 16, 14, 0.85, 6.0
 
 
-def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, r) of every pair, a before b; one aggregate row over rows without nulls, whatever their number."""
-    rows = df.na.drop(subset=features)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    row = rows.agg(*[F.corr(features[i], features[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    made = F.array(*[F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs])
-    return row.select(F.inline(made))
+def gramian(df: DataFrame, features: list[str]) -> tuple[np.ndarray, int]:
+    """(sums of products of the centred features, rows) over rows without nulls.
+
+    Every partition multiplies its rows into one k x k matrix; Spark adds the matrices up, element by element.
+    """
+    rows = df.select(*features).na.drop()
+    means = rows.agg(F.count("*"), *[F.avg(f) for f in features]).first()
+    n, centre = means[0], np.array([m or 0.0 for m in means[1:]])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(features), len(features)))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(len(features))]) - centre
+            total += x.T @ x
+        i, j = np.triu_indices(len(features))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
+
+    out = np.zeros((len(features), len(features)))
+    for r in rows.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["s"]
+    return out, n
+
+
+def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
+    """Pearson's r of every pair, 0 where a feature does not vary."""
+    s, _ = gramian(df, features)
+    scale = np.sqrt(np.diag(s))
+    return np.divide(s, np.outer(scale, scale), out=np.eye(len(features)), where=np.outer(scale, scale) > 0)
 
 
 def correlation_screen(df: DataFrame, features: list[str], limit: float = CORRELATION) -> DataFrame:
     """(feature, strongest, dropped): dropped if any earlier column, dropped or not, correlates beyond the limit."""
-    r = correlations(df, features).groupBy(F.col("b").alias("feature")).agg(F.max(F.abs("r")).alias("strongest"))
-    first = df.sparkSession.createDataFrame([(features[0], 0.0)], "feature string, strongest double")
-    return first.unionByName(r).withColumn("dropped", F.col("strongest") > limit)
+    r = np.abs(correlation_matrix(df, features))
+    strongest = [float(r[:j, j].max(initial=0.0)) for j in range(len(features))]
+    rows = [(f, x, x > limit) for f, x in zip(features, strongest, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature string, strongest double, dropped boolean")
 
 
 def vif_screen(df: DataFrame, features: list[str], limit: float = MAX_VIF) -> list[str]:
     """Features left after the correlation and variance-inflation screens; the matrix is k x k, however long the table."""
-    r = np.eye(len(features))
-    at = {f: i for i, f in enumerate(features)}
-    for row in correlations(df, features).collect():
-        r[at[row["a"]], at[row["b"]]] = r[at[row["b"]], at[row["a"]]] = row["r"] if row["r"] is not None else 0.0
+    r = correlation_matrix(df, features)
     left = np.flatnonzero(~stats.correlated_with_earlier(r))
     return [features[left[i]] for i in stats.vif_keep(r[np.ix_(left, left)], limit)]
 

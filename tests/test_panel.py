@@ -73,6 +73,55 @@ def test_ewm_columns_match_pandas(spark, frame):
         assert np.allclose(g.macd_dist, fast / slow - 1)
 
 
+def test_ewm_of_long_and_gappy_series(spark):
+    """5,000 rows cross many blocks; nulls in front and inside keep the deviation's rules, a null keeps the mean."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.001, 0.02, 5000)
+    x[[0, 1, 777, 778, 4000]] = np.nan
+    rows = [("A", i, None if np.isnan(v) else float(v), float(100 + np.nan_to_num(x)[: i + 1].sum())) for i, v in enumerate(x)] + [("B", i, None, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, r double, p double")
+    got = label.with_ewm(df, {"s": ("r", 20, "std"), "m": ("p", 26, "mean"), "n": ("r", 12, "mean")}).orderBy("symbol", "ts").toPandas()
+    a = got[got.symbol == "A"]
+    assert np.allclose(a.s.to_numpy(float), pd.Series(x).ewm(span=20, min_periods=2).std(), rtol=1e-10, equal_nan=True)
+    assert np.allclose(a.m, pd.Series([r[3] for r in rows[:5000]]).ewm(span=26, adjust=False).mean(), rtol=1e-12)
+    assert a.n.isna().tolist()[:3] == [True, True, False] and a.n.notna()[2:].all()
+    b = got[got.symbol == "B"]
+    assert b.s.isna().all() and b.n.isna().all() and (b.m == 1).all()
+
+
+def test_cutoffs_are_exact_medians(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for fold, n in ((0, 4001), (1, 500), (2, 12), (3, 0)):
+        d = np.round(rng.normal(0.05, 0.3, n), 2 if fold == 0 else 6)  # fold 0 is full of ties
+        rows += [(fold, float(v)) for v in d] + [(fold, 0.0)]
+    got = {r["fold"]: r for r in models.thresholds(spark.createDataFrame(rows, "fold int, prob_delta double")).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for fold, r in got.items():
+        d = np.array([v for f, v in rows if f == fold])
+        up, down = d[d > 0], d[d < 0]
+        assert r["up_cut"] == pytest.approx(max(0.04, np.median(up) if len(up) > 10 else 0.04), abs=1e-15)
+        assert r["down_cut"] == pytest.approx(min(-0.04, np.median(down) if len(down) > 10 else -0.04), abs=1e-15)
+
+
+def test_pairs_and_correlations_match_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=300)
+    near = np.abs(x[:, None] - x[None, :]) < 0.7
+    both = near[:-1, :-1] & near[1:, 1:]
+    assert stats.close_pairs(x[:-1], x[1:], 0.7) == int(np.triu(both, 1).sum())
+    tied = np.repeat([0.0, 1.0, 2.0], 20)
+    assert stats.close_pairs(tied, tied[::-1].copy(), 0.5) == int(np.triu((tied[:, None] == tied) & (tied[::-1][:, None] == tied[::-1]), 1).sum())
+    wide = pd.DataFrame(rng.normal(size=(500, 5)) + 1e4, columns=list("abcde"))
+    wide["e"] = 3.0
+    wide.loc[::7, "b"] = np.nan
+    df = spark.createDataFrame(wide.astype(object).where(wide.notna(), None), "a double, b double, c double, d double, e double")
+    full = wide.dropna()
+    want = full[list("abcd")].corr().to_numpy()
+    r = selection.correlation_matrix(df, list("abcde"))
+    assert np.allclose(r[:4, :4], want, atol=1e-10) and r[4, :4].tolist() == [0] * 4
+
+
 def test_features_do_not_look_ahead_and_symbols_stay_apart(spark, frame):
     cut = 150
     changed = frame.copy()
