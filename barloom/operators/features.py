@@ -497,7 +497,7 @@ ROUTES: list[tuple[Family, str | None]] = [
 LAGGED, FIXED = (volume_shock, trend, oscillators), ("rsi_14",)
 
 
-def assemble(df: DataFrame, flags: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+def assemble(df: DataFrame, flags: DataFrame | None = None, without: tuple[Family, ...] = ()) -> tuple[DataFrame, list[str]]:
     """All routed families side by side, and the new columns in route order.
 
     With flags (one row a symbol) the union of families is computed once and a family's columns are nulled for symbols whose
@@ -519,7 +519,7 @@ def assemble(df: DataFrame, flags: DataFrame | None = None) -> tuple[DataFrame,
         return new
 
     for family, flag in ROUTES:
-        if family is book_dynamics and "l2_spread" not in df.columns:
+        if family in without or family is book_dynamics and "l2_spread" not in df.columns:
             continue
         gate = F.coalesce(F.col(flag), F.lit(False)) if flag else None
         if lags and family in LAGGED:

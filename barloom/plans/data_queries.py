@@ -45,6 +45,21 @@ def src_market(spark, sf_dir):
     return src.market_bars(spark, sf_dir).select("ts", *rounded(6, "mkt_close", "mkt_volume", "mkt_high", "mkt_low"))
 
 
+@query(sql_shown(f"{TRADES}, {MARKET}", "market", 6, ["mkt_close", "mkt_volume"], keys="ts"))
+def src_second_source(spark, sf_dir):
+    """The benchmark's first source has no rows, so the second is read."""
+    market = src.market_bars(spark, sf_dir)
+    return src.read_or(market.where("ts < date'1900-01-01'"), market).select("ts", *rounded(6, "mkt_close", "mkt_volume"))
+
+
+@query(sql_shown(BARS, "bars", 6, BAR_NAMES) + " WHERE ts >= DATE '1995-01-01'")
+def src_write_table(spark, sf_dir):
+    """Bars written as files of each symbol and read again from a first day on."""
+    path = src.shared_path(spark, "bars")
+    src.write_bars(bars(spark, sf_dir), path)
+    return shown(src.read_bars(spark, path, start="1995-01-01"), 6, *BAR_NAMES)
+
+
 @query(sql_shown(f"{BARS}, {MARKET}, {JOINED}", "joined", 6, ["close", "mkt_close", "mkt_return"]))
 def prep_market_join(spark, sf_dir):
     market = prep.market_return(src.market_bars(spark, sf_dir))
@@ -274,3 +289,14 @@ def prep_target_rows(spark, sf_dir):
     return shown(prep.target_rows(labeled(spark, sf_dir), ["log_return"]), 6, "target_label")
 
 
+
+
+_FILED = ["close_adj", "local_volatility", "target_label", "target_barrier_return"]
+
+
+@query(f"{LABELED} SELECT symbol, ts, barrier_touch_time, {', '.join(f'round({c}, 6) AS {c}' for c in _FILED)} FROM labeled")
+def src_labelled_csv(spark, sf_dir):
+    """The labelled table written as csv and read again."""
+    path = src.shared_path(spark, "labelled")
+    src.write_bars(labeled(spark, sf_dir).select("symbol", "ts", *_FILED, "barrier_touch_time"), path, "csv")
+    return src.read_labelled(spark, path).select("symbol", "ts", "barrier_touch_time", *rounded(6, *_FILED))

@@ -14,7 +14,7 @@ from barloom.operators import selection as S
 from barloom.plans.data_queries import LABELED
 from barloom.plans.model_queries import MODEL_FEATURES, model_panel
 from barloom.plans.panel import labeled, panel, shown, with_book
-from barloom.plans.sql import P, PANEL, lag, std, total
+from barloom.plans.sql import P, PANEL, gamma_tail, lag, std, total
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,7 +94,13 @@ def diag_hurst_dfa(spark, sf_dir):
     return D.hurst_dfa(panel(spark, sf_dir)).select("symbol", *rounded(6, "hurst"))
 
 
-@query()
+@query(
+    f"""WITH {PANEL}, p AS (SELECT symbol, close_adj AS p, row_number() OVER ({P}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM panel),
+t AS (SELECT symbol, regr_slope(p, i) AS b, regr_intercept(p, i) AS a FROM p GROUP BY symbol), x AS (SELECT symbol, i, n, p - b*i - a AS x FROM p JOIN t USING (symbol)),
+k AS (SELECT DISTINCT symbol, n, unnest(range(1, n // 2 + 1)) AS k FROM x),
+f AS (SELECT symbol, k, any_value(x.n) AS n, pow(sum(x*cos(2*pi()*((k*i) % x.n)/x.n)), 2) + pow(sum(x*sin(2*pi()*((k*i) % x.n)/x.n)), 2) AS power FROM k JOIN x USING (symbol) GROUP BY 1, 2)
+SELECT symbol, floor(least(30.0, greatest(3.0, 1.0/(arg_max(k, power)*(1.0/any_value(n)))))::DOUBLE)::INT AS dominant_cycle FROM f GROUP BY symbol"""
+)
 def diag_cycle(spark, sf_dir):
     return D.cycle(panel(spark, sf_dir))
 
@@ -109,7 +115,22 @@ def diag_leverage(spark, sf_dir):
     return D.arch(panel(spark, sf_dir)).select("symbol", *rounded(6, "leverage"))
 
 
-@query()
+def _arch() -> str:
+    """The regression on five lags by taking out one lag after another; what is left of the others belongs to no earlier one."""
+    own = "OVER (PARTITION BY symbol)"
+    parts = [f"WITH {PANEL}, e AS (SELECT symbol, ts, log_return, log_return*log_return AS c0 FROM panel WHERE log_return IS NOT NULL)"]
+    parts.append(f"l0 AS (SELECT * FROM (SELECT symbol, c0, {', '.join(f'{lag("c0", k)} AS c{k}' for k in range(1, 6))} FROM e) WHERE c5 IS NOT NULL)")
+    for k in range(1, 6):
+        rest = ", ".join(f"c{j} - regr_slope(c{j}, c{k}) {own} * (c{k} - avg(c{k}) {own}) AS c{j}" for j in (0, *range(k + 1, 6)))
+        parts.append(f"l{k} AS (SELECT symbol, {rest} FROM l{k - 1})")
+    parts.append("a AS (SELECT symbol, count(*) AS n, var_pop(c0) AS whole FROM l0 GROUP BY symbol), b AS (SELECT symbol, var_pop(c0) AS rest FROM l5 GROUP BY symbol)")
+    parts.append("m AS (SELECT symbol, n*(1 - rest/whole) AS lm FROM a JOIN b USING (symbol))")
+    parts.append(f"v AS (SELECT symbol, corr(r1, c0) AS leverage FROM (SELECT symbol, c0, {lag('log_return')} AS r1 FROM e) GROUP BY symbol)")
+    parts.append(f"q AS (SELECT *, {gamma_tail(2.5, 'lm/2')} AS p FROM m)")
+    return ",\n".join(parts) + "\nSELECT symbol, round(lm, 4) AS arch_lm, round(p, 4) AS arch_p, p < 0.05 AS has_arch_effect, leverage < -0.1 AS has_asymmetric_vol FROM q JOIN v USING (symbol)"
+
+
+@query(_arch())
 def diag_arch(spark, sf_dir):
     return D.arch(panel(spark, sf_dir)).select("symbol", *rounded(4, "arch_lm", "arch_p"), "has_arch_effect", "has_asymmetric_vol")
 
@@ -138,7 +159,19 @@ def diag_book(spark, sf_dir):
     return D.book(prep.book_l2(with_book(panel(spark, sf_dir)))).select("symbol", *rounded(6, "micro_dev_corr"), "micro_deviation_sig", "l2_spread_stationary")
 
 
-@query()
+@query(
+    f"""WITH {PANEL}, r0 AS (SELECT symbol, ts, log_return AS r, {lag('log_return')} AS b FROM panel WHERE log_return IS NOT NULL),
+ab AS (SELECT symbol, regr_slope(r, b) AS s, regr_intercept(r, b) AS c FROM r0 WHERE b IS NOT NULL GROUP BY symbol),
+e AS (SELECT symbol, ts, r - c - s*b AS e FROM r0 JOIN ab USING (symbol) WHERE b IS NOT NULL),
+x0 AS (SELECT symbol, row_number() OVER ({P}) - 1 AS i, (e - avg(e) OVER (PARTITION BY symbol)) / (stddev_pop(e) OVER (PARTITION BY symbol) + 1e-8) AS x FROM e),
+x AS (SELECT symbol, i, x, lead(x) OVER (PARTITION BY symbol ORDER BY i) AS x1, 1.5 * stddev_samp(x) OVER (PARTITION BY symbol) AS eps FROM x0),
+d AS (SELECT a.symbol, a.i, count(*) AS g, count(*) FILTER (WHERE b.i > a.i) AS p1, count(*) FILTER (WHERE b.i > a.i AND a.i > 0) AS pt,
+  count(*) FILTER (WHERE b.i > a.i AND abs(a.x1 - b.x1) < a.eps) AS p2 FROM x a JOIN x b ON a.symbol = b.symbol AND abs(a.x - b.x) < a.eps GROUP BY 1, 2),
+t AS (SELECT symbol, count(*)::DOUBLE AS n, count(*) - 1.0::DOUBLE AS m, sum(g*g)::DOUBLE AS g2, sum(g)::DOUBLE AS g1, sum(p1)::DOUBLE AS p1, sum(pt)::DOUBLE AS pt, sum(p2)::DOUBLE AS p2 FROM d GROUP BY symbol),
+c AS (SELECT symbol, m, p1/(n*(n-1)/2) AS c, (g2 - 3*g1 + 2*n)/(n*(n-1)*(n-2)) AS k, pt/(m*(m-1)/2) AS c1, p2/(m*(m-1)/2) AS c2 FROM t),
+z AS (SELECT symbol, sqrt(m)*(c2 - c1*c1)/sqrt(4*(k*k + 2*k*c*c + c*c*c*c - 4*k*c*c)) AS z FROM c), q AS (SELECT *, {gamma_tail(0.5, 'z*z/2')} AS p FROM z)
+SELECT symbol, round(z, 6) AS bds, round(p, 6) AS bds_p, p < 0.05 AS is_nonlinear FROM q"""
+)
 def diag_nonlinear(spark, sf_dir):
     return D.nonlinear(panel(spark, sf_dir)).select("symbol", *rounded(6, "bds", "bds_p"), "is_nonlinear")
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from barloom.operators import features as X
 from barloom.operators import prep
 from barloom.plans.panel import panel, shown, with_book
-from barloom.plans.sql import BOOK, P, PANEL, PAST, diff, lag, mean, roll, std, total, z
+from barloom.plans.sql import BOOK, P, PANEL, PAST, chain, diff, lag, mean, roll, std, total, z
 from barloom.plans.sql import shown as sql_shown
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: key -> (names, SQL steps, base, source) of the families that SQL expresses.
+FAMILIES: dict[str, tuple] = {}
 SPAN = "(high_adj - low_adj + 1e-8)"
 
 
@@ -21,6 +23,7 @@ def family(key: str, job, digits: int | dict[str, int], names: list[str], *steps
     QUERIES[key] = lambda spark, sf_dir: shown(job((source or panel)(spark, sf_dir)), digits, *names)
     if steps:
         SQL[key] = sql_shown(base, at, digits, names, *steps)
+        FAMILIES[key] = (job, names, steps, base, at)
 
 
 family(
@@ -437,3 +440,30 @@ def feat_all(spark, sf_dir: str):
 
 
 QUERIES["feat_all"] = feat_all
+
+
+def _side_by_side() -> str:
+    """The routed families' own SQL, joined on the row's key; all but the mixture regimes, which SQL cannot fit."""
+    routed = [f.__name__ for f, _ in X.ROUTES if f not in (X.gmm_regimes, X.book_dynamics)]
+    parts, columns = [], []
+    for n, name in enumerate(routed):
+        _, names, steps, base, at = FAMILIES[f"feat_{name}"]
+        chained, last = chain(base, at, *steps)
+        parts.append(f"f{n} AS (WITH {chained} SELECT symbol, ts, {', '.join(names)} FROM {last})")
+        columns += [f"round({c}::DOUBLE, {3 - 3 * (c in _LARGE)}) + 0.0::DOUBLE AS {c}" for c in names]
+    joined = " JOIN ".join(["f0", *[f"f{n} USING (symbol, ts)" for n in range(1, len(routed))]])
+    return "WITH " + ",\n".join(parts) + f"\nSELECT symbol, ts, {', '.join(columns)} FROM {joined}"
+
+
+#: Columns of magnitudes at which three digits are beyond a double's sums.
+_LARGE = ("kinematic_clv_vol", "kinematic_clv_vol_roll20", "buying_tail_power", "selling_tail_power", "flow_imbalance_proxy", "wavelet_energy_ratio")
+SQL["feat_assembled"] = _side_by_side()
+
+
+def feat_assembled(spark, sf_dir: str):
+    """All families that SQL can check, side by side over one window."""
+    df, names = X.assemble(panel(spark, sf_dir), without=(X.gmm_regimes,))
+    return shown(df, {n: 3 - 3 * (n in _LARGE) for n in names}, *names)
+
+
+QUERIES["feat_assembled"] = feat_assembled

@@ -15,6 +15,7 @@ from barloom.operators import features as X
 from barloom.plans.data_queries import BARRIER
 from barloom.plans.panel import labeled, shown
 from barloom.plans.sql import P, PANEL, PAST, chain, lag, total
+from barloom.sources import bars as src
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -224,6 +225,14 @@ def eval_importance(spark, sf_dir):
     return evaluation.importance(gains(spark, sf_dir)).select("feature", *rounded(6, "mean_importance", "std_importance"), "fold_count")
 
 
+@query(f"{_GAINS}, s AS (SELECT *, gain / sum(gain) OVER (PARTITION BY fold) AS share FROM gains) SELECT feature, round(avg(share), 6) AS mean_importance, count(DISTINCT fold) AS fold_count FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def src_importance(spark, sf_dir):
+    """The importance summary written as csv, the three best read again."""
+    path = src.shared_path(spark, "importance")
+    evaluation.importance(gains(spark, sf_dir)).select("feature", "mean_importance", "std_importance", "fold_count").write.option("header", True).csv(path)
+    return src.read_importance(spark, path, 3).select("feature", *rounded(6, "mean_importance"), "fold_count")
+
+
 _TV = 0.15 / math.sqrt(252)
 LEDGER = f"""{OOS},
 l0 AS (SELECT symbol, ts, signal, close_adj, close, local_volatility FROM oos WHERE local_volatility IS NOT NULL),

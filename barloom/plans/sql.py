@@ -75,3 +75,8 @@ def shown(base: str, source: str, digits: int | dict[str, int], names: list[str]
     at = digits if isinstance(digits, dict) else dict.fromkeys(names, digits)
     columns = ", ".join(f"round({c}::DOUBLE, {at[c]}) + 0.0::DOUBLE AS {c}" for c in names)
     return f"WITH {parts}\nSELECT {keys}, {columns} FROM {name}"
+
+
+def gamma_tail(a: float, z: str) -> str:
+    """The upper regularised gamma function, as one minus its series: tails of the normal (a = 1/2) and of chi-squared."""
+    return f"(CASE WHEN {z} > 300 THEN 0.0 WHEN {z} <= 0 THEN 1.0 ELSE 1 - list_sum([exp(({a} + k)*ln({z}) - {z} - lgamma({a} + k + 1)) FOR k IN range(0, 900)]) END)"

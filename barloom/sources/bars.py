@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +19,11 @@ BAR = T.StructType(
 IMPORTANCE = T.StructType(
     [T.StructField("feature", T.StringType()), T.StructField("mean_importance", T.DoubleType()), T.StructField("std_importance", T.DoubleType()), T.StructField("fold_count", T.LongType())]
 )
+LABELLED = T.StructType(
+    [T.StructField("symbol", T.StringType()), T.StructField("ts", T.DateType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("close_adj", "local_volatility", "target_label", "target_barrier_return")]
+    + [T.StructField("barrier_touch_time", T.DateType())]
+)
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
@@ -94,9 +105,25 @@ def read_or(primary: DataFrame, second: DataFrame | None = None) -> DataFrame:
     return second
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only in a local session without it."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        atexit.register(shutil.rmtree, root[7:], True)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """A labelled table of csv files with a header, its days parsed, in time order within each symbol."""
+    return spark.read.schema(LABELLED).option("header", True).csv(path).orderBy("symbol", "ts")
+
+
 def write_bars(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Files partitioned by symbol; csv carries a header."""
-    writer = df.repartition("symbol").write.mode("overwrite").partitionBy("symbol")
+    """Files partitioned by symbol, a year of a symbol in one task; csv carries a header."""
+    writer = df.repartition("symbol", F.year("ts")).write.mode("overwrite").partitionBy("symbol")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
