@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = sets.select("_id", F.explode(bands).alias("b")).select("_id", "b.band", "b.bucket")
     leaders = members.groupBy("bucket").agg(F.min("_id").alias("u"), F.count("*").alias("members")).where("members > 1")
+    leaders = scratch.put(leaders)  # a join of two plain exchanges can split a bucket of many members
     buckets = scratch.put(members.join(leaders, "bucket"))
+    scratch.drop(leaders)
     known = sets.select("_id", "n", "registers")
     needed = buckets.select("_id").distinct()
     full = scratch.put(keyed.join(needed, "_id", "left_semi").mapInArrow(_lister(size), f"_id {kind}, items array<long>"))
