@@ -183,7 +183,7 @@ def information_rank(df: DataFrame, features: list[str]) -> DataFrame:
     return _screen(df, features, "mi double", job).where("mi is not null").withColumn("place", place)
 
 
-def _select(x: pd.DataFrame, y: np.ndarray) -> list[tuple[str, int, str]]:
+def screen(x: pd.DataFrame, y: np.ndarray) -> list[tuple[str, int, str]]:
     """(feature, lag, how) that survive redundancy and prediction screens on one symbol's rows."""
     names = [c for c in x.columns if x[c].std() >= 1e-8]
     values = x[names].to_numpy(float)
@@ -217,7 +217,7 @@ def select(df: DataFrame, features: list[str]) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        found = _select(pdf[features], pdf["target_label"].to_numpy(float)) if len(pdf) > 30 else []
+        found = screen(pdf[features], pdf["target_label"].to_numpy(float)) if len(pdf) > 30 else []
         return pd.DataFrame([(pdf["symbol"].iloc[0], *f) for f in found], columns=["symbol", "feature", "lag", "how"])
 
     return rows.groupBy("symbol").applyInPandas(run, "symbol string, feature string, lag int, how string")

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import rounded
-from barloom.operators import backtest, evaluation, models, validation
+from barloom.operators import backtest, evaluation, models, validation, walkforward
 from barloom.operators import features as X
 from barloom.plans.data_queries import BARRIER
 from barloom.plans.panel import labeled, shown
@@ -283,3 +283,19 @@ def bt_equity_vs_benchmark(spark, sf_dir):
 @query(f"{OOS} SELECT symbol, k AS fold, min(ts) AS first_ts FROM oos GROUP BY 1, 2")
 def bt_fold_starts(spark, sf_dir):
     return backtest.fold_starts(oos(spark, sf_dir))
+
+
+@query()
+def bt_walk_forward(spark, sf_dir):
+    """From the labelled panel to the ledger: diagnostics, routing, selection over all features, fit and cutoffs in every outer fold."""
+    rows, _, _ = walkforward.run(labeled(spark, sf_dir))
+    return shown(backtest.ledger(rows, rows), 6, *LEDGER_NAMES)
+
+
+@query()
+def sel_fold_transforms(spark, sf_dir):
+    """What every series selects from all assembled features (unrouted, at their usual lags) in each outer fold's training rows."""
+    rows = walkforward.fold_series(labeled(spark, sf_dir))
+    wide, names = X.assemble(rows, without=(X.gmm_regimes,))
+    picked = walkforward.select_transforms(wide.where("part = 'train'"), names)
+    return picked.select(F.split("symbol", "#")[0].alias("symbol"), "fold", "feature", "lag", "kind", *rounded(6, "mi"), "place")
