@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import components, decontaminate, near_dup, setsketch, substring, suffix_array, winnow
+from barloom.llm import components, decontaminate, difference_cover, near_dup, setsketch, substring, suffix_array, winnow
 from barloom.llm.common import Scratch
 
 from . import brute
@@ -119,6 +119,15 @@ def test_suffix_array_sorts():
         assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+@pytest.mark.parametrize("n", [9, 10, 11])
+def test_spark_sorts_suffixes_by_difference_cover(spark, n):
+    """Tables of every length modulo 3, with deep repeats, against sorting the suffixes themselves."""
+    text = ([1, 2, 1, 1, 2, 1, 3] * 3)[:n]
+    s = spark.createDataFrame(list(enumerate(text)), "i long, c long").repartition(3)
+    got = {r["i"]: r["rank"] for r in difference_cover.suffix_ranks(s, Scratch(spark), small=3).collect()}
+    assert [got[i] for i in range(n)] == [sorted(range(n), key=lambda k: text[k:]).index(i) for i in range(n)]
+
+
 ITEMS = [(1, "The quick, brown fox jumps over the lazy dog and then it sleeps."), (2, "two words"), (3, None), (4, "!!"), (10, "Ünï code")]
 
 
