@@ -1,14 +1,18 @@
 """Tree ensembles per fold, out-of-fold probabilities, cutoffs and decisions.
 
-The learner is pyspark.ml's random forest on the pooled panel; its values differ from those of a boosted-tree library.
+Learners on the pooled panel are pyspark.ml's random forest and, one class against the rest, its gradient-boosted trees; their values
+differ from those of a boosting library.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+import numpy as np
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +46,62 @@ def probabilities(model: RandomForestClassificationModel, df: DataFrame, feature
     return out.withColumns(named).drop("features", "rawPrediction", "probability", "prediction", "_p", "label")
 
 
-def train_folds(df: DataFrame, features: list[str], k: int = 5, **settings) -> tuple[DataFrame, DataFrame]:
-    """(out-of-sample probabilities of every fold's test rows, importance of each feature in each fold)."""
+@dataclass
+class Boosted:
+    """A boosted model of each class against the rest; None where a class is the only one."""
+
+    parts: dict[int, GBTClassificationModel | None]
+
+    def importances(self, k: int) -> np.ndarray:
+        known = [m.featureImportances.toArray() for m in self.parts.values() if m is not None]
+        return np.mean(known, axis=0) if known else np.zeros(k)
+
+
+def fit_boosted(train: DataFrame, features: list[str], rounds: int = 10, depth: int = 3, step: float = 0.1, share: float = 0.8, leaf: int = 5, seed: int = 42) -> Boosted:
+    """Boosted trees of every class present, side by side; train has target_label and weight."""
+    data = assembled(train, features).select("features", "label", "weight").persist()
+    classes = sorted(int(r[0]) for r in data.select("label").distinct().collect())
+    booster = GBTClassifier(labelCol="_own", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, minInstancesPerNode=leaf, seed=seed)
+
+    @inheritable_thread_target(train.sparkSession)
+    def one(c: int) -> GBTClassificationModel | None:
+        return booster.fit(data.withColumn("_own", (F.col("label") == c).cast("double"))) if len(classes) > 1 else None
+
+    with ThreadPoolExecutor(3) as pool:
+        parts = dict(zip(classes, pool.map(one, classes), strict=True))
+    data.unpersist()
+    return Boosted(parts)
+
+
+def boosted_probabilities(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
+    """df with prob_short, prob_neutral, prob_long: each class's own probability over their sum; absent classes get 0."""
+    out = assembled(df, features)
+    for c, part in model.parts.items():
+        if part is None:
+            out = out.withColumn(f"_p{c}", F.lit(1.0))
+        else:
+            out = part.transform(out).withColumn(f"_p{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    total = sum((F.col(f"_p{c}") for c in model.parts), F.lit(0.0))
+    named = {n: F.col(f"_p{i}") / total if i in model.parts else F.lit(0.0) for i, n in enumerate(("prob_short", "prob_neutral", "prob_long"))}
+    return out.withColumns(named).drop("features", "label", *[f"_p{c}" for c in model.parts])
+
+
+def train_folds(df: DataFrame, features: list[str], k: int = 5, learner: str = "forest", **settings) -> tuple[DataFrame, DataFrame]:
+    """(out-of-sample probabilities of every fold's test rows, importance of each feature in each fold) of "forest" or "boosted" trees."""
     parts = folds(df.where("target_label is not null"), k).persist()
     out, gains = [], []
     for f in range(k):
         own = parts.where(F.col("fold") == f)
-        model = fit(class_weights(own.where("part = 'train'"), by=("fold",)), features, **settings)
-        out.append(probabilities(model, own.where("part = 'test'"), features))
-        gains += [(f, name, float(g)) for name, g in zip(features, model.featureImportances.toArray(), strict=True)]
+        train, test = class_weights(own.where("part = 'train'"), by=("fold",)), own.where("part = 'test'")
+        if learner == "boosted":
+            model = fit_boosted(train, features, **settings)
+            out.append(boosted_probabilities(model, test, features))
+            weights = model.importances(len(features))
+        else:
+            model = fit(train, features, **settings)
+            out.append(probabilities(model, test, features))
+            weights = model.featureImportances.toArray()
+        gains += [(f, name, float(g)) for name, g in zip(features, weights, strict=True)]
     parts.unpersist()  # what is returned reads the test rows once
     spark = df.sparkSession
     return union(out), spark.createDataFrame(gains, "fold int, feature string, gain double")

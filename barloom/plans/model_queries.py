@@ -161,6 +161,13 @@ def model_train(spark, sf_dir):
     return out.select("symbol", "ts", "fold", *rounded(6, "prob_short", "prob_neutral", "prob_long"), "target_label")
 
 
+@query()
+def model_boosted(spark, sf_dir):
+    """The same folds with boosted trees, one class against the rest."""
+    out, _ = models.train_folds(model_panel(spark, sf_dir), MODEL_FEATURES, learner="boosted")
+    return out.select("symbol", "ts", "fold", *rounded(6, "prob_short", "prob_neutral", "prob_long"), "target_label")
+
+
 @query()
 def model_tune(spark, sf_dir):
     return models.tune(model_panel(spark, sf_dir), MODEL_FEATURES)

@@ -338,6 +338,44 @@ def test_forest_probabilities_and_weighted_loss(spark, sf, tmp_path):
     assert next(r["loss"] for r in rows if r["set"] == 0) == pytest.approx(sum(want) / 2, rel=0.03)  # split candidates vary with the partitions
 
 
+def walk_text(text, x):
+    """The value that a tree's printed form gives for x: at each If its own branch or that of the Else of the same indent."""
+    lines = text.splitlines()[1:]
+    at = 0
+    while "Predict:" not in lines[at]:
+        indent = len(lines[at]) - len(lines[at].lstrip())
+        name, _, limit = lines[at].strip()[4:-1].rsplit(" ", 2)
+        if x[int(name.split()[1])] <= float(limit):
+            at += 1
+        else:
+            at = 1 + next(i for i in range(at + 1, len(lines)) if lines[i].strip().startswith("Else") and len(lines[i]) - len(lines[i].lstrip()) == indent)
+    return float(lines[at].split()[1])
+
+
+def test_boosted_probabilities(spark):
+    """Boosted margins by walking the trees: 1 / (1 + exp(-2 margin)) of each class, over their sum; and they learn a planted rule."""
+    rng = np.random.default_rng(2)
+    rows = [("A" if i % 2 else "B", i, float(a), float(b), float(-1 if a < -0.4 else 1 if a > 0.4 else 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "symbol string, ts int, a double, b double, target_label double").withColumn("weight", F.lit(1.0))
+    model = models.fit_boosted(df, ["a", "b"], rounds=4, depth=2, share=1.0, step=0.5)
+    got = models.boosted_probabilities(model, df, ["a", "b"]).collect()
+    assert sorted(model.parts) == [0, 1, 2]
+    trees = {c: [(w, t.toDebugString) for w, t in zip(m.treeWeights, m.trees, strict=True)] for c, m in model.parts.items()}
+
+    for r in got[:60]:
+        p = []
+        for c in (0, 1, 2):
+            margin = 0.0
+            for w, text in trees[c]:
+                margin += w * walk_text(text, (r["a"], r["b"]))
+            p.append(1 / (1 + math.exp(-2 * margin)))
+        assert np.allclose([r["prob_short"], r["prob_neutral"], r["prob_long"]], np.array(p) / sum(p), atol=1e-9)
+    right = [max((-1, 0, 1), key=lambda k, r=r: (r["prob_short"], r["prob_neutral"], r["prob_long"])[k + 1]) == r["target_label"] for r in got]
+    assert sum(right) / len(right) > 0.9
+    alone = models.fit_boosted(df.where("target_label = 1"), ["a", "b"], rounds=2)
+    assert {r["prob_long"] for r in models.boosted_probabilities(alone, df, ["a", "b"]).collect()} == {1.0}
+
+
 def test_plain_helpers_agree_with_the_librarys():
     rng = np.random.default_rng(1)
     x = np.cumsum(rng.normal(size=300))
