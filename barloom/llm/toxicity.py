@@ -126,17 +126,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Logistic regression with a bias in front, by full-batch Adam; the ridge weighs as half a row does."""
-    ridge = 1e-4 + 0.5 / max(1, len(x))
-    x = np.hstack((np.ones((len(x), 1), np.float32), x.astype(np.float32)))
-    w = np.zeros(x.shape[1], np.float32)
-    w[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+def fit_link(x: np.ndarray, y: np.ndarray, before: np.ndarray | None = None, rows: np.ndarray | None = None, steps: int = 200) -> np.ndarray:
+    """Logistic regression of features x and the earlier links' columns, a bias in front, by full-batch Adam; the ridge weighs as half
+    a row does. rows marks the rows to fit on: the matrix is never copied."""
+    x = x.astype(np.float32, copy=False)
+    before = np.zeros((len(x), 0), np.float32) if before is None else before.astype(np.float32, copy=False)
+    use = np.ones(len(x), np.float32) if rows is None else rows.astype(np.float32)
+    n, k = max(1.0, float(use.sum())), x.shape[1]
+    ridge, mean = 1e-4 + 0.5 / n, float((y * use).sum() / n)
+    w = np.zeros(1 + k + before.shape[1], np.float32)
+    w[0] = np.log((mean + 1e-3) / (1 - mean + 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g = x.T @ (_sigmoid(x @ w) - y).astype(np.float32) / len(y) + ridge * w
+        rest = ((_sigmoid(w[0] + x @ w[1 : 1 + k] + before @ w[1 + k :]) - y) * use).astype(np.float32) / np.float32(n)
+        g = np.concatenate(([rest.sum()], x.T @ rest, before.T @ rest)).astype(np.float32) + np.float32(ridge) * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = (w - 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w.astype(np.float64)
 
 
@@ -146,16 +151,19 @@ def apply_link(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
     """Weights of each link; labels has a column a link."""
-    weights = []
-    for k in range(labels.shape[1]):
-        weights.append(fit_link(x, labels[:, k]))
-        if k + 1 < labels.shape[1]:
-            out = np.zeros(len(x))
+    x, k = x.astype(np.float32, copy=False), x.shape[1]
+    weights, before = [], np.zeros((len(x), 0), np.float32)
+    for link in range(labels.shape[1]):
+        y = labels[:, link]
+        weights.append(fit_link(x, y, before))
+        if link + 1 < labels.shape[1]:
+            out = np.zeros(len(x), np.float32)
             for f in range(folds):
-                inside = fold != f
-                if inside.any() and (~inside).any():
-                    out[~inside] = apply_link(x[~inside], fit_link(x[inside], labels[inside, k]))
-            x = np.hstack((x, out[:, None]))
+                away = fold == f
+                if away.any() and not away.all():
+                    w = fit_link(x, y, before, ~away).astype(np.float32)
+                    out[away] = _sigmoid(w[0] + x @ w[1 : 1 + k] + before @ w[1 + k :])[away]
+            before = np.column_stack((before, out))
     return weights
 
 
@@ -210,15 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = np.array(sorted(r["w"] for r in tables.orderBy(F.col("score").desc(), "w").limit(FEATURES).select("w").collect()), np.int64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms that each text holds, and their values: most texts hold few of the features."""
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            out = [features(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32) for a, b in chunks(offsets)]
-            x = np.concatenate(out) if out else np.zeros((0, len(words)), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["_order", "label", "x"])
+            for a, b in chunks(offsets):
+                x = features(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row, at = np.nonzero(x)
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))), pa.int32())
+                terms, values = pa.ListArray.from_arrays(ends, pa.array(at, pa.int16())), pa.ListArray.from_arrays(ends, pa.array(x[row, at], pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column("_order").slice(a, b - a), batch.column("label").slice(a, b - a), terms, values], ["_order", "label", "terms", "values"])
 
-    got = counted.mapInArrow(vectors, "_order long, label int, x binary").toArrow().sort_by("_order")
+    got = counted.mapInArrow(vectors, "_order long, label int, terms array<short>, values array<float>").toArrow().sort_by("_order").combine_chunks()
     scratch.drop(counted, listed)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, len(words))
+    terms, values = (got.column(c).combine_chunks() for c in ("terms", "values"))
+    x = np.zeros((got.num_rows, len(words)), np.float32)
+    x[np.repeat(np.arange(got.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False)), terms.flatten().to_numpy()] = values.flatten().to_numpy()
     y = got.column("label").to_numpy().astype(np.float64)
     fold = (np.abs(got.column("_order").to_numpy()) // 7) % FOLDS
     return Links(names, words, fit_chain(x, np.column_stack((kinds_of(x, y), y)), fold))
