@@ -32,6 +32,8 @@ MIN_ROWS = 3
 GRAMS = (2, 3, 4, 5, 6)
 FOLDS = 3
 THRESHOLD = 0.5
+#: Text bytes that are taken at once: a short text has a row of all features, and its n-grams outnumber its bytes.
+PART_BYTES = 1 << 18
 
 _FOLD_ARRAY = np.frombuffer(_FOLD, np.uint8)
 
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             label, order = batch.column("label").to_numpy(), batch.column("_order").to_numpy()
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART_BYTES):
                 found = [np.unique(term_hashes(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]) for i in range(a, b)]
                 row = np.repeat(np.arange(a, b), [len(f) for f in found])
                 h = np.concatenate(found)
@@ -221,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         """The terms that each text holds, and their values: most texts hold few of the features."""
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART_BYTES):
                 x = features(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row, at = np.nonzero(x)
                 ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))), pa.int32())
@@ -253,7 +255,7 @@ def score(docs: DataFrame, chain: Links, text_col: str = "text", carry: list[str
         links = model.value
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART_BYTES):
                 x = features(links.words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 p = apply_chain(x, links.weights)
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *[pa.array(p[:, i]) for i in range(p.shape[1])]], ["row", *columns])
