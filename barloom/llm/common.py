@@ -120,13 +120,18 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums S with S[j] - S[i] = hash of data[i:j] times B^i."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * powers(len(data)), out=out[1:])
+def hash_sums(values: np.ndarray) -> np.ndarray:
+    """Sums S with S[j] - S[i] = hash of values[i:j] times B^i."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """hash_sums of bytes."""
+    return hash_sums(_BYTE_VALUES[data])
+
+
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], the same wherever the span stands."""
     inverse = powers(len(sums), True)
