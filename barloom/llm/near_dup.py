@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import Scratch, blob, chunks, flat, mix, powers, prefix_hash, span_hash, table, word_spans
+from .common import Scratch, blob, chunks, flat, mix, powers, span_hash, table, word_hashes, word_spans
 from .components import components
 from .setsketch import M, jaccard, sketch
 
@@ -37,7 +37,7 @@ _FOLD_ARRAY = np.frombuffer(_FOLD, np.uint8)
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of consecutive texts and the text of each; distinct within a text, ascending."""
     starts, ends, first = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(data), starts, ends)
+    hashes = word_hashes(data, starts, ends)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * powers(len(hashes)), out=sums[1:])
     count = np.diff(first)

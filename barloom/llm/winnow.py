@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import _BYTE_VALUES, Scratch, blob, chunks, flat, mix, powers, prefix_hash, sliding_min, span_hash, word_spans
+from .common import _BYTE_VALUES, Scratch, blob, chunks, flat, mix, powers, sliding_min, span_hash, word_hashes, word_spans
 
 #: Different segment contents under one anchor that one task may index together.
 HOT_CONTENTS = 2_000
@@ -47,7 +47,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray, tokens: str) -> tuple[np
     if tokens == "bytes":
         return _BYTE_VALUES[data], offsets
     starts, ends, first = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def _sums(hashes: np.ndarray) -> np.ndarray:

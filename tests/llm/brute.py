@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -399,3 +400,72 @@ def shard(tree, doc_id, seed=0):
         name = min(node, key=lambda c: -math.log(((digest(f"{path}/{c}") >> 11) + 0.5) * 2.0**-53) / weight(node[c]))
         node, path = node[name], f"{path}/{name}"
     return name
+
+
+def runs(words):
+    """(start, length, period) of all runs by every lag and every place."""
+    found = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            part = words[i : j + q]
+            smaller = any(all(part[k] == part[k + r] for k in range(len(part) - r)) for r in range(1, q))
+            if len(part) >= max(6, 4 * q) and not smaller:
+                found.append((i, len(part), q))
+            i = j + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def looped_words(doc_id, text):
+    words = SPACED.findall((text or "").encode())
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def aligned(docs, a_file, b_file):
+    """doc_id -> (n_a, n_b, groups, links' counts, links' best) with the tokenizers' own calls and a plain merge."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from barloom.llm.align import load_a, load_b
+
+    tok = Tokenizer.from_file(a_file)
+    tok.encode_special_tokens = True
+    sp, va, vb = sentencepiece.SentencePieceProcessor(model_file=b_file), load_a(a_file).bytes, load_b(b_file).bytes
+    found, total = {}, Counter()
+    for d, text in docs:
+        a = tok.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = sp.encode(text) if text else []
+        want = (" " + text).encode() if text else b""
+        if b"".join(va[i] for i in a) != want or b"".join(vb[i] for i in b) != want:
+            a, b = [], []
+        i = j = ea = eb = 0
+        ga, gb, groups, links = [], [], [], []
+        while i < len(a) or j < len(b):
+            if ea <= eb:
+                ea, i = ea + len(va[a[i]]), i + 1
+                ga.append(a[i - 1])
+            else:
+                eb, j = eb + len(vb[b[j]]), j + 1
+                gb.append(b[j - 1])
+            if ea == eb:
+                groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
+                links.append((ga[-1], gb[-1]))
+                ga, gb = [], []
+        found[d] = len(a), len(b), ";".join(groups), links
+        total.update(links)
+    best = Counter()
+    for (_, b), n in total.items():
+        best[b] = max(best[b], n)
+    return {d: (na, nb, g, len(x), sum(total[p] == best[p[1]] for p in x), sum(total[p] for p in x)) for d, (na, nb, g, x) in found.items()}
