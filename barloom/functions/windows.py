@@ -5,7 +5,9 @@ All frames share one specification (partition by symbol, order by ts), so any nu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -13,8 +15,25 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("symbol",))
+
+
+def keys() -> tuple[str, ...]:
+    return _KEYS.get()
+
+
+@contextmanager
+def partitioned(*columns: str) -> Iterator[None]:
+    """Windows made inside run within these columns instead of within a whole symbol."""
+    before = _KEYS.set(columns)
+    try:
+        yield
+    finally:
+        _KEYS.reset(before)
+
+
 def w() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("ts")
+    return Window.partitionBy(*keys()).orderBy("ts")
 
 
 def frame(first: int, last: int) -> WindowSpec:

@@ -450,7 +450,8 @@ def efficiency(df: DataFrame) -> DataFrame:
 
 def stress(df: DataFrame, window: int = 20) -> DataFrame:
     r = _r()
-    df = df.withColumns({"_path": running(F.product(1.0 + r)), "asym_ratio_20": std(_up(r), window) / (std(_down(r), window) + EPS)})
+    path = {} if "_path" in df.columns else {"_path": running(F.product(1.0 + r))}
+    df = df.withColumns(path | {"asym_ratio_20": std(_up(r), window) / (std(_down(r), window) + EPS)})
     top = roll("_path", window, F.max)
     df = df.withColumn("drawdown_20", (F.col("_path") - top) / (top + EPS))
     return df.withColumn("drawdown_velocity", diff("drawdown_20")).drop("_path")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import bfill, frame, w
+from barloom.functions.windows import bfill, frame, keys, w
 
 #: A weight that a double no longer notices next to 1 is exp(-NEGLIGIBLE).
 NEGLIGIBLE = 40.0
@@ -47,7 +47,7 @@ def _decayed(df: DataFrame, sums: dict[str, tuple[Column, float]], rows: int) ->
     """name -> (x, keep): the sum over a symbol's rows so far of x * keep^age, by blocks of `rows` rows."""
     block, place = F.floor(F.col("_i") / rows), F.col("_i") % rows
     df = df.withColumns({"_block": block, "_place": place})
-    inside = Window.partitionBy("symbol", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys(), "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     own = {n: F.sum(x * F.pow(F.lit(keep), -F.col("_place"))).over(inside) * F.pow(F.lit(keep), F.col("_place")) for n, (x, keep) in sums.items()}
     df = df.withColumns(own)
     last = F.col("_place") == rows - 1

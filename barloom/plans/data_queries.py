@@ -153,16 +153,19 @@ def prep_repair(spark, sf_dir):
 _ACTIONS = "CASE WHEN ts = DATE '1996-06-17' THEN 2.0 ELSE 1.0 END::DOUBLE AS split_factor, CASE WHEN day(ts) = 15 AND month(ts) = 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS dividend"
 
 
-@query(sql_shown(f"{BARS}, {adjust('bars', _ACTIONS)}", "adj", 6, ["close_adj", "open_adj", "high_adj", "low_adj"]))
-def prep_adjust(spark, sf_dir):
+def acted(spark, sf_dir):
     """Bars with a split on one date and a dividend every 15th of March."""
-    acted = bars(spark, sf_dir).withColumns(
+    return bars(spark, sf_dir).withColumns(
         {
             "split_factor": F.when(F.col("ts") == F.lit("1996-06-17").cast("date"), 2.0).otherwise(1.0),
             "dividend": F.when((F.dayofmonth("ts") == 15) & (F.month("ts") == 3), 1.0).otherwise(0.0),
         }
     )
-    return shown(prep.adjust(acted), 6, "close_adj", "open_adj", "high_adj", "low_adj")
+
+
+@query(sql_shown(f"{BARS}, {adjust('bars', _ACTIONS)}", "adj", 6, ["close_adj", "open_adj", "high_adj", "low_adj"]))
+def prep_adjust(spark, sf_dir):
+    return shown(prep.adjust(acted(spark, sf_dir)), 6, "close_adj", "open_adj", "high_adj", "low_adj")
 
 
 @query(
