@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import rounded
-from barloom.operators import backtest, evaluation, models, validation, walkforward
+from barloom.operators import backtest, boosting, evaluation, models, validation, walkforward
 from barloom.operators import features as X
 from barloom.plans.data_queries import BARRIER
 from barloom.plans.panel import labeled, shown
@@ -168,6 +168,26 @@ def model_boosted(spark, sf_dir):
     return out.select("symbol", "ts", "fold", *rounded(6, "prob_short", "prob_neutral", "prob_long"), "target_label")
 
 
+def wide_panel(spark, sf_dir):
+    """The labelled panel with every assembled family (the mixtures aside) and the columns' names."""
+    wide, names = X.assemble(labeled(spark, sf_dir), without=(X.gmm_regimes,))
+    return wide.select("symbol", "ts", "target_label", *names), names
+
+
+@query()
+def model_softmax(spark, sf_dir):
+    """Boosted trees of all classes at once (softmax) on all assembled features, every outer fold's model in the same jobs."""
+    out, _ = boosting.train_folds(*wide_panel(spark, sf_dir))
+    return out.select("symbol", "ts", "fold", *rounded(6, *boosting.NAMES), "target_label")
+
+
+@query()
+def eval_softmax_importance(spark, sf_dir):
+    """Share of gain of every feature by the folds' boosted models: mean, deviation, folds."""
+    _, gains = boosting.train_folds(*wide_panel(spark, sf_dir))
+    return evaluation.importance(gains).select("feature", *rounded(6, "mean_importance", "std_importance"), "fold_count")
+
+
 @query()
 def model_tune(spark, sf_dir):
     return models.tune(model_panel(spark, sf_dir), MODEL_FEATURES)

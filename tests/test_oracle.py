@@ -6,7 +6,7 @@ import pytest
 from barloom.plans import data_queries, diag_queries, feature_queries, long_queries, model_queries
 
 JOBS = {n: (m.QUERIES[n], m.SQL.get(n)) for m in (data_queries, feature_queries, diag_queries, model_queries, long_queries) for n in m.QUERIES}
-SLOW = {"model_tune", "model_train", "model_boosted", "feat_routed", "bt_walk_forward", "sel_fold_transforms"}  # test_plain and test_walkforward run what they do
+SLOW = {"model_softmax", "eval_softmax_importance", "model_search", "model_tune", "model_train", "model_boosted", "feat_routed", "bt_walk_forward", "sel_fold_transforms"}  # test_plain and test_walkforward run what they do
 
 
 @pytest.fixture(scope="module")
