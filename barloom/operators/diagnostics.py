@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions import stats
+from barloom.functions import markov, stats
 from barloom.functions.windows import EPS, diff, lag, std
 from barloom.operators.features import _pattern, jumps
 
+#: Series that one task fits together.
+SERIES = 16
+
 
 def _by() -> Window:
     return Window.partitionBy("symbol")
@@ -223,6 +226,35 @@ def regime(df: DataFrame) -> DataFrame:
     return rows.join(half, "symbol").select("symbol", "ts", high.alias("prob_regime_high_vol"), (1.0 - high).alias("prob_regime_low_vol"))
 
 
+def markov_regime(df: DataFrame, series: int = SERIES) -> DataFrame:
+    """symbol, ts, prob_regime_low_vol, prob_regime_high_vol, status: filtered probabilities of a two-regime switching mean and variance.
+
+    Maximum likelihood by EM, `series` symbols (or folds of symbols) in one array. Where EM does not converge, and for fewer than 30 returns
+    or returns that do not vary, the 20-row deviation against its median decides instead (status "fallback", else "converged"). Rows without a
+    return have no regime.
+    """
+    rows = df.where("log_return is not null").select("symbol", "ts", "log_return")
+    n = rows.select("symbol").distinct().count()
+    batch = F.pmod(F.xxhash64("symbol"), F.lit(max(1, -(-n // series))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["symbol", "ts"], kind="stable")
+        parts = [p for _, p in pdf.groupby("symbol", sort=False)]
+        found, _ = markov.fit([p["log_return"].to_numpy(float) for p in parts])
+        out = []
+        for p, high in zip(parts, found, strict=True):
+            status = "fallback" if high is None else "converged"
+            if high is None:
+                spread = p["log_return"].rolling(20).std()
+                high = (spread > spread.median()).to_numpy(float)
+            out.append(p.assign(prob_regime_low_vol=1.0 - high, prob_regime_high_vol=high, status=status))
+        return pd.concat(out)[["symbol", "ts", "prob_regime_low_vol", "prob_regime_high_vol", "status"]]
+
+    kind = df.schema["ts"].dataType.simpleString()
+    schema = f"symbol string, ts {kind}, prob_regime_low_vol double, prob_regime_high_vol double, status string"
+    return rows.withColumn("_batch", batch).groupBy("_batch").applyInPandas(run, schema)
+
+
 def payload(df: DataFrame) -> DataFrame:
     """symbol, dynamic_lags, optimal_d, dominant_cycle and the ten routing flags; a join of one-row-a-symbol tables."""
     short = variance_ratio(df, 3).select("symbol", ((F.col("vr") < 1) & (F.col("p") < 0.05)).alias("has_short_reversion"))

@@ -196,6 +196,12 @@ def diag_regime_fallback(spark, sf_dir):
     return D.regime(panel(spark, sf_dir))
 
 
+@query()
+def diag_markov_regime(spark, sf_dir):
+    """Filtered probabilities of two volatility regimes of every symbol."""
+    return D.markov_regime(panel(spark, sf_dir)).select("symbol", "ts", *rounded(6, "prob_regime_low_vol", "prob_regime_high_vol"), "status")
+
+
 @query()
 def diag_payload(spark, sf_dir):
     out = D.payload(panel(spark, sf_dir))
@@ -272,6 +278,15 @@ def sel_regime_mi(spark, sf_dir):
     return out.select("feature", *rounded(6, "mi_high_vol", "mi_low_vol"), "accepted")
 
 
+@query()
+def sel_markov_regime_mi(spark, sf_dir):
+    """Information in each of the switching model's regimes, of all assembled features (the mixtures aside)."""
+    wide, names = X.assemble(labeled(spark, sf_dir), without=(X.gmm_regimes,))
+    both = wide.join(D.markov_regime(wide).select("symbol", "ts", "prob_regime_high_vol"), ["symbol", "ts"])
+    out = S.regime_information(S.long_form(both, names, "target_label", "prob_regime_high_vol"))
+    return out.select("feature", *rounded(6, "mi_high_vol", "mi_low_vol", "mi_all"), "accepted")
+
+
 @query(
     f"""{LABELED}, l AS (UNPIVOT (SELECT symbol, target_label, {", ".join(SCREENED)} FROM labeled WHERE target_label IS NOT NULL) ON {", ".join(SCREENED)} INTO NAME feature VALUE value),
 k AS (SELECT symbol, feature, rank() OVER (PARTITION BY symbol, feature ORDER BY value) + (count(*) OVER (PARTITION BY symbol, feature, value) - 1)/2.0 AS a,
