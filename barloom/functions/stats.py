@@ -303,6 +303,60 @@ def granger(y: np.ndarray, x: np.ndarray, most: int = 5) -> tuple[float, int]:
     return best
 
 
+def _nearer(sorted_x: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many values lie nearer to each x than its radius (at a radius of 0: are equal), x itself included.
+
+    Places found from x - radius and x + radius are moved on until the differences themselves agree."""
+    n = len(sorted_x)
+
+    def inside(at: np.ndarray) -> np.ndarray:
+        d = np.abs(sorted_x[np.clip(at, 0, n - 1)] - x)
+        return (d < radius) | (d == 0)
+
+    first, last = np.searchsorted(sorted_x, x - radius, "left"), np.searchsorted(sorted_x, x + radius, "right")
+    while (move := (first > 0) & inside(first - 1)).any():
+        first -= move
+    while (move := (first < n) & ~inside(first)).any():
+        first += move
+    while (move := (last < n) & inside(last)).any():
+        last += move
+    while (move := (last > 0) & ~inside(last - 1)).any():
+        last -= move
+    return last - first
+
+
+def paired_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Mutual information of two continuous series by k nearest neighbours in the maximum norm (without jitter), not below 0.
+
+    Points stand in order of x; each looks outwards, one place on both sides a step, until x alone is farther away than its k-th
+    neighbour, so that n points take some n sqrt(n) steps unless most x are equal."""
+    n = len(x)
+    if n <= k or x.std() == 0 or y.std() == 0:
+        return 0.0
+    x, y = x / x.std(), y / y.std()
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    near = np.full((n, k), np.inf)
+    live, step = np.arange(n), 1
+    while len(live):
+        gap = np.full(len(live), np.inf)
+        for at in (live - step, live + step):
+            ok = np.flatnonzero((at >= 0) & (at < n))
+            own, other = live[ok], at[ok]
+            dx = np.abs(x[other] - x[own])
+            gap[ok] = np.minimum(gap[ok], dx)
+            d = np.maximum(dx, np.abs(y[other] - y[own]))
+            better = np.flatnonzero(d < near[own, -1])
+            near[own[better], -1] = d[better]
+            near[own[better]] = np.sort(near[own[better]], axis=1)
+        live = live[gap < near[live, -1]]  # beyond both ends the gap is infinite
+        step += 1
+    radius = near[:, -1]
+    harmonic = np.concatenate(([0.0], np.cumsum(1.0 / np.arange(1, n + 1))))  # digamma(m) = harmonic[m - 1] - 0.5772..
+    parts = [harmonic[_nearer(v, u, radius) - 1].mean() for v, u in ((x, x), (np.sort(y), y))]
+    return max(0.0, float(harmonic[n - 1] + harmonic[k - 1] - sum(parts)))
+
+
 def nearest_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Mutual information of a continuous x and classes y by k nearest neighbours (without jitter)."""
     order = np.argsort(x, kind="stable")

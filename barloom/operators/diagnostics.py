@@ -191,19 +191,19 @@ def book(df: DataFrame) -> DataFrame:
 
 
 def nonlinear(df: DataFrame) -> DataFrame:
-    """BDS test of the residuals of a first-order autoregression."""
+    """BDS test of the residuals of a first-order autoregression, and the mutual information of a return and the one before."""
 
     def job(r: np.ndarray) -> list:
         r = _known(r)
         if len(r) < 50:
-            return [0.0, 1.0, False]
+            return [0.0, 1.0, False, 0.0]
         m = np.column_stack((np.ones(len(r) - 1), r[:-1]))
         beta, _ = stats.least_squares(m, r[1:])
         e = r[1:] - m @ beta
         stat, p = stats.bds_two((e - e.mean()) / (e.std() + EPS))
-        return [stat, p, p < 0.05]
+        return [stat, p, p < 0.05, stats.paired_information(r[:-1], r[1:])]
 
-    return _per_symbol(df, ["log_return"], "bds double, bds_p double, is_nonlinear boolean", job)
+    return _per_symbol(df, ["log_return"], "bds double, bds_p double, is_nonlinear boolean, mutual_information_lag1 double", job)
 
 
 def permutation_entropy(df: DataFrame, least: int = 30) -> DataFrame:

@@ -176,6 +176,11 @@ def diag_nonlinear(spark, sf_dir):
     return D.nonlinear(panel(spark, sf_dir)).select("symbol", *rounded(6, "bds", "bds_p"), "is_nonlinear")
 
 
+@query()
+def diag_lag_information(spark, sf_dir):
+    return D.nonlinear(panel(spark, sf_dir)).select("symbol", *rounded(6, "bds", "bds_p", "mutual_information_lag1"), "is_nonlinear")
+
+
 _PAT = "CASE WHEN a <= b AND b <= c THEN 0 WHEN a <= c AND c < b THEN 1 WHEN b < a AND a <= c THEN 2 WHEN b <= c AND c < a THEN 3 WHEN c < a AND a <= b THEN 4 ELSE 5 END"
 
 

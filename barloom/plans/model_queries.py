@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import rounded
-from barloom.operators import backtest, boosting, evaluation, models, validation, walkforward
+from barloom.operators import backtest, boosting, evaluation, models, search, validation, walkforward
 from barloom.operators import features as X
 from barloom.plans.data_queries import BARRIER
 from barloom.plans.panel import labeled, shown
@@ -188,6 +188,13 @@ def eval_softmax_importance(spark, sf_dir):
     return evaluation.importance(gains).select("feature", *rounded(6, "mean_importance", "std_importance"), "fold_count")
 
 
+@query()
+def model_search(spark, sf_dir):
+    """Twelve trials of a forest's parameters, each drawn from what the earlier ones showed; any time that takes, so that rows repeat."""
+    out = search.tune_forest(model_panel(spark, sf_dir), MODEL_FEATURES, seconds=float("inf"))
+    return out.select("trial", "trees", "depth", *rounded(6, "share"), "leaf", *rounded(3, "loss"))
+
+
 @query()
 def model_tune(spark, sf_dir):
     return models.tune(model_panel(spark, sf_dir), MODEL_FEATURES)
