@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from barloom.operators.validation import FOLDS, class_weights, folds
-from barloom.sources.bars import shared_path
+from barloom.sources.bars import written
 
 CLASSES, BINS, REFRESH = 3, 64, 10
 NAMES = ("prob_short", "prob_neutral", "prob_long")
@@ -156,14 +156,8 @@ def _tables(rows: DataFrame, features: list[str], forests: dict[int, Forest]) ->
     return given.mapInArrow(run, _ROW)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "boosting")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _kept(df: DataFrame) -> DataFrame:
-    return _written(df).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(df, "boosting").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _moved(rows: DataFrame, forests: dict[int, Forest], k: int, first: int) -> DataFrame:
@@ -329,7 +323,7 @@ def keyed(df: DataFrame, model: str = "fold") -> DataFrame:
 
 def train_folds(df: DataFrame, features: list[str], k: int = FOLDS, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(out-of-sample probabilities of every fold's test rows, gain of each feature in each fold): all folds grow together."""
-    wide = _written(df.where("target_label is not null"))  # read for the cuts, the training and the test rows
+    wide = written(df.where("target_label is not null"), "boosting")  # read for the cuts, the training and the test rows
     parts = keyed(folds(wide, k))
     train = class_weights(parts.where("part = 'train'"), by=("fold",))
     forests = fit(train, features, {f: settings for f in range(k)})

@@ -10,10 +10,12 @@ from barloom.functions.windows import rounded
 from barloom.operators import diagnostics as D
 from barloom.operators import features as X
 from barloom.operators import prep
+from barloom.operators import regressions as R
 from barloom.operators import selection as S
 from barloom.plans.data_queries import LABELED
 from barloom.plans.model_queries import MODEL_FEATURES, model_panel
 from barloom.plans.panel import labeled, panel, shown, with_book
+from barloom.sources import bars as src
 from barloom.plans.sql import P, PANEL, gamma_tail, lag, std, total
 
 QUERIES: dict = {}
@@ -135,6 +137,12 @@ def diag_arch(spark, sf_dir):
     return D.arch(panel(spark, sf_dir)).select("symbol", *rounded(4, "arch_lm", "arch_p"), "has_arch_effect", "has_asymmetric_vol")
 
 
+@query(_arch())
+def diag_arch_sums(spark, sf_dir):
+    """The same test from sums of products."""
+    return R.arch(panel(spark, sf_dir)).select("symbol", *rounded(4, "arch_lm", "arch_p"), "has_arch_effect", "has_asymmetric_vol")
+
+
 @query(
     f"""WITH {PANEL}, j0 AS (SELECT symbol, ts, log_return AS q, abs(log_return) * abs({lag('log_return')}) AS pair FROM panel WHERE log_return IS NOT NULL),
 j1 AS (SELECT symbol, {total('q*q', 20)} AS rv, pi()/2 * {total('pair', 20)} AS bv FROM j0),
@@ -316,6 +324,14 @@ def sel_hrp_medoids(spark, sf_dir):
     return S.hrp_medoids(model_panel(spark, sf_dir), MODEL_FEATURES, 4)
 
 
+@query()
+def sel_granger_wide(spark, sf_dir):
+    """The F tests of every assembled feature (the mixtures aside), from sums of products."""
+    wide, names = X.assemble(labeled(spark, sf_dir), without=(X.gmm_regimes,))
+    wide = src.written(wide.select("symbol", "ts", "target_label", *names), "wide")
+    return R.granger_screen(wide, names).select("symbol", "feature", *rounded(6, "p"), "lag", "causal")
+
+
 @query()
 def sel_granger(spark, sf_dir):
     return S.granger_screen(model_panel(spark, sf_dir), MODEL_FEATURES).select("symbol", "feature", *rounded(6, "p"), "lag", "causal")

@@ -116,6 +116,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: cuts its lineage, and a lost executor reads it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """A labelled table of csv files with a header, its days parsed, in time order within each symbol."""
     return spark.read.schema(LABELLED).option("header", True).csv(path).orderBy("symbol", "ts")
