@@ -115,6 +115,11 @@ def prioritised(scores: DataFrame, limit: float = MI_LIMIT) -> DataFrame:
     return ranked.where(kept).select("feature", "mi", place.alias("place"))
 
 
+def correlated(a: str, b: str) -> Column:
+    """Pearson's r, null where a side does not vary (the built-in one then divides by zero in ANSI mode)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def rank_fallback(df: DataFrame, features: list[str], most: int = 5) -> DataFrame:
     """symbol, feature, rho: the features whose ranks correlate best with the label, for each symbol."""
     rows = long_form(df.where("target_label is not null"), features, "symbol", "ts", "target_label").where("value is not null")
@@ -124,7 +129,7 @@ def rank_fallback(df: DataFrame, features: list[str], most: int = 5) -> DataFram
         return F.rank().over(own.orderBy(c)) + (F.count("*").over(Window.partitionBy("symbol", "feature", c)) - 1) / 2.0
 
     rows = rows.withColumns({"_a": rank("value"), "_b": rank("target_label")})
-    rho = rows.groupBy("symbol", "feature").agg(F.abs(F.corr("_a", "_b")).alias("rho"))
+    rho = rows.groupBy("symbol", "feature").agg(F.abs(correlated("_a", "_b")).alias("rho"))
     top = Window.partitionBy("symbol").orderBy(F.desc("rho"), "feature")
     return rho.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most)
 

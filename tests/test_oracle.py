@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from barloom.plans import data_queries, diag_queries, feature_queries, long_queries, model_queries
+from barloom.plans import data_queries, diag_queries, feature_queries, long_queries, model_queries, wide_queries
 
-JOBS = {n: (m.QUERIES[n], m.SQL.get(n)) for m in (data_queries, feature_queries, diag_queries, model_queries, long_queries) for n in m.QUERIES}
-SLOW = {"model_softmax", "eval_softmax_importance", "model_search", "model_tune", "model_train", "model_boosted", "feat_routed", "bt_walk_forward", "sel_fold_transforms"}  # test_plain and test_walkforward run what they do
+JOBS = {n: (m.QUERIES[n], m.SQL.get(n)) for m in (data_queries, feature_queries, diag_queries, model_queries, long_queries, wide_queries) for n in m.QUERIES}
+SLOW = {"sel_lagged_mi_wide", "sel_mi_rank_wide", "sel_hrp_medoids_wide", "model_softmax", "eval_softmax_importance", "model_search", "model_tune", "model_train", "model_boosted", "feat_routed", "bt_walk_forward", "sel_fold_transforms"}  # test_ranks, test_plain and test_walkforward run what they do
 
 
 @pytest.fixture(scope="module")
