@@ -2,8 +2,8 @@
 
 Each page becomes a small element tree. Its removable subtrees (containers outside running text and articles that hold at most
 half of the page's text) are hashed; Spark counts for each hash how many pages of a host that differ in the rest of their text
-it stands on, and subtrees that recur so are deleted, next to what tags and names mark as furniture: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments.
+it stands on, and subtrees that recur so are deleted. What recurs on too few pages goes where its tag or names mark it as furniture:
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments.
 What is left of the article (or, without one, of the body) is the text.
 """
 
@@ -29,7 +29,7 @@ MIN_PAGES = 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 FURNITURE = frozenset(
-    "head script style noscript template iframe svg canvas nav footer aside form button select textarea dialog menu object audio video".split()
+    "head title script style noscript template iframe svg canvas nav footer aside form button select textarea dialog menu object audio video".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -52,11 +52,12 @@ CLOSES = {
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsors sponsored banner banners promo promos promotion cookie cookies consent notice notices sidebar "
     "sidebars menu menus nav navs navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus share sharing social related recommended "
-    "newsletter subscribe signup login popup modal pagination skip".split()
+    "newsletter subscribe signup login popup modal pagination skip gdpr fbcomments teaser teasers werbung anzeige anzeigen kommentar kommentare publicidad anuncio anuncios comentario "
+    "comentarios publicite annonce annonces commentaire commentaires".split()
 )
 PLAIN_WORDS = frozenset(
     "site page main global primary secondary top bottom left right upper lower header mobile desktop sticky fixed box bar block blocks list lists link links item items icon icons "
-    "button buttons wrap wrapper container inner outer content section area panel widget slot unit text label form post posts article articles thread to the and".split()
+    "button buttons wrap wrapper container inner outer content section area panel widget slot unit text label form post posts article articles thread to the and user users reader readers fb law info overlay count form".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
@@ -102,7 +103,7 @@ class Node:
             self.hidden = _hidden(found)
 
     def furniture(self) -> bool:
-        if self.tag in ("html", "body", "article", "main"):
+        if self.tag in ("html", "body", "main"):
             return False
         return self.tag in FURNITURE or self.hidden or self.role in FURNITURE_ROLES or any(map(furniture_name, self.names.split()))
 
@@ -185,7 +186,10 @@ def parse(source: str) -> Node:
 
 
 def mark(root: Node) -> dict[int, int]:
-    """Hash every subtree and say which are removable; for each mark of these, the sum of hashes of the page's other texts."""
+    """Hash every subtree and say which may be template; for each mark of these, the sum of hashes of the page's other texts.
+
+    What tags or names call furniture is counted like the rest, but never belongs to the other texts.
+    """
     nodes, todo = [], [(root, False, False)]
     while todo:
         node, running, kept = todo.pop()
@@ -195,7 +199,7 @@ def mark(root: Node) -> dict[int, int]:
         todo.extend((c, running, kept) for c in node.children if not isinstance(c, str))
     for node, _, gone in reversed(nodes):  # children come before their parents
         digest = xxhash.xxh3_64(f"<{node.tag} {node.names}>".encode("utf-8", "surrogatepass"))
-        node.size, node.total, node.article = 0, 0, node.tag in ("article", "main")
+        node.size, node.total, node.article = 0, 0, node.tag in ("article", "main") and not gone
         for child in node.children:
             if isinstance(child, str):
                 raw = " ".join(child.split()).encode("utf-8", "surrogatepass")
@@ -212,7 +216,7 @@ def mark(root: Node) -> dict[int, int]:
         node.mark = digest.intdigest()
     found: dict[int, int] = {}
     for node, barred, gone in nodes:
-        node.removable = node.tag in CONTAINERS and not (barred or gone or node.article) and 0 < 2 * node.size <= root.size
+        node.removable = node.tag in CONTAINERS and not (barred or node.article) and (gone or 0 < 2 * node.size <= root.size)
         if node.removable:
             found[node.mark] = found.get(node.mark, root.total) - node.total
     return found
@@ -222,16 +226,56 @@ def _articles(root: Node, tag: str) -> list[Node]:
     out, todo = [], [root]
     while todo:
         node = todo.pop()
+        if node.furniture():
+            continue
         if node.tag == tag:
             out.append(node)
-        elif not node.furniture():
+        else:
             todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
     return out
 
 
+def _weight(tops: list[Node]) -> int:
+    """Characters of text outside furniture."""
+    total, todo = 0, list(tops)
+    while todo:
+        node = todo.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                total += len("".join(child.split()))
+            elif not child.furniture():
+                todo.append(child)
+    return total
+
+
+def _tops(root: Node) -> list[Node]:
+    """The articles; the main element where these hold less than half as much text; the page where there is neither."""
+    articles, mains = _articles(root, "article"), _articles(root, "main")
+    if articles and mains and 2 * _weight(articles) < _weight(mains):
+        return mains
+    return articles or mains or [root]
+
+
+def rules_of(root: Node, template: frozenset[int]) -> tuple[int, int]:
+    """(subtrees that recur on the host's pages, other subtrees that tags or names call furniture), anywhere on the page."""
+    recurring = named = 0
+    todo = [root]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, str):
+                continue
+            if child.removable and child.mark in template:
+                recurring += 1
+            elif child.furniture():
+                named += 1
+            else:
+                todo.append(child)
+    return recurring, named
+
+
 def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
     """The text blocks of the article in page order, white space folded."""
-    tops = _articles(root, "article") or _articles(root, "main") or [root]
+    tops = _tops(root)
     in_article = tops[0] is not root
     out: list[str] = []
     line: list[str] = []
@@ -255,7 +299,7 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
             else:
                 if child.tag in BLOCKS:
                     end()
-                if child.furniture() or child.tag == "header" and not in_article or child.removable and child.mark in template:
+                if child.removable and child.mark in template or child.furniture() or child.tag == "header" and not in_article:
                     continue
                 if child.tag in BLOCKS:
                     todo.append(None)
@@ -289,20 +333,25 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
+        texts, counts = [], []
         for source, marks in zip(batch.column("html").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             if not source:
                 texts.append("")
+                counts.append((0, 0))
                 continue
             root = parse(source)
             if marks:
                 mark(root)
-            texts.append("\n".join(blocks_of(root, frozenset(m % (1 << 64) for m in marks or ()))))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())], ["row", "text"])
+            template = frozenset(m % (1 << 64) for m in marks or ())
+            texts.append("\n".join(blocks_of(root, template)))
+            counts.append(rules_of(root, template))
+        text = pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())
+        recurring, named = (pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), text, recurring, named], ["row", "text", "n_recurring", "n_named"])
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """row (a struct of the carried columns, by default all but the html) and text for every row of pages.
+    """row (a struct of the carried columns, by default all but the html), text, n_recurring and n_named (see rules_of) for every row of pages.
 
     Null and empty html give an empty text; a null url is a host of its own; repeated rows and pages of equal
     text count once as evidence and keep a row each; an empty table gives no rows; pages of any depth and length are parsed whole. Counts per host come from partial aggregates, so a host of any size spreads over all tasks.
@@ -311,16 +360,16 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ca
     carry = [c for c in pages.columns if c != html_col] if carry is None else carry
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     key = F.xxhash64(F.col(url_col), F.col(html_col))
-    keyed = pages.select(F.struct(*carry).alias("row"), key.alias("key"), host.alias("host"), F.col(html_col).alias("html"))
+    keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), key.alias("key"), host.alias("host"), F.col(html_col).alias("html"))
     marks = scratch.put(keyed.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, mark long, rest long"))
     common = marks.groupBy("host", "mark").agg(F.count_distinct("rest").alias("n"))
     template = scratch.put(common.where(F.col("n") >= MIN_PAGES).select("host", "mark"))
     by_page = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("marks"))
     joined = keyed.select("row", "key", "html").join(by_page, "key", "left").select("row", "html", "marks")
-    schema = StructType([joined.schema["row"], *_parse_datatype_string("text string").fields])
+    schema = StructType([joined.schema["row"], *_parse_datatype_string("text string, n_recurring long, n_named long").fields])
     return joined.mapInArrow(_texts, schema)
 
 
 def op2_site_template(spark, sf_dir: str) -> DataFrame:
     out = main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
-    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"), "n_recurring", "n_named")

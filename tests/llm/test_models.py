@@ -261,6 +261,32 @@ def test_template_is_told_from_reposts_on_hosts_of_any_size(spark):
     assert len(by["big"]) == 400 and not any("Section" in t for t in by["big"])
 
 
+def test_articles_are_judged(spark):
+    def text(page):
+        return html_text.blocks_of(html_text.parse(page), frozenset())
+
+    thread = '<div class="thread"><article class="comment"><p>reader says</p></article></div>'
+    assert text(f"<main><div><h1>T</h1><p>Main text is here.</p></div>{thread}</main>") == ["T", "Main text is here."]
+    assert text('<main><p>Main text</p><article class="promo"><p>Buy</p></article></main>') == ["Main text"]
+    assert text('<main><p>A long main text of words</p><article><p>Next</p></article></main>') == ["A long main text of words", "Next"]
+    assert text('<article><p>Yes</p></article><article class="related"><p>No</p></article>') == ["Yes"]
+    for name in ("user-comments", "fb-comments", "reader-comments", "cookie-law-info", "gdpr-overlay", "werbung", "publicidad"):
+        assert text(f'<article><p>Yes</p><div class="{name}"><p>No</p></div></article>') == ["Yes"], name
+    assert text("<title>Title</title><p>Text</p>") == ["Text"]
+
+
+def test_furniture_by_counts_alone(spark):
+    """Tags and names that say nothing: only recurrence on the host tells the template from the text."""
+    rows = []
+    for host in range(3):
+        for i in range(7):
+            body = f"<div class='q'><p>Story {host} {i}</p><p>It has words {i * 31 + host} of its own and of some length</p></div>"
+            rows.append((host * 10 + i, f"http://h{host}.x/{i}", f"<body><div class='a'>Start Home {host}</div><div class='b'><ul><li>One<li>Two</ul></div>{body}<div class='c'>Address {host}</div></body>"))
+    got = html_text.main_text(spark.createDataFrame(rows, "`page.id` long, url string, html string")).collect()
+    assert {(r["row"]["page.id"], r["text"]) for r in got} == {(h * 10 + i, f"Story {h} {i}\nIt has words {i * 31 + h} of its own and of some length") for h in range(3) for i in range(7)}
+    assert all((r["n_recurring"], r["n_named"]) == (3, 0) for r in got)
+
+
 def test_pages_of_any_depth(spark):
     rows = [(i, "http://h.example/", f"<body>{t * 6000}deep") for i, t in enumerate(("<div>", "<b>", "<span><font>", "<article>", "<ul><li>"))]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
