@@ -11,6 +11,7 @@ from barloom.plans.feature_queries import L2_STEPS
 from barloom.plans.sql import BARS, BOOK, JOINED, MARKET, P, PANEL, PAST, TRADES, adjust
 from barloom.plans.sql import shown as sql_shown
 from barloom.sources import bars as src
+from barloom.sources import bucketed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,6 +41,13 @@ def src_bars_range(spark, sf_dir):
     return shown(src.read_or(bars(spark, sf_dir).where(between), bars(spark, sf_dir)), 6, *BAR_NAMES)
 
 
+@query(sql_shown(BARS, "bars", 6, BAR_NAMES) + " WHERE ts BETWEEN DATE '1995-07-01' AND DATE '1996-12-31'")
+def src_bucketed_range(spark, sf_dir):
+    """Bars saved in buckets of symbols and partitions of years; a range of days read from it."""
+    name = bucketed.save(bars(spark, sf_dir), buckets=8)
+    return shown(bucketed.read(spark, name, "1995-07-01", "1996-12-31"), 6, *BAR_NAMES)
+
+
 @query(sql_shown(f"{TRADES}, {MARKET}", "market", 6, ["mkt_close", "mkt_volume", "mkt_high", "mkt_low"], keys="ts"))
 def src_market(spark, sf_dir):
     return src.market_bars(spark, sf_dir).select("ts", *rounded(6, "mkt_close", "mkt_volume", "mkt_high", "mkt_low"))
