@@ -12,6 +12,7 @@ from barloom.plans.sql import BARS, BOOK, JOINED, MARKET, P, PANEL, PAST, TRADES
 from barloom.plans.sql import shown as sql_shown
 from barloom.sources import bars as src
 from barloom.sources import bucketed
+from barloom.streaming import ticks as stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -93,6 +94,25 @@ def prep_daily_microstructure(spark, sf_dir):
     return shown(prep.daily_microstructure(src.ticks(spark, sf_dir)), 6, *MICRO_NAMES)
 
 
+@query(sql_shown(_MICRO, "micro", 6, MICRO_NAMES))
+def stream_daily_microstructure(spark, sf_dir):
+    """The table's ticks as four deliveries, each tick up to twelve hours late, through the stream; a closing mark releases the rest."""
+    path = src.shared_path(spark, "ticks")
+    ticks = src.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(12 * 3600))
+    low, high = ticks.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")) + 12 * 3600).first()
+    read = spark.readStream.schema(stream.TICK)
+    if low is not None:
+        part = F.floor((arrival - low) * 4 / (high - low + 1))
+        for i in range(4):
+            ticks.where(part == i).write.mode("append").parquet(f"{path}/in")
+            stream.run_ticks(read.parquet(f"{path}/in"), path)
+    mark = spark.range(1).select(*[F.lit((high or 0) + 3 * 86400).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in ticks.schema])
+    mark.write.mode("append").parquet(f"{path}/in")
+    stream.run_ticks(read.parquet(f"{path}/in"), path)
+    return shown(stream.read_days(spark, path), 6, *MICRO_NAMES)
+
+
 @query(
     sql_shown(
         f"{BARS}, holes AS (SELECT symbol, ts, CASE WHEN day(ts) % 4 = 0 THEN volume END AS daily_vpin FROM bars)",

@@ -1,4 +1,4 @@
-"""Window rules against pandas, causality, golden numbers, helpers, sources and the stream."""
+"""Window rules against pandas, causality, golden numbers, helpers and sources."""
 
 import math
 
@@ -11,7 +11,6 @@ from barloom.functions import stats
 from barloom.functions import windows as W
 from barloom.operators import backtest, diagnostics, evaluation, features, label, models, prep, selection, validation
 from barloom.sources import bars as src
-from barloom.streaming import ticks as stream
 
 
 def walk(n=200, symbols=("A", "B"), seed=42):
@@ -278,16 +277,3 @@ def test_files_round_trip(spark, frame, tmp_path):
         src.read_or(df.limit(0), df.limit(0))
     spark.createDataFrame([("a", 0.2, 0.0, 3), ("b", 0.5, 0.1, 5)], src.IMPORTANCE).write.option("header", True).csv(f"{tmp_path}/gain")
     assert [r["feature"] for r in src.read_importance(spark, f"{tmp_path}/gain", 1).collect()] == ["b"]
-
-
-def test_stream_matches_batch(spark, sf, tmp_path):
-    rows = src.ticks(spark, sf)
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    read = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    q = stream.signed_ticks(read).writeStream.format("memory").queryName("signed").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r["symbol"], r["d"]): r["s"] for r in spark.table("signed").groupBy("symbol", F.to_date("ts").alias("d")).agg(F.sum("signed").alias("s")).collect()}
-    want = {(r["symbol"], r["ts"]): r["intraday_ofi_sum"] for r in prep.daily_microstructure(rows).collect()}
-    assert got == want
-    assert stream.daily_flow(stream.signed_ticks(read)).isStreaming
