@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -56,6 +57,12 @@ def _sums(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def content_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of tokens: equal ones are taken for equal contents, so no sum modulo 2^64, which regular stretches fool."""
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(hashes[a:b]) for a, b in spans), np.uint64, len(starts))
+
+
 def cut(hashes: np.ndarray, first: np.ndarray, how: Windows) -> tuple[np.ndarray, ...]:
     """(text, start within the text, windows, anchor, content hash) of every segment of consecutive texts."""
     n, empty = len(hashes), np.empty(0, np.int64)
@@ -78,7 +85,7 @@ def cut(hashes: np.ndarray, first: np.ndarray, how: Windows) -> tuple[np.ndarray
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
     start = at[begin]
-    content = span_hash(sums, start, start + count - 1 + how.window)
+    content = content_hashes(hashes, start, start + count - 1 + how.window)
     return text[begin], start - first[text[begin]], count, low[begin], content
 
 
@@ -130,7 +137,7 @@ def _recut(hashes: np.ndarray, start: int, n: int, how: Windows, step: int) -> I
     count = np.diff(np.append(first, n))
     common = place - group[first] * step
     h = mix(span_hash(sums, common, common - step + 1 + how.window) + group[first].astype(np.uint64))
-    c = span_hash(sums, first, first + count - 1 + how.window)
+    c = content_hashes(part, first, first + count - 1 + how.window)
     yield from zip((first + start).tolist(), count.tolist(), h.view(np.int64).tolist(), c.view(np.int64).tolist(), strict=True)
 
 
