@@ -22,6 +22,10 @@ from .common import Scratch, blob, chunks, flat, prefix_hash, span_hash, table,
 
 #: Labelled rows that the field is fitted on at most: those of least hash.
 FIT_ROWS = 6_000
+#: Lines that the field is fitted on, beyond which pieces of texts are drawn by hash so that about as many are left.
+FIT_LINES = 200_000
+#: Lines of a chain that is fitted; longer texts are fitted in equal pieces, so that no step of the fit walks a longer chain.
+PIECE_LINES = 1_024
 THRESHOLD = 0.3
 #: A line takes the other label when the field gives that at least this much.
 PLAIN = 0.8
@@ -99,6 +103,15 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return x, size, first
 
 
+def pieces_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number within the text, and the bounds in lines) of pieces of at most PIECE_LINES lines of each text."""
+    sizes = np.diff(first)
+    count = -(-sizes // PIECE_LINES)
+    text = np.repeat(np.arange(len(sizes)), count)
+    piece = np.arange(len(text)) - (np.cumsum(count) - count)[text]
+    return text, piece, np.append(first[text] + sizes[text] * piece // count[text], first[-1])
+
+
 def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A bias, each line's own features and those of the lines before and after it (zeros at the ends)."""
     before, after = np.zeros_like(x), np.zeros_like(x)
@@ -228,6 +241,8 @@ def score_texts(field: Field, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Field:
     """Fit on the labelled rows of docs, on `rows` labels of least hash if there are more.
 
+    Texts of over PIECE_LINES lines count as pieces, each a chain with the text's label; of more than FIT_LINES lines in all
+    pieces are drawn by hash. So neither the driver's memory nor a step's time follows the length of any text.
     Rows without a label or id are left out, null texts are one empty line, labels and texts that share an id are joined each
     with each; without any labelled row every line is as likely good as bad. Other columns of either table are ignored.
     """
@@ -242,12 +257,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             data, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 x, _, first = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts = [x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_order").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(parts, pa.binary())], ["_order", "label", "x"]
-                )
-
-    got = Scratch(docs.sparkSession).put(texts.mapInArrow(run, "_order long, label int, x binary")).toArrow().sort_by([("_order", "ascending"), ("label", "ascending")])
+                text, piece, cuts = pieces_of(first)
+                parts = [x[i:j].astype(np.float32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                order, label = (batch.column(c).take(pa.array(text + a)) for c in ("_order", "label"))
+                yield pa.RecordBatch.from_arrays([order, label, pa.array(piece, pa.int32()), pa.array(parts, pa.binary())], ["_order", "label", "piece", "x"])
+
+    found = Scratch(docs.sparkSession).put(texts.mapInArrow(run, "_order long, label int, piece int, x binary"))
+    lines = (found.agg(F.sum(F.length("x"))).first()[0] or 0) // (4 * OWN)
+    if lines > FIT_LINES:
+        found = found.where(F.pmod(F.xxhash64(F.lit("piece"), "_order", "piece"), F.lit(1 << 20)) < F.lit(FIT_LINES * (1 << 20) // lines))
+    got = found.toArrow().sort_by([(c, "ascending") for c in ("_order", "label", "piece")])
     if not got.num_rows:
         return Field(np.zeros(1 + 3 * OWN), np.zeros((2, 2)))
     parts = [np.frombuffer(r, np.float32).reshape(-1, OWN) for r in got.column("x").to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import struct
@@ -333,6 +334,33 @@ def _line_features(lines):
     return out
 
 
+def quality_fit(x, first, y, steps, chains, ridge, tie_ridge):
+    """Adam on the penalised likelihood whose expectations come from listing all labellings of every chain."""
+    k = x.shape[1]
+    p, m, v = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
+    for t in range(1, steps + 1):
+        g = np.zeros(k + 4)
+        for a, b in zip(first[:-1], first[1:]):
+            def seen(labels):
+                out = np.zeros(k + 4)
+                for i, s in enumerate(labels):
+                    out[:k] += s * x[a + i]
+                    if i:
+                        out[k + 2 * int(labels[i - 1]) + int(s)] += 1
+                return out
+
+            every = [seen(s) for s in itertools.product((0, 1), repeat=int(b - a))]
+            odds = np.exp([p @ s for s in every])
+            expected = sum(o * s for o, s in zip(odds, every)) / odds.sum()
+            g += expected - seen(y[a:b])
+        if not chains:
+            g[k:] = 0
+        g = g / len(x) + np.array([ridge] * k + [tie_ridge] * 4) * p
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return p[:k], p[k:].reshape(2, 2)
+
+
 def quality_score(field, raw):
     lines = raw.split(b"\n")
     own = _line_features(lines)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -200,6 +201,32 @@ def test_shards_match_brute_force(spark, sf):
     assert sum(map(len, slots.values())) == len(docs)
 
 
+def test_quality_fit_of_long_texts(spark, monkeypatch):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "quality")
+    long = spark.createDataFrame([(-1, "\n".join(f"line {i} of a log | {i * 7}" for i in range(60_000)))], "doc_id long, text string")
+    drawn = []
+    plain = quality.fit_field
+    monkeypatch.setattr(quality, "fit_field", lambda x, size, first, label: drawn.append((len(x), int(np.diff(first).max()))) or plain(x, size, first, label))
+    monkeypatch.setattr(quality, "FIT_LINES", 20_000)
+    began = time.time()
+    field = quality.fit(docs.unionByName(long), labels.union(spark.createDataFrame([(-1, 0)], labels.schema)))
+    assert time.time() - began < 60 and np.isfinite(field.weights).all()
+    assert 10_000 < drawn[0][0] < 30_000 and drawn[0][1] <= quality.PIECE_LINES
+    text, piece, cuts = quality.pieces_of(np.array([0, 1, 3000, 4024]))
+    assert text.tolist() == [0, 1, 1, 1, 2] and piece.tolist() == [0, 0, 1, 2, 0] and cuts[[0, 1, -2, -1]].tolist() == [0, 1, 3000, 4024]
+
+
+def test_quality_fit_matches_enumeration():
+    r = np.random.default_rng(5)
+    first = np.concatenate(([0], np.cumsum(r.integers(1, 6, 10))))
+    x, y = r.normal(size=(first[-1], 3)), r.integers(0, 2, first[-1]).astype(float)
+    for chains in (True, False):
+        field = quality.fit_labels(x, first, y, steps=15, chains=chains)
+        weights, ties = brute.quality_fit(x, first, y, 15, chains, quality.RIDGE, quality.TIE_RIDGE)
+        assert np.allclose(field.weights, weights, atol=1e-9) and np.allclose(field.transitions, ties, atol=1e-9)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (1, None)], "doc_id long, quality int")
     for given in (labels, labels.limit(0)):
