@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from barloom.functions import markov, stats
 from barloom.functions.windows import EPS, diff, lag, std
@@ -33,6 +34,12 @@ def two_sided(z: Column) -> Column:
     return series * F.exp(-x * x)
 
 
+@F.pandas_udf(DoubleType())
+def t_tails(t: pd.Series, d: pd.Series) -> pd.Series:
+    """P(|T| > |t|) for Student's T of d degrees; null without a t."""
+    return pd.Series([stats.t_tail(a, b) if a == a and b > 0 else None for a, b in zip(t.astype(float), d.astype(float), strict=True)], dtype=float)
+
+
 def distribution(df: DataFrame, least: int = 30) -> DataFrame:
     """Moments, bias-corrected skewness and kurtosis (3 for a normal), and the Jarque-Bera test."""
     n = F.col("n")
@@ -176,16 +183,16 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def volume(df: DataFrame, least: int = 30) -> DataFrame:
-    """Rank correlation of volume and the size of returns (to 1e-10, so that equal moves tie); p from the normal limit of its t."""
+    """Rank correlation of volume and the size of returns (to 1e-10, so that equal moves tie); p from Student's t."""
     rows = spearman(df.withColumn("_size", F.round(F.abs("log_return"), 10)), "volume", "_size").where(F.col("n") >= least)
-    p = two_sided(F.col("t"))
+    p = t_tails(F.col("t"), F.col("n") - 2)
     return rows.select("symbol", F.col("rho").alias("vol_ret_corr"), ((p < 0.05) & (F.col("rho") > 0.1)).alias("is_volume_significant"))
 
 
 def book(df: DataFrame) -> DataFrame:
     """Whether yesterday's micro-price deviation ranks with today's return, and whether the spread is stationary."""
     rows = df.withColumns({"_dev": F.coalesce(lag(F.coalesce(F.col("micro_mid_deviation"), F.lit(0.0))), F.lit(0.0)), "_r": F.coalesce("log_return", F.lit(0.0))})
-    rho = spearman(rows, "_dev", "_r").select("symbol", F.col("rho").alias("micro_dev_corr"), ((two_sided(F.col("t")) < 0.05) & (F.abs("rho") > 0.05)).alias("micro_deviation_sig"))
+    rho = spearman(rows, "_dev", "_r").select("symbol", F.col("rho").alias("micro_dev_corr"), ((t_tails(F.col("t"), F.col("n") - 2) < 0.05) & (F.abs("rho") > 0.05)).alias("micro_deviation_sig"))
     spread = _per_symbol(df, ["l2_spread"], "l2_spread_stationary boolean", lambda s: [stats.adf_p(np.nan_to_num(s)) < 0.05 if len(s) >= 50 else False])
     return rho.join(spread, "symbol")
 

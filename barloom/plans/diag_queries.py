@@ -155,11 +155,16 @@ def diag_jumps(spark, sf_dir):
 
 @query(
     f"""WITH {PANEL}, s AS (SELECT symbol, volume AS a, round(abs(log_return), 10) AS b FROM panel WHERE log_return IS NOT NULL),
-rk AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY a) + (count(*) OVER (PARTITION BY symbol, a) - 1)/2.0 AS ra, rank() OVER (PARTITION BY symbol ORDER BY b) + (count(*) OVER (PARTITION BY symbol, b) - 1)/2.0 AS rb FROM s)
-SELECT symbol, round(corr(ra, rb), 6) AS vol_ret_corr FROM rk GROUP BY symbol"""
+rk AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY a) + (count(*) OVER (PARTITION BY symbol, a) - 1)/2.0 AS ra, rank() OVER (PARTITION BY symbol ORDER BY b) + (count(*) OVER (PARTITION BY symbol, b) - 1)/2.0 AS rb FROM s),
+rho AS (SELECT symbol, count(*) - 2 AS d, corr(ra, rb) AS rho FROM rk GROUP BY symbol),
+tt AS (SELECT *, d / (d + rho * rho * d / (1 - rho * rho)) AS c2 FROM rho),
+tails AS (SELECT symbol, rho, 1 - CASE WHEN d % 2 = 0
+  THEN sqrt(1 - c2) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5) + k * ln(c2)) for k in range(d // 2)])
+  ELSE 2 / pi() * (atan(sqrt(1 / c2 - 1)) + sqrt(c2 * (1 - c2)) * list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(c2)) for k in range((d - 1) // 2)])) END AS p FROM tt)
+SELECT symbol, round(rho, 6) AS vol_ret_corr, p < 0.05 AND rho > 0.1 AS is_volume_significant FROM tails"""
 )
 def diag_volume(spark, sf_dir):
-    return D.volume(panel(spark, sf_dir)).select("symbol", *rounded(6, "vol_ret_corr"))
+    return D.volume(panel(spark, sf_dir)).select("symbol", *rounded(6, "vol_ret_corr"), "is_volume_significant")
 
 
 @query()

@@ -1,11 +1,13 @@
 """Information of two continuous series against a version over all pairs."""
 
+import math
 import time
 
 import numpy as np
 import pytest
 
 from barloom.functions import stats
+from barloom.operators import diagnostics
 
 
 def digamma(m):
@@ -40,3 +42,15 @@ def test_known_value_and_growth():
     assert stats.paired_information(z[:, 0], z[:, 1]) == pytest.approx(-0.5 * np.log(1 - 0.64), abs=0.03)
     assert time.time() - began < 30
     assert stats.paired_information(np.ones(50), np.arange(50.0)) == 0.0 and stats.paired_information(np.arange(3.0), np.arange(3.0)) == 0.0
+
+
+def test_student_tails_by_quadrature(spark):
+    rows = [(0.3, 1), (1.7, 2), (2.0, 5), (-2.0, 30), (1.98, 101), (0.0, 7), (None, 9)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t double, d int").coalesce(1).select(diagnostics.t_tails("t", "d")).collect()]
+    for (t, d), p in zip(rows, got, strict=True):
+        if t is None:
+            assert p is None
+            continue
+        x = np.linspace(0, abs(t), 200_001)
+        f = np.exp(math.lgamma((d + 1) / 2) - math.lgamma(d / 2)) / math.sqrt(d * math.pi) * (1 + x * x / d) ** (-(d + 1) / 2)
+        assert abs(p - (1 - 2 * np.trapezoid(f, x))) < 1e-8

@@ -187,7 +187,7 @@ def test_book_diagnostics(spark, sf):
         rho = np.corrcoef(rank(dev), rank(ret))[0, 1]
         assert r["micro_dev_corr"] == pytest.approx(rho, abs=2e-6)
         t = rho * math.sqrt((len(own) - 2) / (1 - rho * rho))
-        assert r["micro_deviation_sig"] == (math.erfc(abs(t) / math.sqrt(2)) < 0.05 and abs(rho) > 0.05)
+        assert r["micro_deviation_sig"] == (stats.t_tail(t, len(own) - 2) < 0.05 and abs(rho) > 0.05)
         assert r["l2_spread_stationary"] == (plain_adf([b["l2_spread"] for b in own]) < 0.05)
 
 
