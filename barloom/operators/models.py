@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.validation import class_weights, folds
+from barloom.sources.bars import written
 
 CLASSES = (-1.0, 0.0, 1.0)
 #: The fixed list that tuning tries: trees, depth, share of rows, least rows of a leaf.
@@ -126,7 +127,7 @@ def true_probability(label: str = "target_label") -> Column:
 
 def tune(df: DataFrame, features: list[str], k: int = 3, parameters: list[tuple] | None = None, at_once: int = 4) -> DataFrame:
     """Mean weighted log loss over k inner folds of each listed parameter set, best first; at_once fits run side by side."""
-    parts = folds(df.where("target_label is not null"), k, max_train=None)
+    parts = folds(written(df.where("target_label is not null"), "labelled"), k, max_train=None)  # rows and weights read it
     parts = class_weights(parts, by=("fold", "part")).persist()
     spark = df.sparkSession
 

@@ -21,9 +21,12 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjusted bars with benchmark return and log returns: what every feature family reads."""
-    market = prep.market_return(src.market_bars(spark, sf_dir)).select("ts", "mkt_close", "mkt_return")
-    joined = prep.market_join(prep.repair(bars(spark, sf_dir)), market)
+    """Adjusted bars with benchmark return and log returns: what every feature family reads.
+
+    Bars and benchmark are written once: however often a job reads the panel, it reads the trades no more.
+    """
+    market = prep.market_return(src.written(src.market_bars(spark, sf_dir), "market")).select("ts", "mkt_close", "mkt_return")
+    joined = prep.market_join(prep.repair(src.written(bars(spark, sf_dir), "bars")), market)
     return prep.returns(prep.adjust(joined)).drop("split_factor", "dividend")
 
 

@@ -35,15 +35,8 @@ def price() -> Column:
     return F.lit(100) * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
 
 
-def _bar_columns() -> list[Column]:
-    at = F.struct(*[F.col(c) for c in _ORDER], F.col("price"))
-    return [
-        F.min_by("price", at).alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"),
-        F.sum("l_quantity").alias("volume"),
-    ]
+def _at() -> Column:
+    return F.struct(*[F.col(c) for c in _ORDER], F.col("price"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +47,22 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars_from_trades(spark: SparkSession, sf_dir: str, symbol: str = "p_type") -> DataFrame:
     """Daily bars of each symbol: first, highest, lowest and last price and the traded quantity.
 
-    part is joined by key; Spark broadcasts it by its own size check or shuffles both sides. One partial aggregate per
-    (symbol, ts) precedes the only exchange of the aggregation, so hot symbols and days do not pile up.
+    part is joined by key; Spark broadcasts it by its own size check or shuffles both sides. A pass of hash aggregates gives each
+    bar's range, quantity and first and last order; the full order of trades is looked up in the lines of these two orders
+    alone, as an aggregate over structs sorts all that it reads. Orders without a key come first.
     """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col(symbol).alias("symbol"))
-    return trades(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", "ts").agg(*_bar_columns())
+    every, typed, order = trades(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"), F.col("l_orderkey")
+    ranges = {"high": F.max("price"), "low": F.min("price"), "volume": F.sum("l_quantity")}
+    orders = {"_first": F.min(order), "_last": F.max(order), "_unkeyed": F.max(order.isNull())}
+    found = written(every.join(part, typed).groupBy("symbol", "ts").agg(*[c.alias(n) for n, c in (ranges | orders).items()]), "bar-ranges")
+    found = found.select(F.col("symbol").alias("_symbol"), F.col("ts").alias("_ts"), *ranges, F.when(~F.col("_unkeyed"), F.col("_first")).alias("_first"), "_last")
+    near = every.join(found.select(F.explode(F.array("_first", "_last")).alias("_key")), order.eqNullSafe(F.col("_key")), "left_semi").join(part, typed)
+    ends = near.join(found, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("ts").eqNullSafe(F.col("_ts")))
+    ends = ends.where(order.eqNullSafe(F.col("_first")) | order.eqNullSafe(F.col("_last")))
+    same = [F.first(n).alias(n) for n in ranges]
+    out = ends.groupBy("symbol", "ts").agg(F.min_by("price", _at()).alias("open"), F.max_by("price", _at()).alias("close"), *same)
+    return out.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
