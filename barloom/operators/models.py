@@ -89,7 +89,8 @@ def boosted_probabilities(model: Boosted, df: DataFrame, features: list[str]) ->
 
 def train_folds(df: DataFrame, features: list[str], k: int = 5, learner: str = "forest", **settings) -> tuple[DataFrame, DataFrame]:
     """(out-of-sample probabilities of every fold's test rows, importance of each feature in each fold) of "forest" or "boosted" trees."""
-    parts = folds(df.where("target_label is not null"), k).persist()
+    df = written(df.where("target_label is not null"), "labelled")  # read for the fits and, once the folds are let go, by what is returned
+    parts = folds(df, k).persist()
     out, gains = [], []
     for f in range(k):
         own = parts.where(F.col("fold") == f)
@@ -103,7 +104,7 @@ def train_folds(df: DataFrame, features: list[str], k: int = 5, learner: str = "
             out.append(probabilities(model, test, features))
             weights = model.featureImportances.toArray()
         gains += [(f, name, float(g)) for name, g in zip(features, weights, strict=True)]
-    parts.unpersist()  # what is returned reads the test rows once
+    parts.unpersist()
     spark = df.sparkSession
     return union(out), spark.createDataFrame(gains, "fold int, feature string, gain double")
 
