@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import models
 from barloom.operators.validation import class_weights, folds
+from barloom.sources.bars import written
 
 START, CANDIDATES, GOOD = 4, 24, 0.25
 
@@ -138,7 +139,7 @@ def search(loss: Callable[[dict], float], space: dict[str, Range], trials: int =
 
 def tune_forest(df: DataFrame, features: list[str], k: int = 3, space: dict[str, Range] | None = None, **budget) -> DataFrame:
     """(trial, trees, depth, share, leaf, loss), best first: mean weighted log loss of forests over k inner purged folds."""
-    parts = class_weights(folds(df.where("target_label is not null"), k, max_train=None), by=("fold", "part")).persist()
+    parts = class_weights(folds(written(df.where("target_label is not null"), "labelled"), k, max_train=None), by=("fold", "part")).persist()
     spark = df.sparkSession
 
     def loss(p: dict) -> float:
@@ -161,7 +162,7 @@ def tune_boosted(df: DataFrame, features: list[str], k: int = 3, space: dict[str
     from barloom.operators import boosting
 
     space = space or BOOSTED
-    parts = boosting.keyed(class_weights(folds(df.where("target_label is not null"), k, max_train=None), by=("fold", "part"))).persist()
+    parts = boosting.keyed(class_weights(folds(written(df.where("target_label is not null"), "labelled"), k, max_train=None), by=("fold", "part"))).persist()
     cuts = boosting.quantile_cuts(parts.where("part = 'train'"), features, bins)
 
     def loss(p: dict) -> float:
