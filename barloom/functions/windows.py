@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -36,6 +36,16 @@ def w() -> WindowSpec:
     return Window.partitionBy(*keys()).orderBy("ts")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by these columns over a fixed number of partitions, at least two a core.
+
+    Adaptive execution joins small partitions by their bytes, which leaves a few MB of rows to one core even where each group is a fit;
+    an exchange whose number is given stays as it is.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 def frame(first: int, last: int) -> WindowSpec:
     return w().rowsBetween(first, last)
 

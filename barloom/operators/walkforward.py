@@ -6,8 +6,11 @@ the key symbol#fold. Models are pooled over symbols, one a fold, on the transfor
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +79,12 @@ def consensus(picked: DataFrame, most: int = selection.MOST) -> DataFrame:
     return votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(lags, ["fold", "feature"])
 
 
-def run(df: DataFrame, k: int = validation.FOLDS, inner: int = 3, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(df: DataFrame, k: int = validation.FOLDS, inner: int = 3, at_once: int = 5, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(out-of-sample decisions, what each series selected, what each fold's model uses) of a labelled panel.
 
     Nothing that a fold fits looks past its training rows: diagnostics, selection, weights, cutoffs (from out-of-fold probabilities of
-    inner purged folds) and the model. Tables between the steps are written to the shared folder.
+    inner purged folds) and the model. Tables between the steps are written to the shared folder. at_once folds are fitted side by side, as
+    each is a few hundred short jobs.
     """
     spark = df.sparkSession
 
@@ -97,11 +101,12 @@ def run(df: DataFrame, k: int = validation.FOLDS, inner: int = 3, **settings) ->
     wide = put(wide.withColumnsRenamed(plain).select("symbol", "asset", "ts", "fold", "part", "close", "close_adj", "local_volatility", "target_label", *names), "fold-features")
     picked = put(select_transforms(wide.where("part = 'train'"), names), "selected")
     used = put(consensus(picked), "used")
-    out = []
-    for f in range(k):
+
+    @inheritable_thread_target(spark)
+    def decided(f: int) -> DataFrame | None:
         own = used.where(F.col("fold") == f).orderBy("place").collect()
         if not own:
-            continue
+            return None
         lags = {r["feature"]: r["lag"] for r in own}
         inputs = [f"{r['feature']}_zscaled_lag{r['lag']}" if r["kind"] == "zscaled" else f"{r['feature']}_{r['kind']}" for r in own]
         base = features.lag_transforms(wide.where(F.col("fold") == f), lags).where("target_label is not null")
@@ -116,10 +121,14 @@ def run(df: DataFrame, k: int = validation.FOLDS, inner: int = 3, **settings) ->
         cuts = put(models.thresholds(oof), "cuts")
         model = models.fit(train, inputs, **settings)
         test = models.probabilities(model, base.where("part = 'test'"), inputs).withColumn("prob_delta", F.col("prob_long") - F.col("prob_short"))
-        decided = models.decide(test, cuts).select(
+        rows = models.decide(test, cuts).select(
             F.col("asset").alias("symbol"), "ts", "fold", "model_raw_target", "prob_short", "prob_neutral", "prob_long", "prob_delta", F.col("target_label").alias("true_target"), "close", "close_adj", "local_volatility", "up_cut", "down_cut"
         )
-        out.append(put(decided, "decided"))
+        rows = put(rows, "decided")
         inside.unpersist()
         base.unpersist()
+        return rows
+
+    with ThreadPoolExecutor(at_once) as pool:
+        out = [rows for rows in pool.map(decided, range(k)) if rows is not None]
     return models.union(out), picked, used

@@ -48,6 +48,49 @@ def test_transforms_match_the_windows(spark):
         assert np.allclose([np.nan if r[name] is None else r[name] for r in rows], plain[kind], equal_nan=True)
 
 
+def test_mixture_fits_are_spread_whatever_their_bytes(spark):
+    """Adaptive execution joins partitions of few bytes: the fits of all series then ran one after another in one task."""
+    from barloom.operators import features
+
+    df = spark.createDataFrame([(f"S{j}", i, ((i * 7919 + j) % 101 - 50) / 1000) for j in range(6) for i in range(300)], "symbol string, ts int, log_return double")
+    out = features.gmm_regimes(df)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1800
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """All folds take their fits at the same time, and the decided rows are those of one fold after another."""
+    import threading
+
+    rng = np.random.default_rng(5)
+    n = 600
+    names = [f"f{i}" for i in range(3)]
+    x = rng.normal(size=(2 * n, 3))
+    label = np.sign(np.round(x[:, 0]))
+    df = spark.createDataFrame([("AB"[i // n], i % n, 10.0, 10.0, 0.1, float(label[i]), *map(float, x[i])) for i in range(2 * n)], f"symbol string, ts int, close double, close_adj double, local_volatility double, target_label double, {', '.join(c + ' double' for c in names)}")
+    flags = spark.createDataFrame([("A#0", 1)], "symbol string, dominant_cycle int")
+    monkeypatch.setattr(walkforward.diagnostics, "payload", lambda rows: flags)
+    monkeypatch.setattr(walkforward.features, "assemble", lambda rows, flags: (rows, names))
+    fit, running, most, lock = walkforward.models.fit, [0], [0], threading.Lock()
+
+    def watched(*a, **k):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return fit(*a, **k)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(walkforward.models, "fit", watched)
+    key = lambda rows: sorted((r["symbol"], r["ts"], r["fold"], r["model_raw_target"], r["prob_delta"], r["up_cut"]) for r in rows.collect())
+    apart = key(walkforward.run(df, k=2, inner=2, at_once=1, trees=2, depth=2)[0])
+    assert most[0] == 1 and len({r[2] for r in apart}) == 2
+    assert key(walkforward.run(df, k=2, inner=2, trees=2, depth=2)[0]) == apart
+    assert most[0] == 2
+
+
 def test_walk_forward_decides_every_test_row(spark, sf):
     df = labeled(spark, sf)
     two = [r[0] for r in df.select("symbol").distinct().orderBy("symbol").limit(2).collect()]
