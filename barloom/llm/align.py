@@ -6,8 +6,10 @@ the first k merged ends are A's, so pieces between neighbouring diagonals hold t
 and need nothing from each other. A piece emits the ends that its two slices share; an end of B that opens a piece is held against the last
 end of A before it, and the groups that pieces cut are stitched by putting their links in order.
 
-Link counts are corpus-wide. Tasks emit blocks of whole texts (some BLOCK_BYTES of text, or one longer text) with the block's distinct pairs,
-so what is shuffled for a frequent pair is one row a block; each block gets its own pairs' counts back and adds them up over its texts.
+Link counts are corpus-wide. Tasks cut blocks of whole texts (some BLOCK_BYTES of text, or one longer text) and emit a row for each of the block's
+distinct pairs, so what is shuffled for a frequent pair is one row a block, and a row for each text, whose links are the places of their pairs among
+the block's. Each block gets its own pairs' counts back and adds them up over its texts. No row holds more than a text, and no step more than a block
+at once, so memory goes neither by the size of a task nor by the number of tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .common import Scratch, blob, chunks, flat, table
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
+#: Text bytes of a block that are aligned in one pass, and what a file of blocks buffers before it writes.
+PASS_BYTES, ROW_GROUP_BYTES = 512 << 10, 16 << 20
 #: Bytes that are tokenized in one call, and characters after which a longer text is cut at the next space between words.
 CALL_BYTES, PART_CHARS = 256 << 10, 128 << 10
 #: Ends in one piece of the merge.
@@ -193,8 +198,8 @@ def links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray,
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def block(pair: Pair, raws: list[bytes | None], digest: bool) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Columns of a block's texts, and its distinct pairs (a * base + b, ascending) with their number of links."""
+def aligned(pair: Pair, raws: list[bytes | None], digest: bool) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """n_a, n_b, groups and n_links of each text, and the pairs (a * base + b) of all their links one after another."""
     a_ids, b_ids = pair.encode(raws)
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
     a, b = (np.concatenate(ids) if ids else np.empty(0, np.int32) for ids in (a_ids, b_ids))
@@ -205,13 +210,47 @@ def block(pair: Pair, raws: list[bytes | None], digest: bool) -> tuple[dict, np.
     out[np.arange(len(a)) + before[ga]] = np.where(i[ga] == np.arange(len(a)), pair.a_text[1][a], pair.a_text[0][a]) if len(a) else a
     out[np.arange(len(b)) + i[gb] + 1] = np.where(j[gb] == np.arange(len(b)), pair.b_text[1][b], pair.b_text[0][b]) if len(b) else b
     end = np.concatenate(([0], np.cumsum(n_a + n_b)))
-    groups = ["".join(out[s:e].tolist())[:-1] for s, e in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-    if digest:
-        groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-    first = np.searchsorted(i, np.concatenate(([0], np.cumsum(n_a))))
-    code, place, times = np.unique(a[i].astype(np.int64) * pair.b.base + b[j], return_inverse=True, return_counts=True)
-    texts = {"n_a": n_a, "n_b": n_b, "groups": groups, "links": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(place, pa.int32()))}
-    return texts, code, times
+    groups = ("".join(out[s:e].tolist())[:-1] for s, e in zip(end[:-1].tolist(), end[1:].tolist(), strict=True))
+    groups = [hashlib.sha256(g.encode()).hexdigest() if digest and g else g for g in groups]
+    n_links = np.diff(np.searchsorted(i, np.concatenate(([0], np.cumsum(n_a)))))
+    return n_a, n_b, groups, n_links, a[i].astype(np.int64) * pair.b.base + b[j]
+
+
+def block(pair: Pair, texts: pa.Array, digest: bool) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray]:
+    """Columns of a block's texts, and its distinct pairs, ascending, with their number of links.
+
+    links holds a text's places among the distinct pairs, in two bytes each where these can tell all pairs apart, else in four."""
+    _, offsets = flat(texts)
+    done, codes, places, times = [], [], [], []
+    for s, e in chunks(offsets, PASS_BYTES):
+        *columns, own = aligned(pair, texts.slice(s, e - s).to_pylist(), digest)
+        code, place, n = np.unique(own, return_inverse=True, return_counts=True)
+        done.append(columns)
+        codes.append(code)
+        places.append(place.astype(np.int32))
+        times.append(n)
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, at, np.concatenate(times))
+    kind = np.uint16 if len(code) <= 1 << 16 else np.int32
+    own_at = np.split(at.astype(kind), np.cumsum([len(x) for x in codes])[:-1])
+    place = np.concatenate([to[own] for to, own in zip(own_at, places, strict=True)])
+    n_a, n_b, n_links = (np.concatenate([x[k] for x in done]) for k in (0, 1, 3))
+    ends = np.concatenate(([0], np.cumsum(n_links))) * place.itemsize
+    listed = pa.Array.from_buffers(pa.large_binary(), len(n_links), [None, pa.py_buffer(ends), pa.py_buffer(place)])
+    return {"n_a": pa.array(n_a), "n_b": pa.array(n_b), "groups": pa.array([g for x in done for g in x[2]], pa.string()), "n_links": pa.array(n_links), "links": listed}, code, total
+
+
+def added(links: pa.Array, n_links: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of each text's links' values, by their places in the block."""
+    raw, offsets = flat(links)
+    ends = np.concatenate(([0], np.cumsum(n_links)))
+    if not ends[-1]:
+        return np.zeros(len(n_links), np.int64)
+    raw = raw[offsets[0] : offsets[-1]]
+    place = raw.view(np.uint16 if len(raw) == 2 * ends[-1] else np.int32)
+    sums = np.concatenate(([0], np.cumsum(values[place])))
+    return sums[ends[1:]] - sums[ends[:-1]]
 
 
 _PAIRS: dict[str, Pair] = {}
@@ -243,9 +282,9 @@ def align(
     a, b = load_a(a_file), load_b(b_file)
     base = b.base
     words = spark.sparkContext.broadcast((a, b))  # the files' size bounds it
-    own = _parse_datatype_string("n_a long, n_b long, groups string, links array<int>").fields
-    text_type = StructType([rows.schema["row"], *own])
-    schema = StructType([StructField("block", _parse_datatype_string("string")), StructField("texts", ArrayType(text_type)), *_parse_datatype_string("pairs array<long>, times array<long>").fields])
+    own = _parse_datatype_string("n_a long, n_b long, groups string, n_links long, links binary").fields
+    schema = StructType([*_parse_datatype_string("block long, pair long, n long").fields, StructField("row", rows.schema["row"].dataType), *own])
+    made = StructType([rows.schema["row"], *_parse_datatype_string("n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long").fields])
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,47 +293,41 @@ def align(
         if key not in _PAIRS:
             _PAIRS.clear()
             _PAIRS[key] = Pair(a_file, b_file, *words.value)
-        out = to_arrow_schema(schema)
+        out, number = to_arrow_schema(schema), TaskContext.get().partitionId() << 32
+
+        def filled(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            columns = {f.name: columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in out}
+            return pa.RecordBatch.from_arrays(list(columns.values()), schema=out)
+
         for batch in batches:
             _, offsets = flat(batch.column("text"))
             for s, e in chunks(offsets, BLOCK_BYTES):
-                texts, code, times = block(_PAIRS[key], batch.column("text").slice(s, e - s).to_pylist(), digest)
-                kept = batch.column("row").slice(s, e - s)
-                fields = list(out.field("texts").type.value_type)
-                made = pa.StructArray.from_arrays([kept.cast(fields[0].type), *(texts[f.name] if isinstance(texts[f.name], pa.Array) else pa.array(texts[f.name], f.type) for f in fields[1:])], fields=fields)
-                bounds = pa.array([0, e - s], pa.int32())
-                listed = pa.ListArray.from_arrays(bounds, made, type=out.field("texts").type)
-                counted = [pa.array([x], out.field(n).type) for n, x in (("pairs", code), ("times", times))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), listed, *counted], schema=out)
-
-    blocks = scratch.put(rows.mapInArrow(run, schema))
-    pairs = blocks.select("block", F.inline(F.arrays_zip("pairs", "times"))).withColumnsRenamed({"pairs": "pair", "times": "n"})
+                texts, code, times = block(_PAIRS[key], batch.column("text").slice(s, e - s), digest)
+                for own, n in (({"pair": pa.array(code), "n": pa.array(times)}, len(code)), (texts | {"row": batch.column("row").slice(s, e - s)}, e - s)):
+                    yield filled(n, own | {"block": pa.array(np.full(n, number))})
+                number += 1
+
+    def sums(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        order = np.argsort(counts.column("pair").to_numpy())
+        n, best = (counts.column(c).to_numpy()[order] for c in ("n", "best"))
+        parts = []
+        for t in texts.to_batches():
+            n_links = t.column("n_links").to_numpy()
+            own = {"n_groups": t.column("n_links")} | {c: pa.array(added(t.column("links"), n_links, x)) for c, x in (("n_best", best), ("count_sum", n))}
+            parts.append([own[f.name] if f.name in own else t.column(f.name).cast(f.type) for f in to_arrow_schema(made)])
+        out = to_arrow_schema(made)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=out) for p in parts], out)
+
+    blocks = scratch.put(rows.mapInArrow(run, schema), **{"parquet.block.size": ROW_GROUP_BYTES})
+    pairs = blocks.where("pair is not null").select("block", "pair", "n")
     total = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     best = F.max("n").over(Window.partitionBy(F.col("pair") % base))
     total = scratch.put(total.withColumn("best", (F.col("n") == best).cast("long")))
-    found = pairs.drop("n").join(total, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pair", "n", "best"))).alias("c"))
-    own_counts = found.select("block", F.col("c.n").alias("n"), F.col("c.best").alias("best"))
-    return (
-        blocks.select("block", "texts")
-        .join(own_counts, "block", "left")
-        .select(
-            F.inline(
-                F.transform(
-                    "texts",
-                    lambda t: F.struct(
-                        t["row"].alias("row"),
-                        t["n_a"].alias("n_a"),
-                        t["n_b"].alias("n_b"),
-                        F.size(t["links"]).cast("long").alias("n_groups"),
-                        t["groups"].alias("groups"),
-                        F.size(t["links"]).cast("long").alias("n_links"),
-                        F.aggregate(t["links"], F.lit(0).cast("long"), lambda s, i: s + F.get("best", i)).alias("n_best"),
-                        F.aggregate(t["links"], F.lit(0).cast("long"), lambda s, i: s + F.get("n", i)).alias("count_sum"),
-                    ),
-                )
-            )
-        )
-    )
+    counts = pairs.drop("n").join(total, "pair").select(F.col("block").alias("of"), "pair", "n", "best")
+    texts = blocks.where("pair is null").drop("pair", "n")
+    return texts.groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(sums, made)
 
 
 def op12_merge_path(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,29 @@ def test_alignment_of_given_tables(spark, sf):
         assert r.groups_sha256 == (hashlib.sha256(g.encode()).hexdigest() if g else "")
 
 
+def test_written_blocks_hold_one_text_a_row(spark, monkeypatch):
+    """However many texts a task and a block have, so that no row grows with them."""
+    written, put = [], align.Scratch.put
+    monkeypatch.setattr(align.Scratch, "put", lambda self, df, **options: written.append(put(self, df, **options)) or written[-1])
+    text = " ".join(f"word{i} über's" for i in range(60))
+    df = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    assert align.align(df).count() == 1500
+    assert written[0].select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 20 * len(text)
+
+
+@pytest.mark.parametrize("distinct", [1 << 16, (1 << 16) + 1])
+def test_places_tell_all_pairs_of_a_block_apart(monkeypatch, distinct):
+    own = [np.arange(distinct)[::-1], np.empty(0, np.int64), np.array([7, distinct - 1, 7])]
+    given = iter(own)
+    monkeypatch.setattr(align, "PASS_BYTES", 1)
+    monkeypatch.setattr(align, "aligned", lambda pair, raws, digest: (np.ones(1, int), np.ones(1, int), ["x"], np.array([len(x := next(given))]), 3 * x))
+    texts, code, times = align.block(None, pa.array([b"ab", b"cd", b"ef"]), True)
+    assert (code == 3 * np.arange(distinct)).all() and (times == np.bincount(np.concatenate(own))).all()
+    sums = align.added(texts["links"].slice(1), texts["n_links"].to_numpy()[1:], code)
+    assert sums.tolist() == [0, 3 * (7 + distinct - 1 + 7)]
+    assert align.added(texts["links"], texts["n_links"].to_numpy(), code)[0] == code.sum()
+
+
 def test_merge_path_pieces_are_equal_and_stitched():
     rng = np.random.default_rng(2)
     for _ in range(200):
